@@ -1,3 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
 from netsleuth.plans import q_features  # noqa: F401
+from netsleuth.plans import q_ingest  # noqa: F401

@@ -80,34 +80,37 @@ def raw_lines(events: DataFrame) -> DataFrame:
     icmp = F.col("proto") == "ICMP"
     event_type = F.when(eid % 23 == 7, "stats").otherwise(F.col("event_type"))
     proto = F.when(eid % 4 == 1, F.lower("proto")).otherwise(F.col("proto"))
-    packet = F.when(eid % 2 == 0, F.to_json(F.struct(F.col("packet_length").alias("length")))) \
-              .otherwise(F.base64(F.repeat(F.lit("x"), F.col("packet_length"))))
-    fields = F.struct(
-        event_type.alias("event_type"),
-        ts_text.alias("timestamp"),
-        F.col("flow_id").alias("flow_id"),
-        proto.alias("proto"),
-        F.col("src_ip").alias("src_ip"),
-        F.when(~icmp, F.col("src_port")).alias("src_port"),
-        F.col("dest_ip").alias("dest_ip"),
-        F.when(~icmp, F.col("dest_port")).alias("dest_port"),
-        packet.alias("packet"),
-        F.when(F.col("event_type") == "alert",
-               F.struct(F.col("alert_severity").alias("severity"),
-                        F.when(eid % 5 != 0, F.concat(F.lit("sig-"), (eid % 13).cast("string")))
-                         .alias("signature"))).alias("alert"),
-        F.when(F.col("event_type") == "dns",
-               F.struct(F.concat(F.lit("host"), (eid % 17).cast("string"), F.lit(".example")).alias("rrname"))).alias("dns"),
-        F.when(F.col("event_type") == "http",
-               F.struct(F.concat(F.lit("web"), (eid % 7).cast("string"), F.lit(".example")).alias("hostname"),
-                        F.concat(F.lit("/p/"), (eid % 29).cast("string")).alias("url"))).alias("http"),
-        F.when((F.col("event_type") == "flow") & (eid % 2 == 1),
-               F.struct(F.concat(F.lit("tls"), (eid % 5).cast("string"), F.lit(".example")).alias("sni"))).alias("tls"),
-        F.col("tcp_flags_tc").alias("tcp_flags_tc"),
+    # the packet is a JSON object for even ids and Base64 text for odd ids
+    ns = lambda *kv: F.named_struct(*[F.lit(x) if i % 2 == 0 else x for i, x in enumerate(kv)])
+    fields = ns(
+        "event_type", event_type,
+        "timestamp", ts_text,
+        "flow_id", F.col("flow_id"),
+        "proto", proto,
+        "src_ip", F.col("src_ip"),
+        "src_port", F.when(~icmp, F.col("src_port")),
+        "dest_ip", F.col("dest_ip"),
+        "dest_port", F.when(~icmp, F.col("dest_port")),
+        "alert", F.when(F.col("event_type") == "alert",
+                        ns("severity", F.col("alert_severity"),
+                           "signature", F.when(eid % 5 != 0, F.concat(F.lit("sig-"), (eid % 13).cast("string"))))),
+        "dns", F.when(F.col("event_type") == "dns",
+                      ns("rrname", F.concat(F.lit("host"), (eid % 17).cast("string"), F.lit(".example")))),
+        "http", F.when(F.col("event_type") == "http",
+                       ns("hostname", F.concat(F.lit("web"), (eid % 7).cast("string"), F.lit(".example")),
+                          "url", F.concat(F.lit("/p/"), (eid % 29).cast("string")))),
+        "tls", F.when((F.col("event_type") == "flow") & (eid % 2 == 1),
+                      ns("sni", F.concat(F.lit("tls"), (eid % 5).cast("string"), F.lit(".example")))),
+        "tcp_flags_tc", F.col("tcp_flags_tc"),
     )
-    line = F.to_json(fields)
+    body = F.to_json(fields)
+    line = F.concat(F.expr("substring(_body, 1, length(_body) - 1)"), F.lit(',"packet":'), F.col("_packet"), F.lit("}"))
     copies = F.when(eid % 19 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return fv.select(F.explode(copies).alias("copy"), line.alias("value")).select("value")
+    staged = fv.select(F.explode(copies).alias("copy"), body.alias("_body"), F.col("packet_length"), eid)
+    pj = F.when(eid % 2 == 0, F.to_json(F.struct(F.col("packet_length").alias("length")))) \
+          .otherwise(F.concat(F.lit('"'), F.regexp_replace(F.base64(F.repeat(F.lit("x"), F.col("packet_length"))), r"\s", ""),
+                             F.lit('"')))
+    return staged.withColumn("_packet", pj).select(line.alias("value"))
 
 
 def mode_log(events: DataFrame) -> DataFrame:
@@ -128,3 +131,25 @@ def mode_log(events: DataFrame) -> DataFrame:
     session = F.when(eid % 3 == 0, F.substring(F.sha2(eid.cast("string"), 256), 1, 16))
     return e.select(F.col("ts").alias("effective_from"), mode.alias("mode"), value.alias("value"),
                     label.alias("label"), session.alias("session_hash"))
+
+
+_LINE_FILES: dict[tuple, str] = {}
+
+
+def raw_line_files(spark: SparkSession, sf_dir: str, parts: int = 8) -> str:
+    """Write the stand-in sensor lines of ``sf_dir`` once per session as text
+    files below the shared checkpoint folder; return the folder."""
+    from netsleuth.session import scratch_path
+    key = (id(spark), sf_dir)
+    path = _LINE_FILES.get(key)
+    if path is None:
+        path = scratch_path(spark, "sensor-lines")
+        raw_lines(load_table(spark, sf_dir, "events")).repartition(parts).write.text(path)
+        _LINE_FILES[key] = path
+    return path
+
+
+def lines_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in sensor log, read back as a text source (S1/S2 path)."""
+    from netsleuth.sources.events import read_lines
+    return read_lines(spark, raw_line_files(spark, sf_dir))
