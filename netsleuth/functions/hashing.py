@@ -34,12 +34,16 @@ def sha_mod(text, modulus: int, base: int = 0) -> Column:
     Horner's rule over the 8 32-bit chunks of the digest keeps every
     intermediate below modulus * 2**32.
     """
-    h = F.sha2(_col(text), 256)
-    acc = F.lit(0).cast("bigint")
-    for i in range(8):
-        chunk = F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint")
-        acc = F.pmod(acc * F.lit(2 ** 32) + chunk, F.lit(modulus))
-    return acc + F.lit(base)
+    from netsleuth.functions.ip import let
+
+    def horner(h: Column) -> Column:
+        acc = F.lit(0).cast("bigint")
+        for i in range(8):
+            chunk = F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint")
+            acc = F.pmod(acc * F.lit(2 ** 32) + chunk, F.lit(modulus))
+        return acc
+
+    return let(F.sha2(_col(text), 256), horner) + F.lit(base)
 
 
 def session_id_from_time(label, ts) -> Column:

@@ -21,6 +21,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``body(v)`` with ``v`` bound once to ``value`` (keeps the
+    expression tree linear when a sub-expression is used several times)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def is_valid_ipv4(c) -> Column:
     return F.coalesce(_col(c).rlike(IPV4_PATTERN), F.lit(False))
 
@@ -39,22 +45,30 @@ def ipv4_to_int(c) -> Column:
 
 def _ipv6_groups(c) -> Column:
     """Array of 8 hex groups for a syntactically valid IPv6 text, else NULL."""
-    s = F.regexp_replace(_col(c), "%.*$", "")          # drop a zone index
-    n_double = F.size(F.split(s, "::")) - 1
-    left = F.split_part(s, F.lit("::"), F.lit(1))
-    right = F.split_part(s, F.lit("::"), F.lit(2))
     empty = F.array().cast("array<string>")
-    left_groups = F.when(left == "", empty).otherwise(F.split(left, ":"))
-    right_groups = F.when(right == "", empty).otherwise(F.split(right, ":"))
-    missing = F.lit(8) - F.size(left_groups) - F.size(right_groups)
-    compressed = F.concat(left_groups, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right_groups)
-    plain = F.split(s, ":")
-    groups = (F.when(n_double == 0, plain)
-              .when((n_double == 1) & (missing >= 1), compressed))
-    ok = ((F.size(groups) == 8)
-          & F.forall(groups, lambda g: g.rlike(_HEXGROUP))
-          & s.contains(":") & ~s.contains(":::"))
-    return F.when(F.coalesce(ok, F.lit(False)), groups)
+
+    def from_text(s: Column) -> Column:
+        n_double = F.size(F.split(s, "::")) - 1
+        left = F.split_part(s, F.lit("::"), F.lit(1))
+        right = F.split_part(s, F.lit("::"), F.lit(2))
+        left_groups = F.when(left == "", empty).otherwise(F.split(left, ":"))
+        right_groups = F.when(right == "", empty).otherwise(F.split(right, ":"))
+
+        def expand(lr: Column) -> Column:
+            missing = F.lit(8) - F.size(lr["l"]) - F.size(lr["r"])
+            compressed = F.concat(lr["l"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), lr["r"])
+            return F.when(n_double == 0, F.split(s, ":")).when((n_double == 1) & (missing >= 1), compressed)
+
+        groups = let(F.struct(left_groups.alias("l"), right_groups.alias("r")), expand)
+
+        def check(g: Column) -> Column:
+            ok = ((F.size(g) == 8) & F.forall(g, lambda x: x.rlike(_HEXGROUP))
+                  & s.contains(":") & ~s.contains(":::"))
+            return F.when(F.coalesce(ok, F.lit(False)), g)
+
+        return let(groups, check)
+
+    return let(F.regexp_replace(_col(c), "%.*$", ""), from_text)     # zone index dropped
 
 
 def is_valid_ipv6(c) -> Column:
@@ -67,40 +81,49 @@ def is_valid_ip(c) -> Column:
 
 def ipv6_halves(c) -> Column:
     """STRUCT<hi DECIMAL(20,0), lo DECIMAL(20,0)> for IPv6 text, NULL otherwise."""
-    g = _ipv6_groups(c)
     dec = "decimal(20,0)"
 
-    def half(offset: int) -> Column:
-        acc = F.lit(0).cast(dec)
-        for i in range(4):
-            v = F.conv(F.element_at(g, offset + i + 1), 16, 10).cast(dec)
-            acc = (acc * F.lit(65536).cast(dec) + v).cast(dec)
-        return acc
+    def halves(g: Column) -> Column:
+        def half(offset: int) -> Column:
+            acc = F.lit(0).cast(dec)
+            for i in range(4):
+                v = F.conv(F.element_at(g, offset + i + 1), 16, 10).cast(dec)
+                acc = (acc * F.lit(65536).cast(dec) + v).cast(dec)
+            return acc
+        return F.when(g.isNotNull(), F.struct(half(0).alias("hi"), half(4).alias("lo")))
 
-    return F.when(g.isNotNull(), F.struct(half(0).alias("hi"), half(4).alias("lo")))
+    return let(_ipv6_groups(c), halves)
 
 
 def ip_to_int(c) -> Column:
     """IP text -> number (DOUBLE): IPv4 exact, IPv6 approximate, invalid -> 0."""
-    h = ipv6_halves(c)
-    v6 = h["hi"].cast("double") * F.lit(float(2 ** 64)) + h["lo"].cast("double")
+    c = _col(c)
+
+    def v6(h: Column) -> Column:
+        return F.when(h.isNotNull(), h["hi"].cast("double") * F.lit(float(2 ** 64)) + h["lo"].cast("double"))
+
     return (F.when(is_valid_ipv4(c), ipv4_to_int(c).cast("double"))
-            .when(h.isNotNull(), v6)
-            .otherwise(F.lit(0.0)))
+            .otherwise(F.coalesce(let(ipv6_halves(c), v6), F.lit(0.0))))
 
 
 def canonical_ip(c) -> Column:
     """Canonical text of a valid address (IPv4 as is; IPv6 lower-case,
     no leading zeros, leftmost longest zero run compressed); NULL if invalid."""
     c = _col(c)
-    g = _ipv6_groups(c)
-    short = F.array_join(F.transform(g, lambda x: F.lower(F.conv(x, 16, 16))), ":")
-    out = short
-    # leftmost longest run (>= 2 groups) of zero groups becomes "::"
-    for run in range(8, 1, -1):
-        zeros = "0" + ":0" * (run - 1)
-        hit = rf"(^|:){zeros}(:|$)"
-        pat = rf"^((?:[0-9a-f]+:)*?){zeros}((?::[0-9a-f]+)*)$"
-        replaced = F.regexp_replace(F.regexp_replace(short, pat, "$1|$2"), r":?\|:?", "::")
-        out = F.when(short.rlike(hit) & ~F.coalesce(out.contains("::"), F.lit(False)), replaced).otherwise(out)
-    return F.when(is_valid_ipv4(c), c).when(g.isNotNull(), out)
+
+    def compress(short: Column) -> Column:
+        out = short
+        # leftmost longest run (>= 2 groups) of zero groups becomes "::"
+        for run in range(2, 9):
+            zeros = "0" + ":0" * (run - 1)
+            hit = rf"(^|:){zeros}(:|$)"
+            pat = rf"^((?:[0-9a-f]+:)*?){zeros}((?::[0-9a-f]+)*)$"
+            replaced = F.regexp_replace(F.regexp_replace(short, pat, "$1|$2"), r":?\|:?", "::")
+            out = F.when(short.rlike(hit), replaced).otherwise(out)
+        return out
+
+    def from_groups(g: Column) -> Column:
+        short = F.array_join(F.transform(g, lambda x: F.lower(F.conv(x, 16, 16))), ":")
+        return F.when(g.isNotNull(), let(short, compress))
+
+    return F.when(is_valid_ipv4(c), c).otherwise(let(_ipv6_groups(c), from_groups))

@@ -41,7 +41,9 @@ def with_flow(body: str, extra_ctes: str = "") -> str:
 def fmt2(x: str) -> str:
     """Spark's ``format_string('%.2f', x)``: HALF_UP on the shortest decimal
     text of the double."""
-    return f"printf('%.2f', round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,12)), 2))"
+    r = f"round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,30)), 2)"
+    # Java keeps the sign of a negative value that rounds to zero: -0.00
+    return f"(CASE WHEN ({x}) < 0 AND {r} = 0 THEN '-' ELSE '' END || printf('%.2f', {r}))"
 
 
 def sha_mod(text: str, modulus: int, base: int = 0) -> str:

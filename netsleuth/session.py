@@ -83,3 +83,12 @@ def local_path(path: str) -> str:
 
 def exists(path: str) -> bool:
     return os.path.exists(local_path(path))
+
+
+def materialize(df, eager: bool = True):
+    """Cut the lineage of ``df`` with a reliable checkpoint written below
+    ``spark.checkpoint.dir`` (shared storage on a cluster, so the result
+    survives executor loss).  Used at stage boundaries whose output is much
+    smaller than their input and is read several times downstream."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
