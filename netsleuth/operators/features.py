@@ -96,16 +96,18 @@ def conn_velocity(df: DataFrame, src: str = "src_ip", ts_col: str = "timestamp",
     (t_p - t_{p-rows}) / rows, and (t_p - t_0) / p while p < rows, so only one
     look-back is needed.  Rows without time, and each source's first row, get 0.
     """
-    timed = df.where(F.col(ts_col).isNotNull())
-    untimed = df.where(F.col(ts_col).isNull()).withColumn("conn_velocity", F.lit(0.0))
-    d = timed.withColumn("_us", F.unix_micros(F.col(ts_col).cast("timestamp")))
-    d = sequence.positions(d, src, ts_col, tie_col)
-    # positions below ``rows`` look back to the source's first row instead
-    d = sequence.lookback(d, src, F.greatest(F.col("_pos") - rows, F.lit(0)), ["_us"])
-    n = F.least(F.col("_pos"), F.lit(rows))
-    v = F.when(F.col("_pos") == 0, F.lit(0.0)).otherwise((F.col("_us") - F.col("_lag__us")).cast("double") / n / F.lit(1e6))
-    d = d.withColumn("conn_velocity", v.cast("double")).drop("_us", "_pos", "_lag__us")
-    return d.unionByName(untimed)
+    d = df.withColumn("_us", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    # positions below ``rows`` look back to the source's first timed row;
+    # rows without time sort first and are skipped by counting timed rows only
+    d = d.withColumn("_timed", F.col("_us").isNotNull().cast("long"))
+    d = sequence.positions(d, src, ts_col, tie_col, sums=["_timed"])
+    first_timed = F.col("_pos") - F.col("_cum__timed") + 1          # position of the first timed row
+    back = F.greatest(F.col("_pos") - rows, first_timed)
+    d = sequence.lookback(d, src, back, ["_us"])
+    n = F.least(F.col("_cum__timed") - 1, F.lit(rows))
+    v = F.when(F.col("_us").isNull() | (n <= 0), F.lit(0.0)) \
+         .otherwise((F.col("_us") - F.col("_lag__us")).cast("double") / n / F.lit(1e6))
+    return d.withColumn("conn_velocity", v.cast("double")).drop("_us", "_pos", "_lag__us", "_timed", "_cum__timed")
 
 
 def conn_5m(df: DataFrame, src: str = "src_ip", ts_col: str = "timestamp",
@@ -131,12 +133,10 @@ def add_proto_features(df: DataFrame) -> DataFrame:
 
 def add_rarity(df: DataFrame) -> DataFrame:
     """A7 + J2 + F8: port and destination rarity, 1 / (1e-6 + share)."""
-    out = df
-    for col, name in (("dest_port", "port_rarity"), ("dest_ip", "ip_rarity")):
-        total = df.select(F.count(col).alias("t")).scalar()
-        freq = df.where(F.col(col).isNotNull()).groupBy(col).agg((F.count(F.lit(1)) / total).alias(f"_f_{name}"))
-        out = out.join(freq, col, "left").withColumn(name, rarity(f"_f_{name}")).drop(f"_f_{name}")
-    return out
+    out = df.join(_freq_table(df, "dest_port", "_f_port"), "dest_port", "left") \
+            .join(_freq_table(df, "dest_ip", "_f_ip"), "dest_ip", "left")
+    return out.withColumn("port_rarity", rarity("_f_port")).withColumn("ip_rarity", rarity("_f_ip")) \
+              .drop("_f_port", "_f_ip")
 
 
 def proto_codes(df: DataFrame, col: str = "proto", out_col: str = "proto_code") -> DataFrame:
@@ -144,10 +144,7 @@ def proto_codes(df: DataFrame, col: str = "proto", out_col: str = "proto_code")
 
     The code table has one row per distinct protocol; it is ranked once and
     joined back (the optimizer broadcasts it by its runtime size)."""
-    from pyspark.sql import Window
-    codes = df.select(col).where(F.col(col).isNotNull()).distinct() \
-              .withColumn(out_col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))
-    out = df.join(codes, col, "left")
+    out = df.join(_proto_code_table(df, col, out_col), col, "left")
     return out.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(-1)))
 
 
@@ -169,30 +166,51 @@ def ensure_columns(df: DataFrame, defaults: dict = FEATURE_DEFAULTS) -> DataFram
 
 
 def features(df: DataFrame, raw_ts_col: str | None = None, failed_by_flags: bool | None = None,
-             keep: tuple = ("training_label",)) -> DataFrame:
+             keep: tuple = ("training_label",), checkpoint: bool = True) -> DataFrame:
     """Stored events -> the 24-column feature table (P5), plus ``keep`` columns.
 
     ``src_ip``/``dest_ip`` become numbers (F1), ``proto`` its code (W4); the
     label column is carried beside the features (never one of them).  The
     flag-based failed ratio (W1) is used when the flag columns exist, as in
     the reference; otherwise the severity-based one (A4).
+
+    Plan shape: every aggregate (per source, per protocol, per port, per
+    destination, protocol codes) is computed from the same base rows and
+    joined back in one chain (each aggregate is small and broadcast by its
+    runtime size).  The enriched rows are then checkpointed once, because the
+    ordered features (trailing count, inter-arrival mean, rolling ratio) read
+    their input several times.
     """
     d = ensure_columns(df, {"alert_severity": 0, "packet_length": 0, "dest_port": 0,
                             "src_port": 0, "dest_ip": "0.0.0.0", "src_ip": "0.0.0.0"})
-    d = with_hour(d, raw_col=raw_ts_col)
-    d = add_source_features(d)
+    base = with_hour(d, raw_col=raw_ts_col)
+    stats = source_stats(base)
+    pstats = proto_stats(base)
+    codes = _proto_code_table(base)
+    port_freq = _freq_table(base, "dest_port", "_f_port")
+    ip_freq = _freq_table(base, "dest_ip", "_f_ip")
+    out = (base.join(stats, "src_ip", "left")
+               .join(pstats, "proto", "left")
+               .join(codes, "proto", "left")
+               .join(port_freq, "dest_port", "left")
+               .join(ip_freq, "dest_ip", "left"))
+    out = (out.withColumn("hour_anomaly", hour_anomaly_flag("hour", "modal_hour"))
+              .withColumn("pkt_anomaly", pkt_anomaly_flag("packet_length", "proto_pkt_mean", "proto_pkt_std"))
+              .withColumn("proto_code", F.coalesce(F.col("proto_code"), F.lit(-1)))
+              .withColumn("port_rarity", rarity("_f_port")).withColumn("ip_rarity", rarity("_f_ip"))
+              .drop("_f_port", "_f_ip"))
+    if checkpoint:
+        from netsleuth.session import materialize
+        out = materialize(out)
     if failed_by_flags is None:
         failed_by_flags = {"tcp_flags", "tcp_flags_tc"}.issubset(set(df.columns))
     if failed_by_flags:
-        d = failed_ratio_rolling(d).withColumn("failed_ratio", F.col("failed_ratio_rolling")) \
-             .drop("failed_ratio_rolling")
-    d = conn_velocity(d)
-    d = add_proto_features(d)
-    d = add_rarity(d)
-    d = conn_5m(d)
-    d = proto_codes(d)
-    d = label_value(d) if "training_label" in d.columns else d
-    d = ensure_columns(d)
+        out = failed_ratio_rolling(out).withColumn("failed_ratio", F.col("failed_ratio_rolling")) \
+                                       .drop("failed_ratio_rolling")
+    out = conn_5m(out)
+    out = conn_velocity(out)
+    out = label_value(out) if "training_label" in out.columns else out
+    out = ensure_columns(out)
     out_cols = []
     for c in FEATURE_TABLE_COLUMNS:
         if c in ("src_ip", "dest_ip"):
@@ -203,5 +221,16 @@ def features(df: DataFrame, raw_ts_col: str | None = None, failed_by_flags: bool
             out_cols.append(F.col("event_id").cast("string").alias("event_id"))
         else:
             out_cols.append(F.col(c))
-    extra = [F.col(c) for c in keep if c in d.columns]
-    return d.select(*out_cols, *extra)
+    extra = [F.col(c) for c in keep if c in out.columns]
+    return out.select(*out_cols, *extra)
+
+
+def _proto_code_table(df: DataFrame, col: str = "proto", out_col: str = "proto_code") -> DataFrame:
+    from pyspark.sql import Window
+    return df.select(col).where(F.col(col).isNotNull()).distinct() \
+             .withColumn(out_col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))
+
+
+def _freq_table(df: DataFrame, col: str, name: str) -> DataFrame:
+    total = df.select(F.count(col)).scalar()
+    return df.where(F.col(col).isNotNull()).groupBy(col).agg((F.count(F.lit(1)) / total).alias(name))

@@ -4,3 +4,4 @@ from netsleuth.plans import q_features  # noqa: F401
 from netsleuth.plans import q_ingest  # noqa: F401
 from netsleuth.plans import q_model  # noqa: F401
 from netsleuth.plans import q_rules  # noqa: F401
+from netsleuth.plans import q_tables  # noqa: F401
