@@ -124,11 +124,15 @@ def dedup_new(batch: DataFrame, stored_keys: DataFrame | None) -> DataFrame:
     """
     if "event_date" not in batch.columns:
         batch = with_event_date(batch)
-    fresh = batch.dropDuplicates(["event_hash"])
+    others = [c for c in batch.columns if c != "event_hash"]
+    # deterministic survivor among rows sharing a hash: min of the remaining fields
+    fresh = (batch.groupBy("event_hash").agg(F.min(F.struct(*others)).alias("_r"))
+                  .select("event_hash", *[F.col(f"_r.{c}").alias(c) for c in others]))
     if stored_keys is None:
         return fresh
-    keys = stored_keys.select("event_date", "event_hash")
-    return fresh.join(keys, ["event_date", "event_hash"], "left_anti")
+    keys = stored_keys.select(F.col("event_date").alias("_d"), F.col("event_hash").alias("_h"))
+    cond = (fresh["event_hash"] == keys["_h"]) & fresh["event_date"].eqNullSafe(keys["_d"])
+    return fresh.join(keys, cond, "left_anti")
 
 
 def ingest(lines: DataFrame, modes: DataFrame | None = None, stored_keys: DataFrame | None = None,

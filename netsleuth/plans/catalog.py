@@ -6,3 +6,4 @@ from netsleuth.plans import q_model  # noqa: F401
 from netsleuth.plans import q_rules  # noqa: F401
 from netsleuth.plans import q_tables  # noqa: F401
 from netsleuth.plans import q_detect  # noqa: F401
+from netsleuth.plans import q_stream  # noqa: F401
