@@ -61,20 +61,36 @@ def attach_mode(events: DataFrame, modes: DataFrame, ts_col: str = "timestamp",
     return _attach_bucketed(events, n, ts_col)
 
 
+HOUR_MICROS = 3600 * 1_000_000
+
+
 def _attach_broadcast(events: DataFrame, n: DataFrame, ts_col: str) -> DataFrame:
-    # mode changes sharing one instant: keep the last-written row only
-    w = Window.orderBy("effective_from")
-    iv = (n.groupBy("effective_from").agg(F.max_by(F.struct("mode", "session"), F.lit(1)).alias("m"))
+    """Small log: ``[from, to)`` intervals expanded into the hour buckets they
+    cover, broadcast, and equi-joined on the event's hour bucket (a hash join
+    plus a range check on a handful of candidates, never a nested loop).  The
+    open-ended last interval is applied as a scalar comparison."""
+    w = Window.orderBy("effective_from")                 # the log is small: its size was checked
+    iv = (n.groupBy("effective_from").agg(F.max(F.struct("mode", "session")).alias("m"))
            .select("effective_from", "m.*")
            .withColumn("effective_to", F.lead("effective_from").over(w)))
-    t = F.col(ts_col)
-    cond = (t >= F.col("effective_from")) & (F.col("effective_to").isNull() | (t < F.col("effective_to")))
-    ivb = F.broadcast(iv.select("effective_from", "effective_to",
-                                F.col("mode").alias("_mode"), F.col("session").alias("_session")))
-    out = events.join(ivb, cond, "left")
-    return (out.withColumn("mode", F.coalesce(F.col("_mode"), F.lit(K.MODE_OFF)))
-               .withColumn("session", F.col("_session"))
-               .drop("_mode", "_session", "effective_from", "effective_to"))
+    last = iv.where(F.col("effective_to").isNull()).select(
+        micros("effective_from").alias("from_us"), "mode", "session").first()
+    f_us, t_us = micros("effective_from"), micros("effective_to")
+    closed = iv.where(F.col("effective_to").isNotNull()).select(
+        F.explode(F.sequence(F.floor(f_us / HOUR_MICROS), F.floor((t_us - 1) / HOUR_MICROS))).alias("_hb"),
+        f_us.alias("_from"), t_us.alias("_to"), F.col("mode").alias("_mode"), F.col("session").alias("_session"))
+    t = micros(ts_col)
+    ev = events.withColumn("_t", t).withColumn("_hb", F.floor(F.col("_t") / HOUR_MICROS))
+    cond = ((ev["_hb"] == closed["_hb"]) & (ev["_t"] >= closed["_from"]) & (ev["_t"] < closed["_to"]))
+    out = ev.join(F.broadcast(closed), cond, "left").drop(closed["_hb"])
+    mode, session = F.col("_mode"), F.col("_session")
+    if last is not None:
+        after = F.col("_t") >= F.lit(last["from_us"])
+        mode = F.coalesce(mode, F.when(after, F.lit(last["mode"])))
+        session = F.when(F.col("_mode").isNotNull(), session).when(after, F.lit(last["session"]))
+    return (out.withColumn("mode", F.coalesce(mode, F.lit(K.MODE_OFF)))
+               .withColumn("session", session.cast("string"))
+               .drop("_mode", "_session", "_from", "_to", "_t", "_hb"))
 
 
 def _attach_bucketed(events: DataFrame, n: DataFrame, ts_col: str) -> DataFrame:

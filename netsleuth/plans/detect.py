@@ -55,7 +55,10 @@ def select_threshold(scored: DataFrame, ground_truth: DataFrame | None) -> float
 
 
 def score_and_rules(stored: DataFrame, detector: Detector, thr: float,
-                    existing_rules: DataFrame | None = None, feature_rows: DataFrame | None = None) -> dict:
-    """Score the stored events and run the rule generator on them."""
-    scored = score_events(stored, detector, feature_rows)
+                    existing_rules: DataFrame | None = None, feature_rows: DataFrame | None = None,
+                    scored: DataFrame | None = None) -> dict:
+    """Score the stored events (unless ``scored`` is given) and run the
+    rule generator on them."""
+    if scored is None:
+        scored = score_events(stored, detector, feature_rows)
     return R.generate(scored, stored, thr, existing_rules)

@@ -27,8 +27,9 @@ def score_and_rules(spark, sf_dir):
     session (M7), then generate the rules (M10)."""
     stored = flows(spark, sf_dir).drop("anomaly_score")
     det, ft = D.train(stored)
-    scored = D.score_events(stored, det, ft)
+    from netsleuth.session import materialize
+    scored = materialize(D.score_events(stored, det, ft))     # read by the sweep and the rule run
     gt = EV.ground_truth(stored, SESSION).select("event_id", "prediction_g")
     thr = D.select_threshold(scored, gt)
-    run = D.score_and_rules(stored, det, thr, feature_rows=ft)
+    run = D.score_and_rules(stored, det, thr, scored=scored)
     return run["new_rules"].select("kind", "sid", "text")
