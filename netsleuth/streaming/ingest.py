@@ -72,10 +72,10 @@ def start_ingest(spark: SparkSession, source_dir: str, stored_path: str, checkpo
 
 
 def start_rule_schedule(spark: SparkSession, scored_dir: str, schema, on_batch, checkpoint: str,
-                        every: str = "5 minutes"):
+                        every: str = "5 minutes", trigger: dict | None = None):
     """T4 + T5: run ``on_batch(df, epoch)`` (e.g. rule generation) over newly
-    scored files every ``every``; the checkpoint replaces the 'processed'
-    flag, so every event is consumed once."""
+    scored files every ``every`` (or a scheduled ``availableNow`` run); the
+    checkpoint replaces the 'processed' flag, so every event is consumed once."""
     stream = spark.readStream.schema(schema).parquet(scored_dir)
     return (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-                  .trigger(processingTime=every).start())
+                  .trigger(**(trigger or {"processingTime": every})).start())

@@ -71,3 +71,38 @@ def test_mode_log_append_and_current(spark, tmp):
     A.append_mode(spark, p, "anomaly", "abc", at="2024-01-02 00:00:00")
     cur = current_mode(spark.read.parquet(p)).first()
     assert cur.mode == "anomaly" and cur.session == "abc"
+
+
+def test_score_and_truth_tables_round_trip(spark, tmp):
+    from netsleuth.operators import evaluate as EV
+    from netsleuth.operators import explore as EX
+    from netsleuth.sources.flowview import flows, with_model_prediction
+    scores = with_model_prediction(flows(spark, SF)).select("event_id", "anomaly_score", "prediction")
+    gt = EV.ground_truth(flows(spark, SF), "session-a").select("event_id", "training_label", "gt_label")
+    A.write_table(scores, os.path.join(tmp, "scores"), csv=True)          # K3
+    A.write_table(gt, os.path.join(tmp, "gt"))                             # K4
+    s = A.table_or_empty(spark, os.path.join(tmp, "scores"), scores.schema)   # S7: declared schema, ids as text
+    g = A.table_or_empty(spark, os.path.join(tmp, "gt"), gt.schema)
+    assert s.count() == scores.count() and dict(s.dtypes)["event_id"] == "string"
+    assert EV.join_scores(s, g).count() == g.count()
+    head = EX.preview(s, 50)                                               # L4
+    assert head.count() == 50 and [r.event_id for r in head.collect()] == sorted(r.event_id for r in head.collect())
+
+
+def test_scheduled_rule_run_consumes_each_file_once(spark, tmp):
+    from netsleuth.operators import rules as R
+    from netsleuth.sources.flowview import flows, with_model_prediction
+    scored = with_model_prediction(flows(spark, SF))
+    src, out, ckpt = os.path.join(tmp, "scored"), os.path.join(tmp, "rules"), os.path.join(tmp, "ckpt")
+    scored.where("timestamp < '2024-01-15'").write.parquet(src)
+    seen = []
+
+    def on_batch(df, epoch):
+        seen.append(df.count())
+        R.generate(df, df, 0.2, checkpoint=False)["flow_rules"].write.mode("append").parquet(out)
+
+    for _ in range(2):          # the second run finds nothing new
+        SI.start_rule_schedule(spark, src, scored.schema, on_batch, ckpt, trigger={"availableNow": True}).awaitTermination()
+    scored.where("timestamp >= '2024-01-15'").write.mode("append").parquet(src)
+    SI.start_rule_schedule(spark, src, scored.schema, on_batch, ckpt, trigger={"availableNow": True}).awaitTermination()
+    assert sum(seen) == scored.count()
