@@ -34,15 +34,20 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(stored).select(*_COLS)
 
 
-@register("stream_conn_window", "T6")
+@register("stream_conn_window", "T6", with_flow("""
+SELECT w.window_start, w.window_start + INTERVAL 5 MINUTE AS window_end, w.src_ip, count(*) AS n
+FROM (SELECT src_ip, time_bucket(INTERVAL 1 MINUTE, "timestamp") - to_minutes(k) AS window_start
+      FROM flow, range(5) r(k) WHERE "timestamp" IS NOT NULL) w
+GROUP BY w.window_start, w.src_ip
+HAVING w.window_start + INTERVAL 5 MINUTE <= (SELECT max("timestamp") FROM flow) - INTERVAL 10 MINUTE"""))
 def stream_conn_window(spark, sf_dir):
     """Sliding 5-minute / 1-minute counts per source over the flow records
-    streamed from Parquet files (append mode: windows closed by the
-    watermark)."""
+    streamed from Parquet files; append mode, so a window is emitted once the
+    watermark (10 minutes behind the newest event) has passed its end."""
     src = scratch_path(spark, "flow-files")
     flows(spark, sf_dir).repartition(4).write.parquet(src)
     schema = spark.read.parquet(src).schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(src)
+    events = spark.readStream.schema(schema).parquet(src)
     out, ckpt = scratch_path(spark, "conn-windows"), scratch_path(spark, "conn-ckpt")
     q = SW.start_sliding_counts(events, out, ckpt, trigger={"availableNow": True})
     q.awaitTermination()
