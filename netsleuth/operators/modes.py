@@ -19,8 +19,9 @@ from netsleuth.functions.scalar import normalise_mode
 
 # Mode logs up to this many rows are broadcast (their size is checked first).
 BROADCAST_MAX_ROWS = 100_000
-# Bucket width for the large-log path.
+# Bucket width and salt count for the large-log path.
 BUCKET_MICROS = 60 * 1_000_000
+SALTS = 16
 
 
 def normalise_log(modes: DataFrame) -> DataFrame:
@@ -105,14 +106,17 @@ def _attach_bucketed(events: DataFrame, n: DataFrame, ts_col: str) -> DataFrame:
     carry_w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = buckets.select("_b", F.last("_last", ignorenulls=True).over(carry_w).alias("_carry"))
     # inside each bucket: carry the latest mode row forward (mode rows sort
-    # before events at the same instant: effective_from <= ts applies)
-    tagged_ev = ev.withColumn("_kind", F.lit(1)).withColumn("_m", F.lit(None).cast(md.schema["_m"].dataType))
-    tagged_md = md.withColumn("_kind", F.lit(0))
+    # before events at the same instant: effective_from <= ts applies).
+    # Events are salted by a row hash and the few mode rows of a bucket are
+    # copied to every salt, so a flood minute is spread over SALTS tasks.
+    tagged_ev = (ev.withColumn("_kind", F.lit(1)).withColumn("_m", F.lit(None).cast(md.schema["_m"].dataType))
+                   .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in events.columns]), F.lit(SALTS))))
+    tagged_md = md.withColumn("_kind", F.lit(0)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     allrows = tagged_ev.unionByName(tagged_md, allowMissingColumns=True)
-    w = (Window.partitionBy("_b").orderBy("_t", "_kind")
+    w = (Window.partitionBy("_b", "_salt").orderBy("_t", "_kind", "_m")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     merged = allrows.withColumn("_in", F.last("_m", ignorenulls=True).over(w)).where(F.col("_kind") == 1)
     merged = merged.join(carry, "_b", "left")
     m = F.coalesce(F.col("_in"), F.col("_carry"))
     out = merged.withColumn("mode", F.coalesce(m["mode"], F.lit(K.MODE_OFF))).withColumn("session", m["session"])
-    return out.drop("_t", "_b", "_kind", "_m", "_in", "_carry")
+    return out.drop("_t", "_b", "_kind", "_m", "_in", "_carry", "_salt")

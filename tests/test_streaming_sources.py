@@ -106,3 +106,14 @@ def test_scheduled_rule_run_consumes_each_file_once(spark, tmp):
     scored.where("timestamp >= '2024-01-15'").write.mode("append").parquet(src)
     SI.start_rule_schedule(spark, src, scored.schema, on_batch, ckpt, trigger={"availableNow": True}).awaitTermination()
     assert sum(seen) == scored.count()
+
+
+def test_recent_lines_reader(spark, tmp):
+    from netsleuth.sources.flowview import load_table, raw_lines
+    src = os.path.join(tmp, "log")
+    raw_lines(load_table(spark, SF, "events")).write.text(src)
+    recent = E.recent_lines(spark, src, n=100).collect()
+    assert len(recent) == 100
+    times = [r.timestamp for r in recent]
+    assert times == sorted(times, reverse=True)
+    assert E.quarantined(spark, src).count() == 0
