@@ -53,3 +53,23 @@ def stream_conn_window(spark, sf_dir):
     q.awaitTermination()
     return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
                                   .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
+@register("stream_conn_5m_exact", "T6,W3", with_flow("""
+SELECT event_id, src_ip, "timestamp", conn_5m FROM (
+  SELECT event_id, src_ip, "timestamp", count(*) OVER (PARTITION BY src_ip ORDER BY epoch_us("timestamp")
+         RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS conn_5m
+  FROM flow WHERE "timestamp" IS NOT NULL)
+WHERE "timestamp" < (SELECT max("timestamp") FROM flow) - INTERVAL 10 MINUTE"""))
+def stream_conn_5m_exact(spark, sf_dir):
+    """Exact per-event trailing 5-minute count on a stream (stateful); rows are
+    final once the watermark (10 minutes behind the newest event) passes them."""
+    src = scratch_path(spark, "flow-files")
+    flows(spark, sf_dir).repartition(4).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    events = spark.readStream.schema(schema).parquet(src)
+    out, ckpt = scratch_path(spark, "conn5m-exact"), scratch_path(spark, "conn5m-ckpt")
+    q = (SW.exact_trailing_counts(events).writeStream.outputMode("append").format("parquet")
+         .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))

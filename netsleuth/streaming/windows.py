@@ -24,3 +24,61 @@ def start_sliding_counts(events: DataFrame, out_path: str, checkpoint: str, trig
     q = (sliding_counts(events, **kw).writeStream.outputMode("append").format("parquet")
          .option("path", out_path).option("checkpointLocation", checkpoint))
     return q.trigger(**(trigger or {"processingTime": "1 minute"})).start()
+
+
+def exact_trailing_counts(events: DataFrame, ts_col: str = "timestamp", key: str = "src_ip",
+                          id_col: str = "event_id", seconds: int = 300, watermark: str = "10 minutes") -> DataFrame:
+    """Exact streaming twin of ``conn_5m``: rows of the same source in
+    ``(t - width, t]`` for every event.
+
+    A row waits in its source's state until the watermark has passed it (no
+    earlier row can still arrive), then it is emitted with its count.  State
+    keeps pending rows plus the emitted times a later window can still reach
+    (``width`` behind the watermark), so it is bounded by the source's rate
+    times (watermark delay + width); an event-time timeout flushes it.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    width = seconds * 1_000_000
+    out_schema = f"{id_col} string, {key} string, {ts_col} timestamp, conn_5m long"
+    state_schema = "p_ts array<long>, p_id array<string>, h_ts array<long>"
+
+    def step(k, batches, state):
+        if state.exists:
+            p_ts, p_id, h_ts = (list(x) for x in state.get)
+        else:
+            p_ts, p_id, h_ts = [], [], []
+        for pdf in batches:
+            p_ts.extend(int(v) for v in pdf["_t"])
+            p_id.extend(str(v) for v in pdf[id_col])
+        wm = state.getCurrentWatermarkMs() * 1000
+        ready = [i for i, t in enumerate(p_ts) if wm > 0 and t < wm]
+        out = pd.DataFrame({id_col: pd.Series([], dtype=object), key: pd.Series([], dtype=object),
+                            ts_col: pd.Series([], dtype="datetime64[us]"), "conn_5m": pd.Series([], dtype="int64")})
+        if ready:
+            times = np.sort(np.array(h_ts + p_ts, dtype=np.int64))
+            rt = np.array([p_ts[i] for i in ready], dtype=np.int64)
+            counts = np.searchsorted(times, rt, "right") - np.searchsorted(times, rt - width, "right")
+            out = pd.DataFrame({id_col: [p_id[i] for i in ready], key: [k[0]] * len(ready),
+                                ts_col: pd.to_datetime(rt, unit="us"), "conn_5m": counts.astype("int64")})
+            h_ts = h_ts + rt.tolist()
+            keep = set(range(len(p_ts))) - set(ready)
+            p_ts, p_id = [p_ts[i] for i in sorted(keep)], [p_id[i] for i in sorted(keep)]
+        floor_ = (min(p_ts) if p_ts else wm) - width
+        h_ts = [t for t in h_ts if t > floor_]
+        if p_ts or h_ts:
+            state.update((p_ts, p_id, h_ts))
+            nxt = min(p_ts) if p_ts else max(h_ts) + width
+            state.setTimeoutTimestamp(nxt // 1000 + 1)
+        else:
+            state.remove()
+        yield out
+
+    timed = (events.where(F.col(ts_col).isNotNull())
+                   .select(F.col(id_col).cast("string").alias(id_col), F.col(key).cast("string").alias(key),
+                           F.col(ts_col), F.unix_micros(F.col(ts_col)).alias("_t"))
+                   .withWatermark(ts_col, watermark))
+    return timed.groupBy(key).applyInPandasWithState(step, out_schema, state_schema, "append",
+                                                     GroupStateTimeout.EventTimeTimeout)
