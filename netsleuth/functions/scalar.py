@@ -18,9 +18,13 @@ def coerce_numeric(c) -> Column:
     return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))
 
 
-def hour_anomaly_flag(hour, modal_hour) -> Column:
-    """1 when the hour is more than 3 away from the modal hour (not circular)."""
-    return F.when(F.abs(_col(hour) - F.coalesce(_col(modal_hour), F.lit(0))) > K.HOUR_DEVIATION, 1).otherwise(0)
+def hour_anomaly_flag(hour, modal_hour, circular: bool = False) -> Column:
+    """1 when the hour is more than 3 away from the modal hour.  The reference
+    distance is linear (23 vs 0 is 23); ``circular=True`` uses clock distance."""
+    d = F.abs(_col(hour) - F.coalesce(_col(modal_hour), F.lit(0)))
+    if circular:
+        d = F.least(d, F.lit(24) - d)
+    return F.when(d > K.HOUR_DEVIATION, 1).otherwise(0)
 
 
 def pkt_anomaly_flag(length, mean, std) -> Column:

@@ -19,12 +19,16 @@ from netsleuth.operators import sequence
 from netsleuth.schemas import FEATURE_DEFAULTS, FEATURE_TABLE_COLUMNS
 
 
-def with_hour(df: DataFrame, ts_col: str = "timestamp", raw_col: str | None = None) -> DataFrame:
-    """``hour`` (wall clock as written when the raw text is available, else the
-    UTC hour; unknown -> 0) and ``is_night``."""
-    if raw_col and raw_col in df.columns:
+def with_hour(df: DataFrame, ts_col: str = "timestamp", raw_col: str | None = None,
+              tz: str | None = None) -> DataFrame:
+    """``hour`` and ``is_night``.  The hour is the wall clock as written when
+    the raw text is available, else the hour in ``tz`` (an IANA zone) or UTC;
+    unknown -> 0."""
+    if raw_col and raw_col in df.columns and tz is None:
         from netsleuth.functions.clock import wall_clock_hour
         h = wall_clock_hour(raw_col)
+    elif tz is not None:
+        h = F.coalesce(F.hour(F.from_utc_timestamp(F.col(ts_col), tz)), F.lit(0))
     else:
         h = hour_of(ts_col)
     return df.withColumn("hour", h).withColumn("is_night", is_night("hour"))

@@ -54,7 +54,8 @@ def append_new(batch: DataFrame, stored_path: str) -> int:
             cond = cond | F.col("event_date").isNull()
         stored = s.where(cond).select("event_date", "event_hash")
     new = IG.dedup_new(batch, stored)
-    new.write.mode("append").partitionBy("event_date").parquet(stored_path)
+    # one file per date and micro-batch (a micro-batch is bounded by the trigger)
+    new.repartition("event_date").write.mode("append").partitionBy("event_date").parquet(stored_path)
     return 0
 
 

@@ -102,3 +102,12 @@ def test_feature_table_columns(spark):
     ft = FT.features(flows(spark, "/root/testdata/sf0.001"))
     assert ft.columns[:24] == FEATURE_TABLE_COLUMNS
     assert ft.count() == 1000
+
+
+def test_hour_options(spark):
+    from netsleuth.functions.scalar import hour_anomaly_flag
+    df = spark.createDataFrame([(23, 0), (1, 22), (5, 1)], "hour int, modal int")
+    assert [r[0] for r in df.select(hour_anomaly_flag("hour", "modal")).collect()] == [1, 1, 1]
+    assert [r[0] for r in df.select(hour_anomaly_flag("hour", "modal", circular=True)).collect()] == [0, 0, 1]
+    ts = spark.createDataFrame([(dt.datetime(2024, 1, 1, 22, 30),)], "timestamp timestamp")
+    assert FT.with_hour(ts, tz="Europe/Madrid").first().hour == 23
