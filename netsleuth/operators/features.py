@@ -231,6 +231,7 @@ def features(df: DataFrame, raw_ts_col: str | None = None, failed_by_flags: bool
 
 def _proto_code_table(df: DataFrame, col: str = "proto", out_col: str = "proto_code") -> DataFrame:
     from pyspark.sql import Window
+    # ranked over the distinct protocol names only (a handful of rows)
     return df.select(col).where(F.col(col).isNotNull()).distinct() \
              .withColumn(out_col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))
 

@@ -103,6 +103,7 @@ def _attach_bucketed(events: DataFrame, n: DataFrame, ts_col: str) -> DataFrame:
     per_bucket = md.groupBy("_b").agg(F.max_by("_m", "_t").alias("_last"))
     buckets = ev.select("_b").distinct().unionByName(per_bucket.select("_b")).distinct() \
                 .join(per_bucket, "_b", "left")
+    # one row per minute bucket (bounded by the time span, not by the rows)
     carry_w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = buckets.select("_b", F.last("_last", ignorenulls=True).over(carry_w).alias("_carry"))
     # inside each bucket: carry the latest mode row forward (mode rows sort

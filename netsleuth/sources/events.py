@@ -30,14 +30,17 @@ def recent_lines(spark: SparkSession, path: str, n: int = 1000) -> DataFrame:
 
 
 def stored_events(spark: SparkSession, path: str, training_session: str | None = None,
-                  training_only: bool = False) -> DataFrame:
+                  training_only: bool = False, max_rows: int | None = None) -> DataFrame:
     """Scan the stored table with the optional session predicate
-    (pushed to the Parquet reader); no row cap."""
+    (pushed to the Parquet reader).  No row cap unless ``max_rows`` is given,
+    and then the oldest rows in (timestamp, event_id) order (Q1)."""
     df = spark.read.parquet(path)
     if training_only or training_session is not None:
         df = df.where(F.col("training_mode"))
     if training_session is not None:
         df = df.where(F.col("training_session") == training_session)
+    if max_rows:
+        df = df.orderBy(F.col("timestamp").asc_nulls_first(), F.col("event_id").asc()).limit(max_rows)
     return df
 
 
