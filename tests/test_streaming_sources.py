@@ -40,8 +40,9 @@ def test_stored_table_round_trip(spark, tmp):
     E.write_stored(flows(spark, SF), path, mode="overwrite")
     s = E.stored_events(spark, path, training_session="session-a")
     assert s.count() == flows(spark, SF).where("training_session = 'session-a'").count()
-    plan = s._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(training_session,session-a)" in plan
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = s.select("event_id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(training_session,session-a)" in plan and "ReadSchema: struct<event_id:string,training_mode" in plan
     first = E.stored_events(spark, path, max_rows=3).collect()
     oldest = flows(spark, SF).orderBy("timestamp", "event_id").limit(3).collect()
     assert [r.event_id for r in first] == [r.event_id for r in oldest]
