@@ -35,6 +35,25 @@ SCAN_MIN_PORTS = 10               # strictly more distinct ports than this
 CONTEXT_MIN_EVENTS = 10           # strictly more history rows than this
 MANAGED_RULE_PREFIXES = ("drop ip", "alert ip")
 
+# text formats of the generated rules (Spark format_string syntax)
+FLOW_RULE_MESSAGE = '"ML anomaly (score: %s, len: %d, severity: %d, thr: %s)"'
+FLOW_RULE_FORMAT = "%s %s %s %s -> %s %d (msg:%s; sid:%d; rev:1;)"
+SCAN_RULE_FORMAT = 'alert ip %s any -> any any (msg:"Detected port scanning activity from %s"; sid:%d; rev:1;)'
+CONTEXT_RULE_FORMAT = 'alert %s %s any -> any %d:%d (msg:"Suspicious port range access from %s"; sid:%d;)'
+ANY_PORT = "any"
+SCORE_ID_DECIMALS = 3                # score rounding inside the flow-rule id text
+
+# fields hashed for event de-duplication, in order, joined by "|", missing as "None"
+EVENT_HASH_FIELDS = (
+    "event_type", "timestamp", "src_ip", "dest_ip", "proto", "src_port", "dest_port", "flow_id",
+    "alert_signature", "dns_query", "tls_sni", "http_hostname", "http_url",
+)
+HASH_SEPARATOR = "|"
+MISSING_IN_KEY = "None"
+FALLBACK_ID_SEPARATOR = "-"          # md5("src-dest-timestamp")
+SESSION_TIME_FORMAT = "yyyyMMdd-HHmm"  # "<label>-yyyyMMdd-HHmm"
+SESSION_RANDOM_HEX = 16               # sha256("<mode>-<epoch seconds>")[:16]
+
 # feature constants
 ENTROPY_EPS = 1e-10
 RARITY_EPS = 1e-6

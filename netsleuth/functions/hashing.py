@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NONE_TEXT = "None"     # how a missing value is printed inside hashed keys
+from netsleuth import constants as K
+
+NONE_TEXT = K.MISSING_IN_KEY     # how a missing value is printed inside hashed keys
 
 
 def _col(c) -> Column:
@@ -20,12 +22,12 @@ def _text(c) -> Column:
 
 def event_hash(columns: Sequence) -> Column:
     """SHA-256 hex of the given fields joined by '|', NULL printed as 'None'."""
-    return F.sha2(F.concat_ws("|", *[_text(c) for c in columns]), 256)
+    return F.sha2(F.concat_ws(K.HASH_SEPARATOR, *[_text(c) for c in columns]), 256)
 
 
 def fallback_event_id(src_ip, dest_ip, raw_timestamp) -> Column:
     """MD5 hex of 'src-dest-timestamp' for events without a stored id."""
-    return F.md5(F.concat_ws("-", _text(src_ip), _text(dest_ip), _text(raw_timestamp)))
+    return F.md5(F.concat_ws(K.FALLBACK_ID_SEPARATOR, _text(src_ip), _text(dest_ip), _text(raw_timestamp)))
 
 
 def sha_mod(text, modulus: int, base: int = 0) -> Column:
@@ -48,10 +50,10 @@ def sha_mod(text, modulus: int, base: int = 0) -> Column:
 
 def session_id_from_time(label, ts) -> Column:
     """'<label>-yyyyMMdd-HHmm' in UTC."""
-    return F.concat_ws("-", _col(label), F.date_format(_col(ts), "yyyyMMdd-HHmm"))
+    return F.concat_ws("-", _col(label), F.date_format(_col(ts), K.SESSION_TIME_FORMAT))
 
 
 def session_id_random(mode, ts) -> Column:
     """First 16 hex digits of SHA-256('<mode>-<epoch seconds>')."""
     secs = (F.unix_micros(_col(ts)) / F.lit(1_000_000.0)).cast("string")
-    return F.substring(F.sha2(F.concat_ws("-", _col(mode), secs), 256), 1, 16)
+    return F.substring(F.sha2(F.concat_ws("-", _col(mode), secs), 256), 1, K.SESSION_RANDOM_HEX)

@@ -14,12 +14,9 @@ from netsleuth.functions.clock import parse_ts, utc_offset
 from netsleuth.functions.hashing import event_hash, fallback_event_id
 from netsleuth.schemas import RAW_EVENT
 
-# Fields hashed for de-duplication, by their flattened names (Q13 fixed).
-HASH_FIELDS = [
-    "event_type", "timestamp_raw", "src_ip", "dest_ip", "proto", "src_port",
-    "dest_port", "flow_id", "alert_signature", "dns_query", "tls_sni",
-    "http_hostname", "http_url",
-]
+# Fields hashed for de-duplication, by their flattened names (Q13 fixed);
+# the timestamp is hashed as written.
+HASH_FIELDS = ["timestamp_raw" if f == "timestamp" else f for f in K.EVENT_HASH_FIELDS]
 # The reference's effective key: its last five parts were always empty.
 HASH_FIELDS_COMPAT = HASH_FIELDS[:8]
 

@@ -79,7 +79,7 @@ def flow_rules(candidates: DataFrame, thr: float, score_col: str = "anomaly_scor
     src, dst = F.col("_src"), F.col("_dst")
     dport = F.col("dest_port").cast("int")
     sp = F.col("src_port").try_cast("int")
-    src_port = F.when(F.coalesce(sp, F.lit(0)) != 0, sp.cast("string")).otherwise(F.lit("any"))
+    src_port = F.when(F.coalesce(sp, F.lit(0)) != 0, sp.cast("string")).otherwise(F.lit(K.ANY_PORT))
     sev = F.coalesce(F.col("alert_severity").try_cast("int"), F.lit(0))
     pkt = F.coalesce(F.col("packet_length").try_cast("int"), F.lit(0))
     score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0))
@@ -87,13 +87,11 @@ def flow_rules(candidates: DataFrame, thr: float, score_col: str = "anomaly_scor
     drop = (F.col("should_drop") & ~dport.isin(*K.ALERT_ONLY_PORTS) & (score < F.lit(thr)))
     action = F.when(F.coalesce(drop, F.lit(False)), "drop").otherwise("alert")
     uid = F.concat_ws("-", src, dst, proto, dport.cast("string"), sev.cast("string"), pkt.cast("string"),
-                      num_text(score, 3))
+                      num_text(score, K.SCORE_ID_DECIMALS))
     base, mod = K.SID_FLOW_RULE
     sid = sha_mod(uid, mod, base)
-    msg = F.format_string('"ML anomaly (score: %s, len: %d, severity: %d, thr: %s)"', fmt2(score), pkt, sev,
-                          fmt2(F.lit(thr)))
-    text = F.format_string("%s %s %s %s -> %s %d (msg:%s; sid:%d; rev:1;)", action, proto, src, src_port, dst,
-                           dport, msg, sid)
+    msg = F.format_string(K.FLOW_RULE_MESSAGE, fmt2(score), pkt, sev, fmt2(F.lit(thr)))
+    text = F.format_string(K.FLOW_RULE_FORMAT, action, proto, src, src_port, dst, dport, msg, sid)
     return candidates.where(ok).select("event_id", "src_ip", "dest_ip", "dest_port", score.alias("anomaly_score"),
                                        action.alias("action"), sid.alias("sid"), text.alias("text"))
 
@@ -108,8 +106,7 @@ def scan_rules(deduped: DataFrame, port_col: str = "dest_port", min_ports: int =
     ip = F.col("_ip")
     base, mod = K.SID_SCAN_RULE
     sid = sha_mod(ip, mod, base)
-    text = F.format_string('alert ip %s any -> any any (msg:"Detected port scanning activity from %s"; sid:%d; rev:1;)',
-                           ip, ip, sid)
+    text = F.format_string(K.SCAN_RULE_FORMAT, ip, ip, sid)
     return per.where(ip.isNotNull()).select("src_ip", "n_ports", sid.alias("sid"), text.alias("text"))
 
 
@@ -128,8 +125,8 @@ def contextual_rules(deduped: DataFrame, history: DataFrame) -> DataFrame:
     j = deduped.join(h, "src_ip", "inner")
     base, mod = K.SID_CONTEXT_RULE
     sid = sha_mod(F.concat_ws("-", F.col("src_ip"), F.col("dest_port").cast("string"), F.col("proto")), mod, base)
-    text = F.format_string('alert %s %s any -> any %d:%d (msg:"Suspicious port range access from %s"; sid:%d;)',
-                           F.col("proto"), F.col("src_ip"), F.col("port_min"), F.col("port_max"), F.col("src_ip"), sid)
+    text = F.format_string(K.CONTEXT_RULE_FORMAT, F.col("proto"), F.col("src_ip"), F.col("port_min"),
+                           F.col("port_max"), F.col("src_ip"), sid)
     return j.select(sid.alias("sid"), text.alias("text")).distinct()
 
 
