@@ -63,12 +63,16 @@ def attach_mode(events: DataFrame, modes: DataFrame, ts_col: str = "timestamp",
 
 
 HOUR_MICROS = 3600 * 1_000_000
+# Upper bound on the broadcast interval table after bucket expansion.
+MAX_EXPANDED_ROWS = 1_000_000
 
 
 def _attach_broadcast(events: DataFrame, n: DataFrame, ts_col: str) -> DataFrame:
-    """Small log: ``[from, to)`` intervals expanded into the hour buckets they
-    cover, broadcast, and equi-joined on the event's hour bucket (a hash join
-    plus a range check on a handful of candidates, never a nested loop).  The
+    """Small log: ``[from, to)`` intervals expanded into the time buckets they
+    cover, broadcast, and equi-joined on the event's bucket (a hash join plus a
+    range check on a handful of candidates, never a nested loop).  The bucket
+    is one hour, widened when the log spans so long that the expansion could
+    pass ``MAX_EXPANDED_ROWS`` (intervals + span / width <= the bound).  The
     open-ended last interval is applied as a scalar comparison."""
     w = Window.orderBy("effective_from")                 # the log is small: its size was checked
     iv = (n.groupBy("effective_from").agg(F.max(F.struct("mode", "session")).alias("m"))
@@ -77,11 +81,14 @@ def _attach_broadcast(events: DataFrame, n: DataFrame, ts_col: str) -> DataFrame
     last = iv.where(F.col("effective_to").isNull()).select(
         micros("effective_from").alias("from_us"), "mode", "session").first()
     f_us, t_us = micros("effective_from"), micros("effective_to")
+    stats = iv.agg(F.count(F.lit(1)).alias("m"), (F.max(f_us) - F.min(f_us)).alias("span")).first()
+    m, span = int(stats["m"] or 0), int(stats["span"] or 0)
+    width = max(HOUR_MICROS, -(-span // max(1, MAX_EXPANDED_ROWS - 2 * m)))
     closed = iv.where(F.col("effective_to").isNotNull()).select(
-        F.explode(F.sequence(F.floor(f_us / HOUR_MICROS), F.floor((t_us - 1) / HOUR_MICROS))).alias("_hb"),
+        F.explode(F.sequence(F.floor(f_us / width), F.floor((t_us - 1) / width))).alias("_hb"),
         f_us.alias("_from"), t_us.alias("_to"), F.col("mode").alias("_mode"), F.col("session").alias("_session"))
     t = micros(ts_col)
-    ev = events.withColumn("_t", t).withColumn("_hb", F.floor(F.col("_t") / HOUR_MICROS))
+    ev = events.withColumn("_t", t).withColumn("_hb", F.floor(F.col("_t") / width))
     cond = ((ev["_hb"] == closed["_hb"]) & (ev["_t"] >= closed["_from"]) & (ev["_t"] < closed["_to"]))
     out = ev.join(F.broadcast(closed), cond, "left").drop(closed["_hb"])
     mode, session = F.col("_mode"), F.col("_session")

@@ -66,6 +66,14 @@ def test_mode_asof_paths_agree(spark):
     assert a.count() == fl.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert a.select("mode").distinct().count() >= 2
+    import netsleuth.operators.modes as M
+    old = M.MAX_EXPANDED_ROWS
+    try:
+        M.MAX_EXPANDED_ROWS = 50          # forces day-scale buckets: same answer
+        c = attach_mode(fl, ml).select("event_id", "mode", "session")
+        assert c.exceptAll(a).count() == 0 and a.exceptAll(c).count() == 0
+    finally:
+        M.MAX_EXPANDED_ROWS = old
 
 
 def test_dedup_against_store_is_null_safe(spark):
