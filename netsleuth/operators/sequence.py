@@ -36,15 +36,33 @@ def _chunk(ts_col: str, chunk_micros: int) -> F.Column:
 
 def positions(df: DataFrame, key: str, ts_col: str, tie_col: str,
               sums: Sequence[str] = (), chunk_micros: int = DEFAULT_CHUNK_MICROS,
-              pos_col: str = "_pos") -> DataFrame:
+              pos_col: str = "_pos", method: str = "range", parts: int | None = None) -> DataFrame:
     """Add ``pos_col`` (0-based rank within ``key`` ordered by ``ts_col`` NULLS
     FIRST, ``tie_col``) and ``_cum_<c>`` (inclusive running sum) per column in
     ``sums``.
 
-    Two windows partitioned by ``(key, chunk)`` plus one small per-chunk table
-    whose prefix (one row per key and chunk) gives each chunk its offset.
+    The sequence of every key is cut into chunks, ranked inside each chunk
+    (windows partitioned by ``(key, chunk)``), and each chunk gets its offset
+    from a prefix over a small per-chunk table (one row per key and chunk).
+
+    ``method="range"`` (default): chunks are the partitions of
+    ``repartitionByRange(key, time, tie)``, whose sampled boundaries split a
+    hot key over many partitions, so no chunk exceeds one partition whatever
+    the key's rate.  The partition ids are frozen by a reliable checkpoint, so
+    both consumers see identical chunks even after a retry.
+    ``method="time"``: chunks are fixed time slices (``chunk_micros``), one
+    shuffle cheaper, bounded by one key's rows per slice.
     """
-    d = df.withColumn("_chunk", _chunk(ts_col, chunk_micros))
+    if method == "range":
+        from netsleuth.session import materialize
+        spark = df.sparkSession
+        n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                         spark.sparkContext.defaultParallelism)
+        ranged = df.repartitionByRange(n, F.col(key).asc_nulls_first(), F.col(ts_col).asc_nulls_first(),
+                                       F.col(tie_col).asc_nulls_first())
+        d = materialize(ranged.withColumn("_chunk", F.spark_partition_id().cast("bigint")))
+    else:
+        d = df.withColumn("_chunk", _chunk(ts_col, chunk_micros))
     order = [F.col(ts_col).asc_nulls_first(), F.col(tie_col).asc_nulls_first()]
     w_local = Window.partitionBy(key, "_chunk").orderBy(*order)
     w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)

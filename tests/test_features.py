@@ -111,3 +111,13 @@ def test_hour_options(spark):
     assert [r[0] for r in df.select(hour_anomaly_flag("hour", "modal", circular=True)).collect()] == [0, 0, 1]
     ts = spark.createDataFrame([(dt.datetime(2024, 1, 1, 22, 30),)], "timestamp timestamp")
     assert FT.with_hour(ts, tz="Europe/Madrid").first().hour == 23
+
+
+def test_range_chunks_split_a_hot_key(spark):
+    pdf = _random_sequence(3000, seed=5)
+    df = spark.createDataFrame(pdf)
+    ranged = df.repartitionByRange(13, "src_ip", "timestamp", "event_id").withColumn("_p", F.spark_partition_id())
+    assert ranged.where("src_ip = 'hot'").select("_p").distinct().count() > 5     # the hot key is split
+    a = sequence.positions(df, "src_ip", "timestamp", "event_id", parts=13)
+    b = sequence.positions(df, "src_ip", "timestamp", "event_id", method="time")
+    assert {r.event_id: r._pos for r in a.collect()} == {r.event_id: r._pos for r in b.collect()}
