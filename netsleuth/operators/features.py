@@ -115,10 +115,16 @@ def conn_velocity(df: DataFrame, src: str = "src_ip", ts_col: str = "timestamp",
 
 
 def conn_5m(df: DataFrame, src: str = "src_ip", ts_col: str = "timestamp",
-            seconds: int = K.CONN_WINDOW_SECONDS, out_col: str = "conn_5m") -> DataFrame:
+            seconds: int = K.CONN_WINDOW_SECONDS, out_col: str = "conn_5m", id_col: str = "event_id",
+            method: str | None = None) -> DataFrame:
     """Rows of the same source in ``(t - 5 min, t]``; peers with the same
-    time all count; rows without time get 0."""
-    return sequence.trailing_count(df, src, ts_col, seconds * 1_000_000, out_col)
+    time all count; rows without time get 0.  Default: the range-partitioned
+    method (split inside bursts) when a unique id column exists, else the
+    bucketed window (bounded by one source's rows per ten minutes)."""
+    if method is None:
+        method = "range" if id_col in df.columns else "bucket"
+    return sequence.trailing_count(df, src, ts_col, seconds * 1_000_000, out_col, method=method,
+                                   id_col=id_col if method == "range" else None)
 
 
 def proto_stats(df: DataFrame) -> DataFrame:

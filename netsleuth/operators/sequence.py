@@ -99,15 +99,24 @@ def lookback(df: DataFrame, key: str, target, values: Sequence[str], pos_col: st
 
 
 def trailing_count(df: DataFrame, key: str, ts_col: str, width_micros: int,
-                   out_col: str, null_value: int = 0) -> DataFrame:
+                   out_col: str, null_value: int = 0, method: str = "bucket",
+                   id_col: str | None = None) -> DataFrame:
     """Rows of the same key with time in ``(t - width, t]`` (ties included),
     for every row; NULL time -> ``null_value``.
 
-    Each row goes to its own ``width`` bucket and, as a halo copy carrying only
-    key and time, to the next bucket.  A RANGE window per ``(key, bucket)`` then
-    sees every row that can fall in the frame, so the count is exact while a
-    task holds at most two buckets of one key.
+    ``method="bucket"``: each row goes to its own ``width`` bucket and, as a
+    halo copy carrying only key and time, to the next bucket.  A RANGE window
+    per ``(key, bucket)`` then sees every row that can fall in the frame, so
+    the count is exact while a task holds at most two buckets of one key.
+
+    ``method="range"`` (needs a unique ``id_col``): C(x) = rows of the key with
+    time <= x is read off ``positions`` at two probes per row, x = t and
+    x = t - width, that sort after the data rows of equal time; the count is
+    C(t) - C(t - width).  Every task holds at most one range partition, even
+    inside a burst.
     """
+    if method == "range":
+        return _trailing_count_ranked(df, key, ts_col, width_micros, out_col, null_value, id_col)
     t = micros(ts_col)
     base = df.withColumn("_t", t).withColumn("_b", F.floor(F.col("_t") / F.lit(width_micros))) \
              .withColumn("_halo", F.lit(False))
@@ -121,6 +130,31 @@ def trailing_count(df: DataFrame, key: str, ts_col: str, width_micros: int,
     return out.drop("_t", "_b", "_halo")
 
 
+def _trailing_count_ranked(df: DataFrame, key: str, ts_col: str, width_micros: int, out_col: str,
+                           null_value: int, id_col: str | None) -> DataFrame:
+    if id_col is None:
+        raise ValueError("method='range' needs a unique id column")
+    t = micros(ts_col)
+    timed = df.where(F.col(ts_col).isNotNull()).select(F.col(key), t.alias("_x"), F.col(id_col).alias("_id"))
+    data = timed.select(key, "_x", F.struct(F.lit(0).alias("k"), F.col("_id").alias("i")).alias("_tie"),
+                        F.lit(1).alias("_is_data"), F.lit(None).cast(timed.schema["_id"].dataType).alias("_qid"),
+                        F.lit(None).cast("int").alias("_side"))
+    probes = timed.select(key, F.explode(F.array(
+        F.struct(F.col("_x").alias("x"), F.lit(1).alias("side")),
+        F.struct((F.col("_x") - F.lit(width_micros)).alias("x"), F.lit(0).alias("side")))).alias("p"), "_id") \
+        .select(key, F.col("p.x").alias("_x"), F.struct(F.lit(1).alias("k"), F.col("_id").alias("i"),
+                                                        F.col("p.side").alias("s")).alias("_tie"),
+                F.lit(0).alias("_is_data"), F.col("_id").alias("_qid"), F.col("p.side").alias("_side"))
+    data = data.withColumn("_tie", F.struct(F.col("_tie.k"), F.col("_tie.i"), F.lit(0).alias("s")))
+    ranked = positions(data.unionByName(probes), key, "_x", "_tie", sums=["_is_data"])
+    c = ranked.where(F.col("_is_data") == 0).groupBy("_qid").agg(
+        (F.max(F.when(F.col("_side") == 1, F.col("_cum__is_data")))
+         - F.max(F.when(F.col("_side") == 0, F.col("_cum__is_data")))).alias(out_col))
+    out = df.join(c, df[id_col] == c["_qid"], "left").drop("_qid")
+    return out.withColumn(out_col, F.when(F.col(ts_col).isNull(), F.lit(null_value).cast("long"))
+                          .otherwise(F.col(out_col).cast("long")))
+
+
 def global_prefix(df: DataFrame, order_col: str, sums: Sequence[str], n_buckets: int = 64,
                   accuracy: int = 10_000) -> DataFrame:
     """Inclusive running sums ``_cum_<c>`` over ``order_col`` (ascending; values

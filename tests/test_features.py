@@ -121,3 +121,16 @@ def test_range_chunks_split_a_hot_key(spark):
     a = sequence.positions(df, "src_ip", "timestamp", "event_id", parts=13)
     b = sequence.positions(df, "src_ip", "timestamp", "event_id", method="time")
     assert {r.event_id: r._pos for r in a.collect()} == {r.event_id: r._pos for r in b.collect()}
+
+
+def test_trailing_count_range_method_matches_bucket(spark):
+    times = ["2024-01-01 00:00:00", "2024-01-01 00:05:00", "2024-01-01 00:05:00", "2024-01-01 00:09:59.999999", None]
+    fx = spark.createDataFrame([(str(i), "s", _ts(t)) for i, t in enumerate(times)],
+                               "event_id string, src_ip string, timestamp timestamp")
+    got = {r.event_id: r.c for r in sequence.trailing_count(fx, "src_ip", "timestamp", 300_000_000, "c",
+                                                             method="range", id_col="event_id").collect()}
+    assert [got[str(i)] for i in range(5)] == [1, 2, 2, 3, 0]
+    df = spark.createDataFrame(_random_sequence(2500, seed=9))
+    a = sequence.trailing_count(df, "src_ip", "timestamp", 300_000_000, "c", method="range", id_col="event_id")
+    b = sequence.trailing_count(df, "src_ip", "timestamp", 300_000_000, "c")
+    assert {r.event_id: r.c for r in a.collect()} == {r.event_id: r.c for r in b.collect()}
