@@ -4,7 +4,8 @@ IPv4 is strict dotted-quad: octets 0-255 without leading zeros, so
 ``256.1.1.1`` and ``01.2.3.4`` are invalid (value 0), as in Python >= 3.9.5.
 IPv6 needs 128 bits, more than BIGINT or DECIMAL(38,0) hold: it is returned as
 two unsigned 64-bit halves (DECIMAL(20,0)) plus a DOUBLE approximation.
-Embedded-IPv4 tails (``::ffff:1.2.3.4``) are not accepted.
+An embedded IPv4 tail (``::ffff:1.2.3.4``) is accepted, and IPv4-mapped
+addresses print with it, as Python's ``ipaddress`` does.
 """
 
 from __future__ import annotations
@@ -68,7 +69,18 @@ def _ipv6_groups(c) -> Column:
 
         return let(groups, check)
 
-    return let(F.regexp_replace(_col(c), "%.*$", ""), from_text)     # zone index dropped
+    def v4_tail_to_hex(s: Column) -> Column:
+        """``...:a.b.c.d`` -> ``...:hhhh:hhhh`` (embedded IPv4 in the last 32 bits)."""
+        tail = F.regexp_extract(s, rf":({_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET})$", 1)
+        o = F.split(tail, r"\.")
+        def pair(i):
+            return F.lower(F.hex(F.try_element_at(o, F.lit(i)).try_cast("int") * 256
+                                 + F.try_element_at(o, F.lit(i + 1)).try_cast("int")))
+        rebuilt = F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(tail)), pair(1), F.lit(":"), pair(3))
+        return F.when(tail != "", rebuilt).otherwise(s)
+
+    stripped = F.regexp_replace(_col(c), "%.*$", "")                  # zone index dropped
+    return let(let(stripped, v4_tail_to_hex), from_text)
 
 
 def is_valid_ipv6(c) -> Column:
@@ -124,6 +136,14 @@ def canonical_ip(c) -> Column:
 
     def from_groups(g: Column) -> Column:
         short = F.array_join(F.transform(g, lambda x: F.lower(F.conv(x, 16, 16))), ":")
-        return F.when(g.isNotNull(), let(short, compress))
-
-    return F.when(is_valid_ipv4(c), c).otherwise(let(_ipv6_groups(c), from_groups))
+        num = lambda i: F.conv(F.element_at(g, i), 16, 10).cast("int")
+        # IPv4-mapped addresses print their last 32 bits as a dotted quad
+        mapped = F.forall(F.slice(g, 1, 5), lambda x: F.conv(x, 16, 10) == "0") & (num(6) == 65535)
+        dotted = F.concat_ws(".", (num(7) / 256).cast("int").cast("string"), (num(7) % 256).cast("string"),
+                             (num(8) / 256).cast("int").cast("string"), (num(8) % 256).cast("string"))
+        return (F.when(g.isNull(), F.lit(None).cast("string"))
+                .when(mapped, F.concat(F.lit("::ffff:"), dotted))
+                .otherwise(let(short, compress)))
+
+    zone = F.regexp_extract(c, "(%.*)$", 1)          # a zone index is kept, as written
+    return F.when(is_valid_ipv4(c), c).otherwise(F.concat(let(_ipv6_groups(c), from_groups), zone))

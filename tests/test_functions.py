@@ -17,7 +17,7 @@ IPS = ["10.0.0.1", "256.1.1.1", "01.2.3.4", "0.0.0.0", "255.255.255.255", "1.2.3
 
 def _py(ip):
     try:
-        a = ipaddress.ip_address(ip.split("%")[0])
+        a = ipaddress.ip_address(ip)
         return str(a), int(a)
     except Exception:
         return None, 0
@@ -33,6 +33,8 @@ def test_ip_functions_match_python(spark):
         assert r.n == pytest.approx(float(num)), r.ip
         if r.h is not None:
             assert int(r.h.hi) * 2 ** 64 + int(r.h.lo) == num
+        if canon and "%" in canon:
+            canon = canon.split("%")[0]
         if canon is not None and ":" not in canon:
             assert r.v4 == num
     fixture = dict((r.ip, r.v4) for r in rows)
