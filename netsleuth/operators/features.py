@@ -52,8 +52,11 @@ def source_stats(df: DataFrame, src: str = "src_ip", port: str = "dest_port") ->
                .groupBy(src).agg(F.count(port).alias("ports_used"),
                                  (-F.sum(F.col("_p") * F.log(F.col("_p") + F.lit(K.ENTROPY_EPS)))).alias("port_entropy")))
     per_hour = base.groupBy(src, "hour").agg(F.sum("_n").alias("_hc"))
-    modal = per_hour.groupBy(src).agg(
-        (-F.max(F.struct(F.col("_hc"), (-F.col("hour")).alias("_nh")))["_nh"]).alias("modal_hour"))
+    # most frequent hour, smallest on ties: max of count * 128 + (127 - hour)
+    # (hours are 0-99 as written), a fixed-width key that hash-aggregates
+    key = F.col("_hc") * F.lit(128) + (F.lit(127) - F.col("hour").cast("long"))
+    modal = per_hour.groupBy(src).agg(F.max(key).alias("_k")) \
+                    .select(src, (F.lit(127) - F.pmod(F.col("_k"), F.lit(128))).cast("int").alias("modal_hour"))
     totals = base.groupBy(src).agg(
         F.sum("_n_dest").alias("conn_per_ip"),
         (F.sum("_n_sev") / F.sum("_n")).alias("failed_ratio"))
