@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from netsleuth.llm import simhash
+from pyspark.sql import functions as F
+
+from netsleuth.llm import bpe, packing, simhash
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -21,3 +23,20 @@ def table(spark, sf_dir: str, name: str):
 def op9_simhash_components(spark, sf_dir):
     """Components of ``documents`` under 3-word SimHash at 3 or fewer bits."""
     return simhash.simhash_components(table(spark, sf_dir, "documents")).drop("_rid")
+
+
+@query
+def op4_best_fit_packing(spark, sf_dir):
+    """All ``documents`` packed into sequences of at most 1024 tokens."""
+    import public_tokenizers
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op5_bpe_round_trip(spark, sf_dir):
+    """Every whole text of ``documents`` encoded and decoded, as digests."""
+    import public_tokenizers
+    found = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
