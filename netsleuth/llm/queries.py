@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netsleuth.llm import bpe, packing, simhash
+from netsleuth.llm import bpe, langid, packing, quality, simhash
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -40,3 +40,19 @@ def op5_bpe_round_trip(spark, sf_dir):
     return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    """Language of every whole text of ``documents``, learned without the
+    held-out fifth of the rows."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op3_quality_rules(spark, sf_dir):
+    """Base counts and verdict of every whole text of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.references(docs))
