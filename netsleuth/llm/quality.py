@@ -21,8 +21,11 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Common words of a language, and the lengths from which distances count.
 COMMON_WORDS = 64
-CHAR_MIN_WORDS, WORD_MIN_WORDS = 50, 200
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.35, 0.6
+CHAR_MIN_WORDS, WORD_MIN_WORDS = 50, 50
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.33, 0.30
+#: The word limit of a text of n words is at least this base plus slope / sqrt(n):
+#: a sample of n words diverges by about so much from its own distribution.
+WORD_LIMIT_BASE, WORD_LIMIT_SLOPE = 0.12, 3.1
 SYMBOLS = b"#*$%&|<>"
 #: Character classes of UTF-8 bytes: lower case, upper case, digit, blank,
 #: line break, sentence mark, symbol, other ASCII, byte of another letter.
@@ -131,6 +134,11 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return out
 
 
+def word_limit(n: int) -> float:
+    """Largest word distance of a kept text of ``n`` words."""
+    return max(MAX_WORD_DISTANCE, WORD_LIMIT_BASE + WORD_LIMIT_SLOPE / n ** 0.5)
+
+
 def verdict(text: bytes | None, lang: str | None, refs: dict):
     """(base counts, base_failed, character distance, word distance, kept)."""
     words, base = base_counts(text or b"")
@@ -146,7 +154,7 @@ def verdict(text: bytes | None, lang: str | None, refs: dict):
             for w, k in Counter(text.lower().split()).items():
                 hist[place.get(w, -1)] += k
             word_d = distance(hist, freq)
-    kept = not failed and (char_d is None or char_d <= MAX_CHAR_DISTANCE) and (word_d is None or word_d <= MAX_WORD_DISTANCE)
+    kept = not failed and (char_d is None or char_d <= MAX_CHAR_DISTANCE) and (word_d is None or word_d <= word_limit(n))
     return base, failed, char_d, word_d, kept
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netsleuth.llm import bpe, langid, packing, quality, simhash
+from netsleuth.llm import bpe, fingerprint, langid, packing, quality, simhash, warc
+from netsleuth.session import scratch_path
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -56,3 +57,19 @@ def op3_quality_rules(spark, sf_dir):
     """Base counts and verdict of every whole text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.references(docs))
+
+
+@query
+def op1_warc_round_trip(spark, sf_dir):
+    """Every row of ``pages`` written as a WARC record and read back."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    chunks = warc.read_chunks(spark, path, with_chunks=False)
+    return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_fingerprints(spark, sf_dir):
+    """Digests of every whole text of ``documents``, of its edited text, and
+    their likeness to each other and to the next document."""
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
