@@ -13,6 +13,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def _tables():
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint)`` of every whole text (null: empty)."""
     @F.pandas_udf("string")
-    def run(texts):
+    def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: digest((t or "").encode(), _tables()))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text_col).cast("string")).alias("fingerprint"))
 

@@ -15,6 +15,7 @@ embeddings and output weights: one row of scores per bucket (bounded by
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -251,7 +252,6 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that the model rejects."""
-    import pandas as pd
     predict = _predictor(docs.sparkSession, model)
 
     @F.pandas_udf("boolean")

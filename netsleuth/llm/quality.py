@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,7 +187,6 @@ def judge(docs: DataFrame, refs: dict, id_col: str = "doc_id", text_col: str = "
 
 def kept_documents(docs: DataFrame, refs: dict, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the documents that the rules reject."""
-    import pandas as pd
     sent = docs.sparkSession.sparkContext.broadcast(refs)  # languages x common words
 
     @F.pandas_udf("boolean")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netsleuth.llm import bpe, fingerprint, langid, packing, quality, simhash, warc
+from netsleuth.llm import bpe, fingerprint, langid, packing, quality, simhash, sufarray, warc
 from netsleuth.session import scratch_path
 
 QUERIES: dict = {}
@@ -73,3 +73,10 @@ def op6_fingerprints(spark, sf_dir):
     """Digests of every whole text of ``documents``, of its edited text, and
     their likeness to each other and to the next document."""
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_suffix_array_dedup(spark, sf_dir):
+    """Every whole text of ``documents`` without the bytes of 400-byte strings
+    that also start elsewhere, as digests."""
+    return sufarray.dedup_digests(table(spark, sf_dir, "documents")).drop("cuts")
