@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netsleuth.llm import bpe, fingerprint, langid, packing, quality, simhash, sufarray, warc
+from netsleuth.llm import bpe, fingerprint, langid, lmscore, packing, quality, simhash, spans, sufarray, warc
 from netsleuth.session import scratch_path
 
 QUERIES: dict = {}
@@ -80,3 +80,20 @@ def op10_suffix_array_dedup(spark, sf_dir):
     """Every whole text of ``documents`` without the bytes of 400-byte strings
     that also start elsewhere, as digests."""
     return sufarray.dedup_digests(table(spark, sf_dir, "documents")).drop("cuts")
+
+
+@query
+def op7_lm_cross_entropy(spark, sf_dir):
+    """Cross-entropy difference of every whole text of ``documents``; the
+    target corpus are the documents labelled as of good quality."""
+    labels = table(spark, sf_dir, "labels")
+    return lmscore.score(table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"))
+
+
+@query
+def op8_sentence_spans(spark, sf_dir):
+    """Every whole text of ``documents`` without the sentences of repeated
+    runs that are not their first occurrence, as digests."""
+    found = spans.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"),
+                        F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -478,9 +478,12 @@ def dedup_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
         .otherwise(F.col("kept")).alias("kept_sha256"), "cuts")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+                    count_col: str | None = None) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the text; characters cut
-    through go with them.  All rows and columns stay; null texts stay null."""
+    through go with them.  All rows and columns stay; null texts stay null;
+    ``count_col``, if there is such a column, becomes the new text's length in
+    characters where something was cut."""
     _, spans = repeated_spans(docs, length, gram, id_col, text_col)
     row = "_rid" if "_rid" not in docs.columns else "_rid_" + "_".join(docs.columns)
     cuts = "cuts" if "cuts" not in docs.columns else "cuts_" + "_".join(docs.columns)
@@ -492,4 +495,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     joined = (docs.withColumn(row, F.monotonically_increasing_id())
               .join(spans.select(F.col("_rid").alias(row), F.col("cuts").alias(cuts)), row, "left"))
     kept = F.when(F.col(cuts).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col).cast("string"), F.col(cuts)))
-    return joined.withColumn(text_col, kept).select(*docs.columns)
+    out = joined.withColumn(text_col, kept)
+    if count_col in docs.columns:
+        kind = docs.schema[count_col].dataType
+        out = out.withColumn(count_col, F.when(F.col(cuts).isNull(), F.col(count_col)).otherwise(F.length(text_col).cast(kind)))
+    return out.select(*docs.columns)
