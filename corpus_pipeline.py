@@ -1,31 +1,57 @@
 """Training-corpus pipeline: STAGES over the table ``documents``.
 
 Each stage reads what its predecessor wrote and calls one operator of
-``netsleuth.llm``.  ``ORACLE_SQL`` is None: language identification and token
-packing have no SQL form, so tests compare the stages with brute force.
+``netsleuth.llm``; all but the last return the columns of ``documents``.
+``ORACLE_SQL`` is None: language identification, Golay-keyed components and
+token packing have no SQL form, so the tests compare stages with brute force.
 """
 
 from __future__ import annotations
 
-from netsleuth.llm import simhash
+import public_tokenizers
+
+from netsleuth.llm import langid, packing, quality, simhash, sufarray
 from netsleuth.llm.util import settle
 
 
+def language_id(spark, docs, sf_dir):
+    """Documents whose language the classifier accepts.  The model is fitted
+    on a bounded sample of the labelled, not held-out rows of ``docs``."""
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that pass the base rules and do not diverge from the
+    references of their language, which are counted over all of ``docs``."""
+    return quality.kept_documents(docs, quality.references(docs))
+
+
 def near_dedup(spark, docs, sf_dir):
-    """SimHash near-dedup: one document of each component stays."""
+    """One document of each component of 3-word SimHash at 3 or fewer bits."""
     return simhash.keep_first_of_groups(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def substring_dedup(spark, docs, sf_dir):
+    """Texts without the bytes of 400-byte strings that also start elsewhere;
+    ``n_chars`` follows the text."""
+    return sufarray.without_repeats(docs, count_col="n_chars")
+
+
+def pack(spark, docs, sf_dir):
+    """Token pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("simhash_near_dedup", near_dedup),
+          ("suffix_array_dedup", substring_dedup), ("best_fit_packing", pack)]
 
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``, each stage stored before the next."""
+    """All stages over ``documents``; each stage is stored as Parquet below the
+    shared checkpoint folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = settle(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
