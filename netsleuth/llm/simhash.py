@@ -136,7 +136,8 @@ def candidate_keys(fps: np.ndarray, tables) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+    """Set bits of 64-bit values (numpy would count those of the absolute value)."""
+    return np.bitwise_count(x.view(np.uint64))
 
 
 def group_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
