@@ -9,7 +9,6 @@ fill it in ourselves.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -59,8 +58,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    Reads ``spark.checkpoint.dir``; sets one only when it is unset (tests and
-    single-machine runs).
+    Reads ``spark.checkpoint.dir``; sets one only when it is unset and the
+    whole session runs on one machine (tests).  A cluster must name a folder
+    that all its executors share.
     """
     try:
         sc = spark.sparkContext
@@ -70,6 +70,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local[") and master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a checkpoint folder that all executors share")
         d = tempfile.mkdtemp(prefix="netsleuth-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and sc.getCheckpointDir() is None:
@@ -83,12 +86,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on the file system that its scheme names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
 def materialize(df, eager: bool = True):

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsleuth import constants as K
+from netsleuth.functions.hashing import session_id_random
+from netsleuth.schemas import MODE_LOG
 from netsleuth.session import exists
 
 
 def table_or_empty(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
     """The table at ``path``, or an empty one with ``schema``."""
-    if exists(path):
-        return spark.read.schema(schema).format(fmt).load(path)
+    if exists(spark, path):
+        reader = spark.read.schema(schema).format(fmt)
+        return (reader.option("header", True) if fmt == "csv" else reader).load(path)
     return spark.createDataFrame([], schema)
 
 
@@ -45,7 +48,7 @@ def read_threshold(spark: SparkSession, path: str, default: float = K.ANOMALY_TH
     text, else the default constant."""
     for sub, parse in (("params", lambda v: json.loads(v).get("thr_if")), ("selected", float)):
         p = f"{path}/{sub}"
-        if exists(p):
+        if exists(spark, p):
             row = spark.read.text(p).first()
             if row is not None:
                 try:
@@ -84,10 +87,22 @@ def write_rule_file(merged: DataFrame, path: str) -> None:
 
 
 def append_mode(spark: SparkSession, path: str, mode: str, session_hash: str | None = None,
-                at=None) -> None:
-    """K8: append a mode switch to the mode log."""
+                at=None, new_session: bool = False) -> str | None:
+    """K8: append a mode switch to the mode log; returns the session id.
+
+    A switch to a training mode keeps the log's last session id, so that one
+    session gets both classes, unless ``new_session`` asks for another or
+    ``session_hash`` names one; the first training switch makes one.  Switching
+    off keeps the id for the next training switch."""
     ts = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+    if session_hash is None and not new_session and exists(spark, path):
+        last = (spark.read.schema(MODE_LOG).parquet(path).where(F.col("session_hash").isNotNull())
+                .agg(F.max_by("session_hash", "effective_from").alias("s")).first())
+        session_hash = last["s"]
+    if session_hash is None and mode in (K.MODE_NORMAL, K.MODE_ANOMALY):
+        session_hash = spark.range(1).select(session_id_random(F.lit(mode), ts).alias("s")).first()["s"]
     df = spark.range(1).select(ts.alias("effective_from"), F.lit(mode).alias("mode"),
                                F.lit(None).cast("boolean").alias("value"), F.lit(None).cast("string").alias("label"),
                                F.lit(session_hash).cast("string").alias("session_hash"))
     df.write.mode("append").parquet(path)
+    return session_hash

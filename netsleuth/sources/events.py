@@ -23,10 +23,12 @@ def quarantined(spark: SparkSession, path: str) -> DataFrame:
     return IG.quarantine(IG.parse_lines(read_lines(spark, path)))
 
 
-def recent_lines(spark: SparkSession, path: str, n: int = 1000) -> DataFrame:
-    """The ``n`` newest parsed events (by event time, then text)."""
+def recent_lines(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """Parsed events, newest first (by event time, then text); at most ``n``
+    if that is given."""
     ev = read_events(spark, path)
-    return ev.orderBy(F.col("timestamp").desc_nulls_last(), F.col("timestamp_raw").desc()).limit(n)
+    ev = ev.orderBy(F.col("timestamp").desc_nulls_last(), F.col("timestamp_raw").desc())
+    return ev.limit(n) if n else ev
 
 
 def stored_events(spark: SparkSession, path: str, training_session: str | None = None,

@@ -110,7 +110,21 @@ def raw_lines(events: DataFrame) -> DataFrame:
     pj = F.when(eid % 2 == 0, F.to_json(F.struct(F.col("packet_length").alias("length")))) \
           .otherwise(F.concat(F.lit('"'), F.regexp_replace(F.base64(F.repeat(F.lit("x"), F.col("packet_length"))), r"\s", ""),
                              F.lit('"')))
-    return staged.withColumn("_packet", pj).select(line.alias("value"))
+    return staged.withColumn("_packet", pj).select(line.alias("value")).unionByName(broken_lines(events))
+
+
+def broken_lines(events: DataFrame) -> DataFrame:
+    """Malformed lines among the stand-in log: cut off, followed by other text,
+    an array, two objects, a bare value, empty braces with a tail."""
+    eid = F.col("event_id").cast("string")
+    start = F.concat(F.lit('{"event_type":"alert","flow_id":'), eid)
+    text = (F.when(F.col("event_id") % 41 == 1, F.concat(start, F.lit(',"timest')))
+            .when(F.col("event_id") % 41 == 2, F.concat(start, F.lit("}trailing")))
+            .when(F.col("event_id") % 41 == 3, F.concat(F.lit("["), start, F.lit("}]")))
+            .when(F.col("event_id") % 41 == 4, F.concat(start, F.lit("} "), start, F.lit("}")))
+            .when(F.col("event_id") % 41 == 5, eid)
+            .when(F.col("event_id") % 41 == 6, F.concat(start, F.lit("}}"))))
+    return events.select(text.alias("value")).where(F.col("value").isNotNull())
 
 
 def mode_log(events: DataFrame) -> DataFrame:

@@ -21,53 +21,90 @@ from pyspark.sql import functions as F
 from netsleuth import constants as K
 from netsleuth.operators import ingest as IG
 from netsleuth.operators.modes import attach_mode
+from netsleuth.schemas import MODE_LOG
 from netsleuth.session import exists
 
 
-def stream_events(spark: SparkSession, source_dir: str, modes: DataFrame | None = None,
-                  max_files_per_trigger: int | None = None, compat_hash: bool = False) -> DataFrame:
-    """Streaming DataFrame of admitted, labelled, hashed events."""
+def stream_lines(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming DataFrame of log lines."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    lines = reader.load(source_dir)
-    flat = IG.flatten(IG.parse_lines(lines))
+    return reader.load(source_dir)
+
+
+def admitted_events(lines: DataFrame, modes: DataFrame | None = None, compat_hash: bool = False) -> DataFrame:
+    """Lines of one micro-batch -> admitted, labelled, hashed events."""
+    return _admitted(IG.parse_lines(lines), modes, compat_hash)
+
+
+def _admitted(parsed: DataFrame, modes: DataFrame | None, compat_hash: bool) -> DataFrame:
+    flat = IG.flatten(parsed)
     if modes is not None:
-        flat = attach_mode(flat, modes, broadcast_max_rows=10 ** 9)   # stream-static join: broadcast path
+        flat = attach_mode(flat, modes)
     else:
         flat = flat.withColumn("mode", F.lit(K.MODE_OFF)).withColumn("session", F.lit(None).cast("string"))
-    out = IG.with_event_hash(IG.admit(IG.label(flat)), compat=compat_hash)
-    return IG.with_event_date(out)
+    hashed = IG.with_event_hash(IG.admit(IG.label(flat)), compat=compat_hash)
+    return IG.with_event_date(IG.with_event_id(hashed))
 
 
-def append_new(batch: DataFrame, stored_path: str) -> int:
+def append_new(batch: DataFrame, stored_path: str, rows_per_file: int = 1_000_000) -> None:
     """T2 + K1 for one micro-batch: de-duplicate inside the batch, drop hashes
-    already stored for the batch's dates, append the rest."""
+    already stored for the batch's dates, append the rest.
+
+    The batch is kept while its dates are read and its rows written, so its
+    lines are parsed once.  A date's rows are spread over as many files as
+    ``rows_per_file`` asks for, so that no task writes a whole day."""
     spark = batch.sparkSession
-    dates = [r[0] for r in batch.select("event_date").distinct().collect()]   # a few dates per batch
-    stored = None
-    if exists(stored_path):
-        s = spark.read.parquet(stored_path)
-        non_null = [d for d in dates if d is not None]
-        cond = F.col("event_date").isin(non_null) if non_null else F.lit(False)
-        if any(d is None for d in dates):
-            cond = cond | F.col("event_date").isNull()
-        stored = s.where(cond).select("event_date", "event_hash")
-    new = IG.dedup_new(batch, stored)
-    # one file per date and micro-batch (a micro-batch is bounded by the trigger)
-    new.repartition("event_date").write.mode("append").partitionBy("event_date").parquet(stored_path)
-    return 0
+    batch = batch.persist()
+    try:
+        days = batch.groupBy("event_date").agg(F.count(F.lit(1)).alias("n")).collect()   # a few dates per batch
+        stored = None
+        if exists(spark, stored_path):
+            known = [d[0] for d in days if d[0] is not None]
+            cond = F.col("event_date").isin(known) if known else F.lit(False)
+            if any(d[0] is None for d in days):
+                cond = cond | F.col("event_date").isNull()
+            stored = spark.read.parquet(stored_path).where(cond).select("event_date", "event_hash")
+        new = IG.dedup_new(batch, stored)
+        salts = max(1, -(-max((d["n"] for d in days), default=0) // rows_per_file))
+        spread = F.pmod(F.xxhash64("event_hash"), F.lit(salts))
+        new.repartition("event_date", spread).write.mode("append").partitionBy("event_date").parquet(stored_path)
+    finally:
+        batch.unpersist()
+
+
+def ingest_batch(lines: DataFrame, stored_path: str, modes=None, quarantine_path: str | None = None,
+                 epoch: int = 0, compat_hash: bool = False) -> None:
+    """One micro-batch of lines: malformed ones to the quarantine, the others
+    labelled with the mode in force at their own time and stored if new.
+
+    ``modes``: a mode-log table, the path of one, or a function of the session
+    that returns one.  Paths and functions are read anew in each micro-batch,
+    so a switch takes effect on the running stream.  The quarantine has one
+    folder per micro-batch, which a retried batch writes over."""
+    spark = lines.sparkSession
+    if callable(modes):
+        modes = modes(spark)
+    elif isinstance(modes, str):
+        modes = spark.read.schema(MODE_LOG).parquet(modes) if exists(spark, modes) else None
+    parsed = IG.parse_lines(lines)
+    if quarantine_path:
+        IG.quarantine(parsed).write.mode("overwrite").text(f"{quarantine_path}/batch={epoch}")
+    append_new(_admitted(parsed, modes, compat_hash), stored_path)
 
 
 def start_ingest(spark: SparkSession, source_dir: str, stored_path: str, checkpoint: str,
-                 modes: DataFrame | None = None, trigger: dict | None = None,
-                 max_files_per_trigger: int | None = None):
+                 modes=None, trigger: dict | None = None, max_files_per_trigger: int | None = None,
+                 quarantine_path: str | None = None, compat_hash: bool = False):
     """Start the ingest query.  ``trigger`` defaults to ``{'processingTime':
     '1 second'}`` (the reference polls every second); use
-    ``{'availableNow': True}`` for scheduled catch-up runs (T3)."""
-    events = stream_events(spark, source_dir, modes, max_files_per_trigger)
-    w = (events.writeStream.foreachBatch(lambda b, _epoch: append_new(b, stored_path))
-               .option("checkpointLocation", checkpoint))
+    ``{'availableNow': True}`` for scheduled catch-up runs (T3).  ``modes`` and
+    ``quarantine_path`` as in ``ingest_batch``."""
+    lines = stream_lines(spark, source_dir, max_files_per_trigger)
+    w = (lines.writeStream.foreachBatch(
+            lambda b, epoch: ingest_batch(b, stored_path, modes, quarantine_path, epoch, compat_hash))
+              .option("checkpointLocation", checkpoint))
     w = w.trigger(**(trigger or {"processingTime": "1 second"}))
     return w.start()
 
