@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from netsleuth import constants as K
 from netsleuth.operators.sequence import global_prefix
+from netsleuth.session import materialize
 
-LABEL_PRIORITY = ("prediction_g", "training_label", "label")
+# Columns that may hold the label, the first present one counts.
+LABEL_COLUMNS = "prediction_g", "training_label", "label"
 
 
 def ground_truth(stored: DataFrame, session: str | None = None) -> DataFrame:
@@ -38,14 +40,6 @@ def session_label_counts(gt: DataFrame) -> DataFrame:
         F.count_if(lab == K.LABEL_ANOMALY).alias("anomaly"))
 
 
-def pick_label_column(gt: DataFrame) -> str | None:
-    """First present of prediction_g, training_label, label."""
-    for c in LABEL_PRIORITY:
-        if c in gt.columns:
-            return c
-    return None
-
-
 def as_binary(c) -> F.Column:
     """0/1 labels, or text labels ('anomaly' -> 1)."""
     col = F.col(c) if isinstance(c, str) else c
@@ -56,7 +50,7 @@ def as_binary(c) -> F.Column:
 def join_scores(scores: DataFrame, gt: DataFrame, keys=("event_id",), score_col: str = "anomaly_score") -> DataFrame:
     """Inner join of scores and ground truth; ``gt_label`` from the
     priority column, ``prediction_bin`` 1 for predicted anomalies."""
-    lab = pick_label_column(gt)
+    lab = next(filter(set(gt.columns).__contains__, LABEL_COLUMNS), None)             # P11
     if lab is None:
         raise ValueError("ground truth has no label column")
     g = gt.select(*keys, as_binary(lab).alias("gt_label"))      # renamed before the join (Q9b)
@@ -67,80 +61,88 @@ def join_scores(scores: DataFrame, gt: DataFrame, keys=("event_id",), score_col:
     return out.withColumn("prediction_bin", pred)
 
 
+def outcome_counts(df: DataFrame, truth: str = "gt_label", pred: str = "prediction_bin") -> DataFrame:
+    """One row with every count that A16-A18 need: ``tp{c}``, ``pp{c}`` and
+    ``sup{c}`` (hits, predictions, support) of the classes 0 and 1, ``other``
+    (rows whose label is neither; NULL labels are no class), ``agree`` and
+    ``total``.  One aggregation of the joined rows."""
+    y, p = F.col(truth), F.col(pred)
+    aggs = [F.count_if(~y.isin(0, 1)).alias("other"), F.count_if(y == p).alias("agree"), F.count(F.lit(1)).alias("total")]
+    for c in (0, 1):
+        aggs += [F.count_if((y == c) & (p == c)).alias(f"tp{c}"), F.count_if(p == c).alias(f"pp{c}"), F.count_if(y == c).alias(f"sup{c}"),
+                 F.count_if((y == c) & (p == 1 - c)).alias(f"miss{c}")]
+    return df.agg(*aggs)
+
+
 def confusion(df: DataFrame, truth: str = "gt_label", pred: str = "prediction_bin") -> DataFrame:
     """2x2 matrix as rows ``(gt_label, prediction, n)``, zero cells included."""
-    y, p = F.col(truth), F.col(pred)
-    c = df.agg(F.count_if((y == 0) & (p == 0)).alias("tn"), F.count_if((y == 0) & (p == 1)).alias("fp"),
-               F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tp"))
-    return c.select(F.expr("stack(4, 0, 0, tn, 0, 1, fp, 1, 0, fn, 1, 1, tp) AS (gt_label, prediction, n)"))
+    return outcome_counts(df, truth, pred).select(
+        F.expr("stack(4, 0, 0, tp0, 0, 1, miss0, 1, 0, miss1, 1, 1, tp1) AS (gt_label, prediction, n)"))
 
 
-def _per_class(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """Per-class precision/recall/F1/support for labels 0 and 1."""
-    y, p = F.col(truth), F.col(pred)
-    rows = []
-    for cls in (0, 1):
-        tp = F.count_if((y == cls) & (p == cls)).cast("double")
-        pp = F.count_if(p == cls).cast("double")
-        sup = F.count_if(y == cls)
-        rows.append(df.agg(F.lit(cls).alias("cls"), tp.alias("tp"), pp.alias("pp"), sup.alias("support")))
-    out = rows[0].unionByName(rows[1])
-    tp, pp, sup = F.col("tp"), F.col("pp"), F.col("support").cast("double")
-    return out.select("cls", "support",
-                      F.coalesce(tp / F.nullif(pp, F.lit(0.0)), F.lit(0.0)).alias("precision"),
-                      F.coalesce(tp / F.nullif(sup, F.lit(0.0)), F.lit(0.0)).alias("recall"),
-                      F.coalesce(2 * tp / F.nullif(pp + sup, F.lit(0.0)), F.lit(0.0)).alias("f1"))
+def _ratio(a, b) -> F.Column:
+    return F.coalesce(a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def _class_metrics(c: int) -> dict[str, F.Column]:
+    """Precision, recall and F1 of one class from ``outcome_counts``."""
+    tp, pp, sup = F.col(f"tp{c}"), F.col(f"pp{c}"), F.col(f"sup{c}")
+    return {"precision": _ratio(tp, pp), "recall": _ratio(tp, sup), "f1": _ratio(2 * tp, pp + sup)}
+
+
+def _weighted(m: str) -> F.Column:
+    zero, one = _class_metrics(0)[m], _class_metrics(1)[m]
+    return _ratio(zero * F.col("sup0") + one * F.col("sup1"), F.col("sup0") + F.col("sup1"))
 
 
 def prf(df: DataFrame, truth: str = "gt_label", pred: str = "prediction_bin") -> DataFrame:
     """Precision, recall, F1 with zero_division=0.  ``binary`` (class 1)
     when both labels 0 and 1 occur in the truth, else support-weighted."""
-    pc = _per_class(df, truth, pred)
-    both = df.agg((F.count_if(F.col(truth) == 0) > 0) & (F.count_if(F.col(truth) == 1) > 0)
-                  & (F.count_if(~F.col(truth).isin(0, 1)) == 0)).scalar()
-    total = F.sum("support").cast("double")
-    weighted = pc.agg(*[F.coalesce(F.sum(F.col(m) * F.col("support")) / F.nullif(total, F.lit(0.0)),
-                                   F.lit(0.0)).alias(m) for m in ("precision", "recall", "f1")])
-    binary = pc.where(F.col("cls") == 1).select("precision", "recall", "f1")
-    w = weighted.withColumn("average", F.lit("weighted")).where(~both)
-    b = binary.withColumn("average", F.lit("binary")).where(both)
-    return b.unionByName(w)
+    both = (F.col("sup0") > 0) & (F.col("sup1") > 0) & (F.col("other") == 0)
+    one = _class_metrics(1)
+    return outcome_counts(df, truth, pred).select(
+        *[F.when(both, one[m]).otherwise(_weighted(m)).alias(m) for m in ("precision", "recall", "f1")],
+        F.when(both, "binary").otherwise("weighted").alias("average"))
 
 
 def class_report(df: DataFrame, truth: str = "gt_label", pred: str = "prediction_bin") -> DataFrame:
     """Rows Normal, Anomaly, accuracy, macro avg, weighted avg."""
-    pc = _per_class(df, truth, pred)
-    names = pc.select(F.when(F.col("cls") == 0, "Normal").otherwise("Anomaly").alias("class"),
-                      "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
-    total = F.sum("support").cast("double")
-    macro = pc.agg(F.lit("macro avg").alias("class"), *[F.avg(m).alias(m) for m in ("precision", "recall", "f1")],
-                   F.sum("support").cast("long").alias("support"))
-    weighted = pc.agg(F.lit("weighted avg").alias("class"),
-                      *[F.coalesce(F.sum(F.col(m) * F.col("support")) / F.nullif(total, F.lit(0.0)),
-                                   F.lit(0.0)).alias(m) for m in ("precision", "recall", "f1")],
-                      F.sum("support").cast("long").alias("support"))
-    acc = df.agg(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"),
-                 (F.count_if(F.col(truth) == F.col(pred)) / F.count(F.lit(1))).alias("f1"),
-                 F.count(F.lit(1)).alias("support"))
-    return names.unionByName(acc).unionByName(macro).unionByName(weighted)
+    none = F.lit(None).cast("double")
+    support = F.col("sup0") + F.col("sup1")
+    classes = [_class_metrics(c) for c in (0, 1)]
+    metrics = ("precision", "recall", "f1")
+
+    def line(name, values, n):
+        return F.struct(F.lit(name).alias("class"), *[v.alias(m) for m, v in zip(metrics, values)], n.cast("long").alias("support"))
+    lines = [line(n, [m[k] for k in metrics], F.col(f"sup{c}")) for c, (n, m) in enumerate(zip(("Normal", "Anomaly"), classes))]
+    lines += [line("accuracy", [none, none, F.col("agree") / F.col("total")], F.col("total")),
+              line("macro avg", [(classes[0][k] + classes[1][k]) / 2 for k in metrics], support),
+              line("weighted avg", [_weighted(k) for k in metrics], support)]
+    return outcome_counts(df, truth, pred).select(F.explode(F.array(*lines)).alias("r")).select("r.*")
+
+
+def score_counts(df: DataFrame, truth: str = "gt_label", score_col: str = "anomaly_score") -> DataFrame:
+    """``(score, n, pos, neg)`` per distinct score, stored once: ranking
+    metrics, quantiles and sweeps all read this table instead of the join.
+    Rows without a 0/1 label count in ``n`` only."""
+    y = F.col(truth)
+    return materialize(df.groupBy(score_col).agg(F.count(F.lit(1)).alias("n"), F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
 
 
 def score_groups(df: DataFrame, truth: str = "gt_label", score_col: str = "anomaly_score") -> DataFrame:
     """Per distinct score, positives and negatives, with inclusive running
-    totals in ascending score (= descending anomaly score)."""
-    g = df.groupBy(score_col).agg(F.count_if(F.col(truth) == 1).alias("pos"),
-                                  F.count_if(F.col(truth) != 1).alias("neg"))
-    return global_prefix(g, score_col, ["pos", "neg"])
+    totals in ascending score (= descending anomaly score).  ``df`` may be a
+    ``score_counts`` table."""
+    g = df if {"pos", "neg"} <= set(df.columns) else score_counts(df, truth, score_col)
+    return global_prefix(g.where("pos + neg > 0"), score_col, ["pos", "neg"])
 
 
 def roc_auc_ap(df: DataFrame, truth: str = "gt_label", score_col: str = "anomaly_score") -> DataFrame:
     """A19 ROC-AUC (ties count one half) and A20 average precision
     sum_n (R_n - R_{n-1}) P_n of the anomaly score ``-score``.  One row."""
-    g = score_groups(df, truth, score_col)
-    P = g.agg(F.sum("pos")).scalar()
-    N = g.agg(F.sum("neg")).scalar()
-    Pd, Nd = P.cast("double"), N.cast("double")
+    t = score_counts(df, truth, score_col)
+    g = score_groups(t, truth, score_col)
+    Pd, Nd = (t.agg(F.sum(c)).scalar().cast("double") for c in ("pos", "neg"))
     auc = F.sum(F.col("pos") * (Nd - F.col("_cum_neg") + 0.5 * F.col("neg"))) / (Pd * Nd)
     prec = F.col("_cum_pos").cast("double") / (F.col("_cum_pos") + F.col("_cum_neg"))
     ap = F.sum(F.col("pos") / Pd * prec)
@@ -150,8 +152,9 @@ def roc_auc_ap(df: DataFrame, truth: str = "gt_label", score_col: str = "anomaly
 def pr_curve(df: DataFrame, truth: str = "gt_label", score_col: str = "anomaly_score") -> DataFrame:
     """One point per distinct score: predicting anomalies for
     ``score <= threshold`` gives this precision and recall."""
-    g = score_groups(df, truth, score_col)
-    P = g.agg(F.sum("pos")).scalar().cast("double")
+    t = score_counts(df, truth, score_col)
+    g = score_groups(t, truth, score_col)
+    P = t.agg(F.sum("pos")).scalar().cast("double")
     tp, fp = F.col("_cum_pos").cast("double"), F.col("_cum_neg").cast("double")
     return g.select(F.col(score_col).alias("threshold"), F.col("_cum_pos").alias("tp"), F.col("_cum_neg").alias("fp"),
                     (tp / (tp + fp)).alias("precision"),

@@ -25,6 +25,9 @@ def logs_by_day(events: DataFrame, day: dt.date | str, page: int = 1, limit: int
     ``orderBy().offset().limit()`` runs as a per-partition top-(page*limit)
     and a merge; the total is a scalar subquery."""
     d = events.where(wall_clock_date(raw_col) == F.lit(str(day)).cast("date"))
+    if "event_date" in events.columns:  # the UTC date is at most a day off: prunes partitions
+        on = F.lit(str(day)).cast("date")
+        d = d.where(F.col("event_date").between(F.date_sub(on, 1), F.date_add(on, 1)))
     total = d.agg(F.count(F.lit(1))).scalar()
     start = (page - 1) * limit
     ordered = d.orderBy(F.col(ts_col).desc_nulls_last(), F.col(tie_col).desc())
@@ -42,10 +45,10 @@ def preview(df: DataFrame, n: int = 50, order_col: str = "event_id") -> DataFram
     return df.orderBy(order_col).limit(n)
 
 
-def unprocessed(stored: DataFrame, ledger: DataFrame, n: int | None = 100,
+def unprocessed(stored: DataFrame, ledger: DataFrame, n: int | None = None,
                 key: str = "event_id") -> DataFrame:
     """S4 + L2 + J10: stored events not yet in the processed ledger, the
-    serving projection, oldest first, at most ``n`` (the batch size).
+    serving projection; with a batch size ``n`` the oldest ``n`` of them.
 
     The batch's ids are what K7 appends to the ledger (``mark_processed``)."""
     d = stored.select(*[c for c in SERVING_COLUMNS if c in stored.columns]) \

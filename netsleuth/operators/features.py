@@ -8,11 +8,12 @@ share one base aggregation on ``(src_ip, dest_port, hour)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsleuth import constants as K
-from netsleuth.functions.clock import hour_of, is_night
+from netsleuth.functions.clock import hour_of, is_night, micros
+from netsleuth.functions.hashing import fallback_event_id
 from netsleuth.functions.ip import ip_to_int
 from netsleuth.functions.scalar import hour_anomaly_flag, pkt_anomaly_flag, rarity
 from netsleuth.operators import sequence
@@ -45,7 +46,11 @@ def source_base(df: DataFrame, src: str = "src_ip", port: str = "dest_port") ->
 def source_stats(df: DataFrame, src: str = "src_ip", port: str = "dest_port") -> DataFrame:
     """Per source: ports_used (A1), conn_per_ip (A2), port_entropy (A3),
     failed_ratio by severity (A4) and the modal hour (A5, smallest on ties)."""
-    base = source_base(df, src, port)
+    return _source_tables(source_base(df, src, port), src, port)
+
+
+def _source_tables(base: DataFrame, src: str = "src_ip", port: str = "dest_port") -> DataFrame:
+    """``source_stats`` from counts per (source, port, hour)."""
     per_port = base.where(F.col(port).isNotNull()).groupBy(src, port).agg(F.sum("_n").alias("_pc"))
     share = F.col("_pc") / F.sum("_pc").over(_by(src))
     entropy = (per_port.withColumn("_p", share)
@@ -70,7 +75,6 @@ def source_stats(df: DataFrame, src: str = "src_ip", port: str = "dest_port") ->
 
 
 def _by(col: str):
-    from pyspark.sql import Window
     # window over an already aggregated (source, port) table: one row per port
     return Window.partitionBy(col)
 
@@ -92,7 +96,8 @@ def failed_ratio_rolling(df: DataFrame, src: str = "src_ip", ts_col: str = "time
     d = sequence.lookback(d, src, F.col("_pos") - rows, ["_cum__s"])
     n = F.least(F.col("_pos") + 1, F.lit(rows))
     ratio = (F.col("_cum__s") - F.coalesce(F.col("_lag__cum__s"), F.lit(0))) / n
-    return d.withColumn("failed_ratio_rolling", ratio.cast("double")).drop("_s", "_pos", "_cum__s", "_lag__cum__s")
+    ratio = F.when(F.col(src).isNotNull(), ratio.cast("double")).otherwise(F.lit(0.0))     # no source, no sequence
+    return d.withColumn("failed_ratio_rolling", ratio).drop("_s", "_pos", "_cum__s", "_lag__cum__s")
 
 
 def conn_velocity(df: DataFrame, src: str = "src_ip", ts_col: str = "timestamp",
@@ -112,7 +117,7 @@ def conn_velocity(df: DataFrame, src: str = "src_ip", ts_col: str = "timestamp",
     back = F.greatest(F.col("_pos") - rows, first_timed)
     d = sequence.lookback(d, src, back, ["_us"])
     n = F.least(F.col("_cum__timed") - 1, F.lit(rows))
-    v = F.when(F.col("_us").isNull() | (n <= 0), F.lit(0.0)) \
+    v = F.when(F.col("_us").isNull() | F.col(src).isNull() | (n <= 0), F.lit(0.0)) \
          .otherwise((F.col("_us") - F.col("_lag__us")).cast("double") / n / F.lit(1e6))
     return d.withColumn("conn_velocity", v.cast("double")).drop("_us", "_pos", "_lag__us", "_timed", "_cum__timed")
 
@@ -126,8 +131,9 @@ def conn_5m(df: DataFrame, src: str = "src_ip", ts_col: str = "timestamp",
     bucketed window (bounded by one source's rows per ten minutes)."""
     if method is None:
         method = "range" if id_col in df.columns else "bucket"
-    return sequence.trailing_count(df, src, ts_col, seconds * 1_000_000, out_col, method=method,
-                                   id_col=id_col if method == "range" else None)
+    out = sequence.trailing_count(df, src, ts_col, seconds * 1_000_000, out_col, method=method,
+                                  id_col=id_col if method == "range" else None)
+    return out.withColumn(out_col, F.when(F.col(src).isNull(), F.lit(0).cast("long")).otherwise(F.col(out_col)))
 
 
 def proto_stats(df: DataFrame) -> DataFrame:
@@ -161,6 +167,14 @@ def proto_codes(df: DataFrame, col: str = "proto", out_col: str = "proto_code")
     return out.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(-1)))
 
 
+def code_of(col: str, codes: dict[str, int]) -> F.Column:
+    """Protocol code by a fixed table; protocols it does not know are -1."""
+    if not codes:
+        return F.lit(-1)
+    table = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    return F.coalesce(table[F.col(col)], F.lit(-1))
+
+
 def label_value(df: DataFrame) -> DataFrame:
     """``anomaly``: 1/0 for labelled training rows, -1 otherwise."""
     lab = F.col("training_label")
@@ -178,50 +192,94 @@ def ensure_columns(df: DataFrame, defaults: dict = FEATURE_DEFAULTS) -> DataFram
     return out
 
 
-def features(df: DataFrame, raw_ts_col: str | None = None, failed_by_flags: bool | None = None,
-             keep: tuple = ("training_label",), checkpoint: bool = True) -> DataFrame:
+def ordered_features(df: DataFrame, src: str = "src_ip", ts_col: str = "timestamp", tie_col: str = "event_id",
+                     flag_col: str | None = None) -> DataFrame:
+    """W2 and W3, and W1 if ``flag_col`` is given, from one ranked pass:
+    ``(src, _x, tie, conn_5m, conn_velocity[, failed_ratio_rolling])``, one row
+    per distinct (source, time, tie).  Rows without a source have no sequence
+    of their own and get 0; rows without time count for W1 only."""
+    d = df.select(src, ts_col, tie_col, F.col(ts_col).isNotNull().cast("long").alias("_timed"),
+                  *([F.coalesce(F.col(flag_col) == "S", F.lit(False)).cast("long").alias("_s")] if flag_col else []))
+    sums = ["_timed"] + (["_s"] if flag_col else [])
+    d = sequence.ordered_counts(d, src, ts_col, tie_col, K.CONN_WINDOW_SECONDS * 1_000_000, sums=sums)
+    k = K.VELOCITY_ROWS
+    first_timed = F.col("_pos") - F.col("_cum__timed") + 1
+    d = sequence.lookback(d, src, F.greatest(F.col("_pos") - k, first_timed), ["_x"])
+    n = F.least(F.col("_cum__timed") - 1, F.lit(k))
+    velocity = F.when(F.col("_x").isNull() | (n <= 0), F.lit(0.0)).otherwise((F.col("_x") - F.col("_lag__x")).cast("double") / n / F.lit(1e6))
+    owned = F.col(src).isNotNull()
+    out = [F.max(F.when(owned, F.col("_in_width")).otherwise(F.lit(0))).cast("long").alias("conn_5m"),
+           F.max(F.when(owned, velocity).otherwise(F.lit(0.0))).alias("conn_velocity")]
+    if flag_col:
+        r = K.ROLLING_FLAG_ROWS
+        d = sequence.lookback(d, src, F.col("_pos") - r, ["_cum__s"])
+        ratio = (F.col("_cum__s") - F.coalesce(F.col("_lag__cum__s"), F.lit(0))) / F.least(F.col("_pos") + 1, F.lit(r))
+        out.append(F.max(F.when(owned, ratio.cast("double")).otherwise(F.lit(0.0))).alias("failed_ratio_rolling"))
+    return d.groupBy(src, "_x", tie_col).agg(*out)
+
+
+def _all_stats(base: DataFrame) -> dict[str, DataFrame]:
+    """Every grouped statistic the features join back.  Source, port, protocol
+    code and port-count tables come from one aggregation of the events on
+    (source, port, hour, protocol); packet lengths and destinations have one
+    aggregation each."""
+    cells = base.groupBy("src_ip", "dest_port", "hour", "proto").agg(
+        F.count(F.lit(1)).alias("_n"), F.count("dest_ip").alias("_n_dest"),
+        F.sum((F.col("alert_severity") > 0).cast("int")).alias("_n_sev"))
+    by_src = cells.groupBy("src_ip", "dest_port", "hour").agg(*[F.sum(c).alias(c) for c in ("_n", "_n_dest", "_n_sev")])
+    proto = (base.where(F.col("proto").isNotNull()).groupBy("proto")
+             .agg(F.avg("packet_length").alias("proto_pkt_mean"), F.stddev_samp("packet_length").alias("proto_pkt_std")))
+    ports = cells.where(F.col("proto").isNotNull()).groupBy("proto").agg(F.count_distinct("dest_port").alias("proto_ports"))
+    w = Window.orderBy("proto")                                                     # one row per protocol
+    protocols = (ports.join(proto, "proto")
+                 .withColumn("proto_code", (F.dense_rank().over(w) - 1).cast("int")))
+    port = cells.where(F.col("dest_port").isNotNull()).groupBy("dest_port").agg(F.sum("_n").alias("_c"))
+    dest = base.where(F.col("dest_ip").isNotNull()).groupBy("dest_ip").agg(F.count(F.lit(1)).alias("_c"))
+    share = lambda t, key, name: t.select(key, (F.col("_c") / t.agg(F.sum("_c")).scalar()).alias(name))
+    return {"src_ip": _source_tables(by_src), "proto": protocols, "dest_port": share(port, "dest_port", "_f_port"),
+            "dest_ip": share(dest, "dest_ip", "_f_ip")}
+
+
+def features(df: DataFrame, raw_ts_col: str | None = None, failed_by_flags: bool = False,
+             keep: tuple = ("training_label",), codes: dict[str, int] | None = None) -> DataFrame:
     """Stored events -> the 24-column feature table (P5), plus ``keep`` columns.
 
     ``src_ip``/``dest_ip`` become numbers (F1), ``proto`` its code (W4); the
-    label column is carried beside the features (never one of them).  The
-    flag-based failed ratio (W1) is used when the flag columns exist, as in
-    the reference; otherwise the severity-based one (A4).
-
-    Plan shape: every aggregate (per source, per protocol, per port, per
-    destination, protocol codes) is computed from the same base rows and
-    joined back in one chain (each aggregate is small and broadcast by its
-    runtime size).  The enriched rows are then checkpointed once, because the
-    ordered features (trailing count, inter-arrival mean, rolling ratio) read
-    their input several times.
+    label column is carried beside the features (never one of them).  The hour
+    is the wall clock as written when the events have ``timestamp_raw`` (or the
+    column named), else UTC.  ``failed_by_flags`` takes the flag-based failed
+    ratio (W1) instead of the severity-based one (A4).  Events without id get
+    the fallback id (F12); rows without a source stay, with 0 in what is
+    counted per source.  ``codes`` are protocol codes fixed at training; without
+    them the protocols of ``df`` are ranked.
+
+    Plan: every grouped statistic is joined back in one chain (AQE broadcasts
+    the small ones and splits hot keys); the ordered features come from one
+    ranked pass over (source, time, id) and are joined back once.
     """
     d = ensure_columns(df, {"alert_severity": 0, "packet_length": 0, "dest_port": 0,
                             "src_port": 0, "dest_ip": "0.0.0.0", "src_ip": "0.0.0.0"})
-    base = with_hour(d, raw_col=raw_ts_col)
-    stats = source_stats(base)
-    pstats = proto_stats(base)
-    codes = _proto_code_table(base)
-    port_freq = _freq_table(base, "dest_port", "_f_port")
-    ip_freq = _freq_table(base, "dest_ip", "_f_ip")
-    out = (base.join(stats, "src_ip", "left")
-               .join(pstats, "proto", "left")
-               .join(codes, "proto", "left")
-               .join(port_freq, "dest_port", "left")
-               .join(ip_freq, "dest_ip", "left"))
+    raw = raw_ts_col or ("timestamp_raw" if "timestamp_raw" in d.columns else None)
+    if "event_id" not in d.columns:
+        d = d.withColumn("event_id", fallback_event_id("src_ip", "dest_ip", raw or F.col("timestamp")))
+    base = with_hour(d, raw_col=raw)
+    ordered = ordered_features(base, flag_col="tcp_flags_tc" if failed_by_flags else None)
+    out = base
+    for key, stats in _all_stats(base).items():
+        out = out.join(stats, key, "left")
+    names = ["conn_5m", "conn_velocity"] + ["failed_ratio_rolling"] * failed_by_flags
+    found = ordered.select(F.col("src_ip").alias("_os"), F.col("_x").alias("_ox"), F.col("event_id").alias("_oe"), *names)
+    out = out.withColumn("_x", micros("timestamp"))
+    same = (out["event_id"].eqNullSafe(found["_oe"]) & out["src_ip"].eqNullSafe(found["_os"]) & out["_x"].eqNullSafe(found["_ox"]))
+    out = out.join(found, same, "left").drop("_os", "_ox", "_oe", "_x")
     out = (out.withColumn("hour_anomaly", hour_anomaly_flag("hour", "modal_hour"))
               .withColumn("pkt_anomaly", pkt_anomaly_flag("packet_length", "proto_pkt_mean", "proto_pkt_std"))
-              .withColumn("proto_code", F.coalesce(F.col("proto_code"), F.lit(-1)))
-              .withColumn("port_rarity", rarity("_f_port")).withColumn("ip_rarity", rarity("_f_ip"))
-              .drop("_f_port", "_f_ip"))
-    if checkpoint:
-        from netsleuth.session import materialize
-        out = materialize(out)
-    if failed_by_flags is None:
-        failed_by_flags = {"tcp_flags", "tcp_flags_tc"}.issubset(set(df.columns))
+              .withColumn("proto_code", F.coalesce(F.col("proto_code"), F.lit(-1)) if codes is None else code_of("proto", codes))
+              .withColumn("port_rarity", rarity("_f_port")).withColumn("ip_rarity", rarity("_f_ip")))
+    for c in ("ports_used", "conn_per_ip", "port_entropy", "failed_ratio"):
+        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast(out.schema[c].dataType)))
     if failed_by_flags:
-        out = failed_ratio_rolling(out).withColumn("failed_ratio", F.col("failed_ratio_rolling")) \
-                                       .drop("failed_ratio_rolling")
-    out = conn_5m(out)
-    out = conn_velocity(out)
+        out = out.withColumn("failed_ratio", F.col("failed_ratio_rolling"))
     out = label_value(out) if "training_label" in out.columns else out
     out = ensure_columns(out)
     out_cols = []
@@ -239,7 +297,6 @@ def features(df: DataFrame, raw_ts_col: str | None = None, failed_by_flags: bool
 
 
 def _proto_code_table(df: DataFrame, col: str = "proto", out_col: str = "proto_code") -> DataFrame:
-    from pyspark.sql import Window
     # ranked over the distinct protocol names only (a handful of rows)
     return df.select(col).where(F.col(col).isNotNull()).distinct() \
              .withColumn(out_col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))

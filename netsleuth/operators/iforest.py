@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsleuth import constants as K
+from netsleuth.operators.scaling import quantiles
 from netsleuth.schemas import ISOLATION_NODE
 
 EULER_GAMMA = 0.5772156649015329
@@ -137,7 +138,7 @@ class IsolationForestModel:
 
         @F.pandas_udf("double")
         def _score(*cols: pd.Series) -> pd.Series:
-            X = np.column_stack([c.to_numpy(dtype=float, na_value=0.0) for c in cols])
+            X = np.nan_to_num(np.column_stack([c.to_numpy(dtype=float, na_value=0.0) for c in cols]), nan=0.0)
             return pd.Series(-IsolationForestModel.raw_scores(X, bc.value) - offset)
 
         return _score
@@ -168,41 +169,26 @@ class IsolationForestModel:
                                                        "offset")})
 
 
-# Above this many rows per (tree * psi) the trees draw disjoint samples.
-DISJOINT_FACTOR = 20
-
-
 def sample_for_trees(df: DataFrame, features: list[str], n: int, n_trees: int, psi: int, seed: int,
                      id_col: str) -> DataFrame:
     """Rows per tree: ``(tree, u, _id, x_0..x_k)``, at most ``psi`` per tree.
 
-    Small inputs (n <= 20 * trees * psi): every row draws one hash per tree and
-    each tree keeps its ``psi`` smallest — independent samples, at most
-    ``trees * n`` candidates, all bounded.  Large inputs: two code-generated
-    hashes per row pick one tree and a uniform ``u``; rows under the rate
-    ``2 * trees * psi / n`` are kept, so the trees get disjoint uniform samples
-    (harmless when n is much larger than trees * psi) and the cost per row
-    does not grow with the number of trees."""
+    Every row draws one hash per tree; those under the rate ``2 * psi / n`` are
+    candidates (about ``2 * psi`` per tree, whatever the table size) and each
+    tree keeps its ``psi`` smallest: independent uniform samples, drawn the
+    same way at every size."""
     scale = float(2 ** 53)
     xs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]
     xcols = [f"x{i}" for i in range(len(features))]
     ident = F.col(id_col).cast("string")
-    if n > DISJOINT_FACTOR * n_trees * psi:
-        rate = min(1.0, OVERSAMPLE * n_trees * psi / n)
-        u = F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(2 ** 53)) / F.lit(scale)
-        tree = F.pmod(F.xxhash64(ident, F.lit(seed + 1)), F.lit(n_trees)).cast("int")
-        picked = df.select(ident.alias("_id"), *xs, u.alias("u"), tree.alias("tree")).where(F.col("u") < rate) \
-                   .select("tree", "u", "_id", *xcols)
-    else:
-        rate = 1.0 if n <= psi else min(1.0, OVERSAMPLE * psi / n)
-        trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-        picks = F.filter(
-            F.transform(trees, lambda t: F.struct(
-                t.alias("tree"),
-                (F.pmod(F.xxhash64(ident, F.lit(seed), t), F.lit(2 ** 53)) / F.lit(scale)).alias("u"))),
-            lambda s: s["u"] < F.lit(rate))
-        picked = df.select(ident.alias("_id"), *xs, F.explode(picks).alias("p")) \
-                   .select("p.tree", "p.u", "_id", *xcols)
+    rate = min(1.0, OVERSAMPLE * psi / n)
+    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    picks = F.filter(
+        F.transform(trees, lambda t: F.struct(
+            t.alias("tree"),
+            (F.pmod(F.xxhash64(ident, F.lit(seed), t), F.lit(2 ** 53)) / F.lit(scale)).alias("u"))),
+        lambda s: s["u"] < F.lit(rate))
+    picked = df.select(ident.alias("_id"), *xs, F.explode(picks).alias("p")).select("p.tree", "p.u", "_id", *xcols)
     from pyspark.sql import Window
     w = Window.partitionBy("tree").orderBy("u", "_id")          # about 2 * psi rows per tree
     return picked.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi).drop("_rk")
@@ -232,7 +218,6 @@ def fit(df: DataFrame, features: list[str], n_trees: int = K.IFOREST_TREES,
                                  contamination=contamination, seed=seed, nodes=nodes)
     if contamination is not None and contamination > 0:
         scored = model.score(df.select(*features), score_col="_d")
-        # decision = -s - offset with offset 0 so far: the quantile of -s
-        model.offset = float(scored.agg(F.percentile_approx("_d", contamination, 100_000)).first()[0]) \
-            if n > 10_000_000 else float(scored.agg(F.percentile("_d", contamination)).first()[0])
+        # decision = -s - offset with offset 0 so far: the exact quantile of -s
+        model.offset = float(quantiles(scored, ["_d"], [contamination])["_d"][0])
     return model

@@ -26,13 +26,17 @@ _BASE64 = r"^[A-Za-z0-9+/]+={0,2}$"
 def parse_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """Text lines -> ``(e STRUCT, value, _corrupt BOOLEAN)``.
 
-    Malformed lines are kept with ``_corrupt = true`` so they can be sent to a
-    quarantine output instead of being silently dropped.
+    Malformed lines (not one JSON object: cut off, followed by other text, an
+    array, a bare value) are kept with ``_corrupt = true`` so they can be sent
+    to a quarantine output instead of being silently dropped.  JSON parsers stop
+    at the end of the first value; within brackets anything behind it is an
+    error or a second element.
     """
     v = F.col(value_col)
     parsed = F.from_json(v, RAW_EVENT, {"mode": "PERMISSIVE"})
-    return lines.select(parsed.alias("e"), v.alias("value")) \
-                .withColumn("_corrupt", F.col("e").isNull() | ~F.trim(F.col("value")).startswith("{"))
+    listed = F.try_parse_json(F.concat(F.lit("["), v, F.lit("]")))
+    whole = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "string").isNull() & F.json_object_keys(v).isNotNull()
+    return lines.select(parsed.alias("e"), v.alias("value"), (parsed.isNull() | ~F.coalesce(whole, F.lit(False))).alias("_corrupt"))
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
@@ -105,6 +109,12 @@ def with_fallback_id(df: DataFrame, ts_col: str = "timestamp_raw") -> DataFrame:
     return df.withColumn("event_id", fallback_event_id("src_ip", "dest_ip", ts_col))
 
 
+def with_event_id(df: DataFrame) -> DataFrame:
+    """The id of a stored event: its hash, which is unique in the store.
+    (``with_fallback_id`` serves tables that carry neither.)"""
+    return df.withColumn("event_id", F.col("event_hash")) if "event_id" not in df.columns else df
+
+
 def with_event_date(df: DataFrame) -> DataFrame:
     """Partition column of the stored table: the event's UTC date."""
     return df.withColumn("event_date", F.to_date("timestamp"))
@@ -146,5 +156,5 @@ def ingest(lines: DataFrame, modes: DataFrame | None = None, stored_keys: DataFr
         flat = flat.withColumn("mode", F.lit(const)).withColumn("session", F.lit(None).cast("string"))
     labelled = label(flat)
     admitted = admit(labelled)
-    hashed = with_event_hash(admitted, compat=compat_hash)
+    hashed = with_event_id(with_event_hash(admitted, compat=compat_hash))
     return dedup_new(hashed, stored_keys)

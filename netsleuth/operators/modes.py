@@ -17,11 +17,9 @@ from netsleuth.functions.clock import micros
 from netsleuth.functions.hashing import session_id_from_time
 from netsleuth.functions.scalar import normalise_mode
 
-# Mode logs up to this many rows are broadcast (their size is checked first).
-BROADCAST_MAX_ROWS = 100_000
-# Bucket width and salt count for the large-log path.
+# Width of a merge bucket and of the coarser buckets that carry modes across it.
 BUCKET_MICROS = 60 * 1_000_000
-SALTS = 16
+COARSE_MICROS = 24 * 3600 * 1_000_000
 
 
 def normalise_log(modes: DataFrame) -> DataFrame:
@@ -39,92 +37,50 @@ def normalise_log(modes: DataFrame) -> DataFrame:
 
 
 def current_mode(modes: DataFrame) -> DataFrame:
-    """Latest mode row (one row): partial aggregation with ``max_by``."""
+    """Latest mode row (one row), of equal times the greatest (mode, session)."""
     n = normalise_log(modes)
-    return n.agg(F.max_by(F.struct("mode", "session", "effective_from"), "effective_from").alias("m")) \
-            .select("m.*")
-
-
-def attach_mode(events: DataFrame, modes: DataFrame, ts_col: str = "timestamp",
-                broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Add ``mode`` and ``session`` in force at each event's time.
-
-    Small logs (checked by counting) are turned into ``[from, to)`` intervals
-    and broadcast.  Larger logs use a bucketed merge: events and mode rows are
-    co-partitioned by minute bucket, the latest mode is carried forward inside
-    the bucket, and the mode in force at each bucket's start comes from a
-    per-bucket table (one row per minute) — exact, and no task holds more
-    than one minute of one stream.
-    """
-    n = normalise_log(modes)
-    if n.count() <= broadcast_max_rows:
-        return _attach_broadcast(events, n, ts_col)
-    return _attach_bucketed(events, n, ts_col)
-
-
-HOUR_MICROS = 3600 * 1_000_000
-# Upper bound on the broadcast interval table after bucket expansion.
-MAX_EXPANDED_ROWS = 1_000_000
-
-
-def _attach_broadcast(events: DataFrame, n: DataFrame, ts_col: str) -> DataFrame:
-    """Small log: ``[from, to)`` intervals expanded into the time buckets they
-    cover, broadcast, and equi-joined on the event's bucket (a hash join plus a
-    range check on a handful of candidates, never a nested loop).  The bucket
-    is one hour, widened when the log spans so long that the expansion could
-    pass ``MAX_EXPANDED_ROWS`` (intervals + span / width <= the bound).  The
-    open-ended last interval is applied as a scalar comparison."""
-    w = Window.orderBy("effective_from")                 # the log is small: its size was checked
-    iv = (n.groupBy("effective_from").agg(F.max(F.struct("mode", "session")).alias("m"))
-           .select("effective_from", "m.*")
-           .withColumn("effective_to", F.lead("effective_from").over(w)))
-    last = iv.where(F.col("effective_to").isNull()).select(
-        micros("effective_from").alias("from_us"), "mode", "session").first()
-    f_us, t_us = micros("effective_from"), micros("effective_to")
-    stats = iv.agg(F.count(F.lit(1)).alias("m"), (F.max(f_us) - F.min(f_us)).alias("span")).first()
-    m, span = int(stats["m"] or 0), int(stats["span"] or 0)
-    width = max(HOUR_MICROS, -(-span // max(1, MAX_EXPANDED_ROWS - 2 * m)))
-    closed = iv.where(F.col("effective_to").isNotNull()).select(
-        F.explode(F.sequence(F.floor(f_us / width), F.floor((t_us - 1) / width))).alias("_hb"),
-        f_us.alias("_from"), t_us.alias("_to"), F.col("mode").alias("_mode"), F.col("session").alias("_session"))
-    t = micros(ts_col)
-    ev = events.withColumn("_t", t).withColumn("_hb", F.floor(F.col("_t") / width))
-    cond = ((ev["_hb"] == closed["_hb"]) & (ev["_t"] >= closed["_from"]) & (ev["_t"] < closed["_to"]))
-    out = ev.join(F.broadcast(closed), cond, "left").drop(closed["_hb"])
-    mode, session = F.col("_mode"), F.col("_session")
-    if last is not None:
-        after = F.col("_t") >= F.lit(last["from_us"])
-        mode = F.coalesce(mode, F.when(after, F.lit(last["mode"])))
-        session = F.when(F.col("_mode").isNotNull(), session).when(after, F.lit(last["session"]))
-    return (out.withColumn("mode", F.coalesce(mode, F.lit(K.MODE_OFF)))
-               .withColumn("session", session.cast("string"))
-               .drop("_mode", "_session", "_from", "_to", "_t", "_hb"))
-
-
-def _attach_bucketed(events: DataFrame, n: DataFrame, ts_col: str) -> DataFrame:
-    bucket = lambda c: F.floor(micros(c) / F.lit(BUCKET_MICROS))
-    ev = events.withColumn("_t", micros(ts_col)).withColumn("_b", bucket(F.col(ts_col)))
-    md = n.select(micros("effective_from").alias("_t"), bucket(F.col("effective_from")).alias("_b"),
-                  F.struct("mode", "session").alias("_m"))
-    # mode in force at the start of each bucket: last row of earlier buckets
-    per_bucket = md.groupBy("_b").agg(F.max_by("_m", "_t").alias("_last"))
-    buckets = ev.select("_b").distinct().unionByName(per_bucket.select("_b")).distinct() \
-                .join(per_bucket, "_b", "left")
-    # one row per minute bucket (bounded by the time span, not by the rows)
-    carry_w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = buckets.select("_b", F.last("_last", ignorenulls=True).over(carry_w).alias("_carry"))
-    # inside each bucket: carry the latest mode row forward (mode rows sort
-    # before events at the same instant: effective_from <= ts applies).
-    # Events are salted by a row hash and the few mode rows of a bucket are
-    # copied to every salt, so a flood minute is spread over SALTS tasks.
-    tagged_ev = (ev.withColumn("_kind", F.lit(1)).withColumn("_m", F.lit(None).cast(md.schema["_m"].dataType))
-                   .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in events.columns]), F.lit(SALTS))))
-    tagged_md = md.withColumn("_kind", F.lit(0)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    allrows = tagged_ev.unionByName(tagged_md, allowMissingColumns=True)
-    w = (Window.partitionBy("_b", "_salt").orderBy("_t", "_kind", "_m")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    merged = allrows.withColumn("_in", F.last("_m", ignorenulls=True).over(w)).where(F.col("_kind") == 1)
-    merged = merged.join(carry, "_b", "left")
-    m = F.coalesce(F.col("_in"), F.col("_carry"))
-    out = merged.withColumn("mode", F.coalesce(m["mode"], F.lit(K.MODE_OFF))).withColumn("session", m["session"])
-    return out.drop("_t", "_b", "_kind", "_m", "_in", "_carry", "_salt")
+    return n.agg(F.max(F.struct("effective_from", "mode", "session")).alias("m")) \
+            .select("m.mode", "m.session", "m.effective_from")
+
+
+def attach_mode(events: DataFrame, modes: DataFrame, ts_col: str = "timestamp", salts: int | None = None) -> DataFrame:
+    """Add ``mode`` and ``session`` in force at each event's time, by one merge
+    for logs of any size.
+
+    Of mode rows with the same time the greatest (mode, session) counts; a row
+    is in force from its own instant on; events before the first row or without
+    time are ``off``.  Events and mode rows meet per minute; events are dealt
+    over ``salts`` (as many as shuffle partitions) so that a flood minute is
+    split, the few mode rows of a minute go to every salt.  The mode at a
+    minute's start is carried from the last earlier minute of its day, and from
+    the last earlier day: the only unpartitioned window has one row per day."""
+    spark = events.sparkSession
+    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.floor(F.col("_t") / F.lit(BUCKET_MICROS))
+    coarse = F.floor(F.col("_b") * F.lit(BUCKET_MICROS) / F.lit(COARSE_MICROS))
+    md = (normalise_log(modes).select(micros("effective_from").alias("_t"), F.struct("mode", "session").alias("_m"))
+          .groupBy("_t").agg(F.max("_m").alias("_m")).withColumn("_b", bucket))
+    kind = md.schema["_m"].dataType
+    ev = events.withColumn("_t", micros(ts_col)).withColumn("_b", bucket)
+    timed = ev.where(F.col("_t").isNotNull())
+
+    last = md.groupBy("_b").agg(F.max(F.struct("_t", "_m")).alias("_last"))
+    minutes = (timed.select("_b").distinct().join(last, "_b", "full").withColumn("_c", coarse))
+    days = minutes.groupBy("_c").agg(F.max("_last").alias("_day"))
+    day_w = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)         # one row per day
+    days = days.select("_c", F.last("_day", ignorenulls=True).over(day_w).alias("_before"))
+    minute_w = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (minutes.withColumn("_in_day", F.last("_last", ignorenulls=True).over(minute_w)).join(days, "_c")
+             .select("_b", F.coalesce("_in_day", "_before")["_m"].alias("_carry")))
+
+    tagged_ev = (timed.withColumn("_kind", F.lit(1)).withColumn("_m", F.lit(None).cast(kind))
+                 .withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))))
+    tagged_md = md.withColumn("_kind", F.lit(0)).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    w = (Window.partitionBy("_b", "_salt").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    merged = (tagged_ev.unionByName(tagged_md, allowMissingColumns=True)
+              .withColumn("_in", F.last("_m", ignorenulls=True).over(w)).where(F.col("_kind") == 1).join(carry, "_b", "left"))
+    found = F.coalesce("_in", "_carry")
+    out = merged.select(*events.columns, F.coalesce(found["mode"], F.lit(K.MODE_OFF)).alias("mode"), found["session"].alias("session"))
+    untimed = ev.where(F.col("_t").isNull()).select(*events.columns, F.lit(K.MODE_OFF).alias("mode"),
+                                                    F.lit(None).cast("string").alias("session"))
+    return out.unionByName(untimed)

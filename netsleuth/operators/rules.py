@@ -29,13 +29,14 @@ FLOW_KEYS_W5 = ["proto", "src_ip", "dest_ip", "dest_port"]
 FLOW_KEYS_W6 = ["src_ip", "dest_ip", "dest_port"]
 
 
-def policy(scored: DataFrame, thr: float, score_col: str = "anomaly_score") -> DataFrame:
-    """P12 (prediction -1 and score < thr), P13 (not towards local services),
+def policy(scored: DataFrame, thr: float, score_col: str = "anomaly_score",
+           local_services=K.LOCAL_SERVICES) -> DataFrame:
+    """P12 (prediction -1 and score < thr), P13 (not towards ``local_services``),
     A8 (anomalies per (src_ip, dest_port), grouped and joined back) and P14
     (``should_drop``)."""
     a = (scored.withColumn("dest_port", F.coalesce(F.col("dest_port").try_cast("int"), F.lit(0)))
                .where((F.col("prediction") == K.ANOMALY_PREDICTION)
-                      & ~F.coalesce(F.col("dest_ip").cast("string").isin(*K.LOCAL_SERVICES), F.lit(False))
+                      & ~F.coalesce(F.col("dest_ip").cast("string").isin(*local_services), F.lit(False))
                       & (F.col(score_col) < F.lit(thr))))
     freq = a.groupBy("src_ip", "dest_port").agg(F.count(F.lit(1)).alias("freq_sp"))
     a = a.join(freq, ["src_ip", "dest_port"], "left")
@@ -83,7 +84,8 @@ def flow_rules(candidates: DataFrame, thr: float, score_col: str = "anomaly_scor
     sev = F.coalesce(F.col("alert_severity").try_cast("int"), F.lit(0))
     pkt = F.coalesce(F.col("packet_length").try_cast("int"), F.lit(0))
     score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0))
-    ok = proto.isin("tcp", "udp") & src.isNotNull() & dst.isNotNull() & (dport > 0)
+    readable = F.col("src_port").isNull() | sp.isNotNull()      # a port that is no number gives no rule
+    ok = proto.isin("tcp", "udp") & src.isNotNull() & dst.isNotNull() & (dport > 0) & readable
     drop = (F.col("should_drop") & ~dport.isin(*K.ALERT_ONLY_PORTS) & (score < F.lit(thr)))
     action = F.when(F.coalesce(drop, F.lit(False)), "drop").otherwise("alert")
     uid = F.concat_ws("-", src, dst, proto, dport.cast("string"), sev.cast("string"), pkt.cast("string"),
@@ -182,8 +184,12 @@ def toggle(lines: DataFrame, toggles: DataFrame, text_col: str = "text") -> Data
     """Apply ``(sid, status)`` toggles: ``disable`` adds one ``#`` unless
     the line already starts with one, ``enable`` strips every leading ``#``.
     Lines are matched on their ``sid:N;`` option (a broadcast-free equi-join
-    on the extracted sid)."""
-    t = toggles.select(F.col("sid").cast("bigint").alias("_sid"), F.lower("status").alias("_status"))
+    on the extracted sid).  Of several toggles for one sid the last counts, by
+    ``at`` if there is such a column; without it a ``disable`` wins."""
+    t = toggles.select(F.col("sid").cast("bigint").alias("_sid"), F.lower("status").alias("_status"),
+                       (F.col("at") if "at" in toggles.columns else F.lit(0)).alias("_at"))
+    rank = F.struct("_at", F.when(F.col("_status") == "disable", 1).otherwise(0).alias("d"))
+    t = t.groupBy("_sid").agg(F.max_by("_status", rank).alias("_status"))
     d = lines.withColumn("_lsid", sid_of(F.regexp_replace(F.col(text_col), r"^#+", "")))
     d = d.join(t, d["_lsid"] == t["_sid"], "left")
     txt = F.col(text_col)
@@ -194,10 +200,10 @@ def toggle(lines: DataFrame, toggles: DataFrame, text_col: str = "text") -> Data
 
 
 def sid_collisions(rules: DataFrame) -> DataFrame:
-    """Q17: sids shared by different rule texts."""
-    return rules.groupBy("sid").agg(F.count_distinct("text").alias("n_texts"),
-                                    F.array_join(F.sort_array(F.collect_set("text")), " | ").alias("texts")) \
-                .where(F.col("n_texts") > 1)
+    """Q17: sids shared by different rule texts: their number, the first and
+    the last of them."""
+    return rules.groupBy("sid").agg(F.count_distinct("text").alias("n_texts"), F.min("text").alias("first_text"),
+                                    F.max("text").alias("last_text")).where(F.col("n_texts") > 1)
 
 
 def inventory(lines: DataFrame) -> DataFrame:
@@ -214,13 +220,13 @@ def inventory(lines: DataFrame) -> DataFrame:
 
 
 def generate(scored: DataFrame, history: DataFrame, thr: float, existing: DataFrame | None = None,
-             port_col: str = "dest_port", checkpoint: bool = True) -> dict:
+             port_col: str = "dest_port", checkpoint: bool = True, local_services=K.LOCAL_SERVICES) -> dict:
     """M10's rule half: every intermediate of one generation run.
 
     The policy output (the anomalies under the threshold: a small fraction of
     the scored events) feeds four branches; it is checkpointed once so the
     scoring plan is not re-run per branch."""
-    pol = policy(scored, thr)
+    pol = policy(scored, thr, local_services=local_services)
     if checkpoint:
         from netsleuth.session import materialize
         pol = materialize(pol)

@@ -8,34 +8,51 @@ same transformation (Q10b).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Exact quantiles keep a value->count map per column; beyond this many rows
-# the fit switches to percentile_approx.
-EXACT_QUANTILE_MAX_ROWS = 10_000_000
-APPROX_ACCURACY = 100_000
-
-
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact: bool | None = None) -> dict:
-    """``{col: [q(p) for p in probs]}`` in one aggregation (linear
-    interpolation, as numpy's default, when exact)."""
-    if exact is None:
-        exact = df.count() <= EXACT_QUANTILE_MAX_ROWS
-    ps = [float(p) for p in probs]
-    if exact:
-        aggs = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in ps])).alias(c) for c in cols]
-    else:
-        aggs = [F.percentile_approx(F.col(c).cast("double"), ps, APPROX_ACCURACY).alias(c) for c in cols]
-    row = df.agg(*aggs).first()
-    return {c: list(row[c]) if row[c] is not None else [None] * len(ps) for c in cols}
+from netsleuth.operators.sequence import positions
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], weight: str | None = None) -> dict:
+    """``{col: [q(p) for p in probs]}``: exact, linearly interpolated, at every
+    size (as numpy's default and SQL's ``percentile_cont``).  A row counts
+    ``weight`` times if that column is named.
+
+    Equal values are counted first; running counts over the (column, value)
+    order come from range chunks, which split a column over tasks; the two rows
+    around each wanted rank are then picked by one aggregation.  Only those
+    values come to the driver."""
+    ps, cols = [float(p) for p in probs], list(cols)
+    names = {i: c for i, c in enumerate(cols)}
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in names.items()]))
+    times = F.col(weight) if weight else F.lit(1)
+    counted = (df.select(pairs.alias("p"), times.cast("long").alias("w")).select("p.c", "p.v", "w").where(F.col("v").isNotNull())
+               .groupBy("c", "v").agg(F.sum("w").alias("n")).where("n > 0"))
+    ranked = positions(counted, "c", "v", "v", sums=["n"])
+    total = ranked.groupBy("c").agg(F.max("_cum_n").alias("_total"))                     # one row per column
+    at = [(F.col("_total") - 1) * F.lit(p) for p in ps]
+    pick = []
+    for i, pos in enumerate(at):
+        pick.append(F.min(F.when(F.col("_cum_n") > F.floor(pos), F.col("v"))).alias(f"lo{i}"))
+        pick.append(F.min(F.when(F.col("_cum_n") > F.ceil(pos), F.col("v"))).alias(f"hi{i}"))
+    rows = ranked.join(F.broadcast(total), "c").groupBy("c", "_total").agg(*pick).collect()
+    out = {c: [None] * len(ps) for c in cols}
+    for r in rows:
+        for i, p in enumerate(ps):
+            pos = (r["_total"] - 1) * p
+            low, high = math.floor(pos), math.ceil(pos)
+            lo, hi = r[f"lo{i}"], r[f"hi{i}"]
+            out[names[r["c"]]][i] = lo if low == high or lo == hi else (high - pos) * lo + (pos - low) * hi
+    return out
 
 
-def robust_fit(df: DataFrame, cols: Sequence[str], exact: bool | None = None) -> DataFrame:
+def robust_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """-> params table ``(feature, center, scale)``: median and IQR (IQR 0 -> 1)."""
-    q = quantiles(df, cols, [0.25, 0.5, 0.75], exact)
+    q = quantiles(df, cols, [0.25, 0.5, 0.75])
     rows = []
     for c in cols:
         q25, med, q75 = q[c]
@@ -60,8 +77,8 @@ def robust_transform(df: DataFrame, params, suffix: str = "") -> DataFrame:
     return out
 
 
-def robust_scale(df: DataFrame, cols: Sequence[str], exact: bool | None = None) -> DataFrame:
-    return robust_transform(df, robust_fit(df, cols, exact))
+def robust_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return robust_transform(df, robust_fit(df, cols))
 
 
 def minmax_fit(train: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -80,7 +97,3 @@ def minmax_transform(df: DataFrame, params: DataFrame) -> DataFrame:
         c = r["feature"]
         out = out.withColumn(c, minmax(F.col(c).cast("double"), F.lit(r["lo"]), F.lit(r["hi"])))
     return out
-
-
-def empty_like(spark: SparkSession, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -77,7 +77,9 @@ def positions(df: DataFrame, key: str, ts_col: str, tie_col: str,
         key, "_chunk", F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"),
         *[F.coalesce(F.sum(f"_tot_{c}").over(w_prev), F.lit(0)).alias(f"_off_{c}") for c in sums])
 
-    out = d.join(offsets, [key, "_chunk"], "inner").withColumn(pos_col, F.col("_off") + F.col("_local"))
+    offsets = offsets.withColumnRenamed(key, "_ok").withColumnRenamed("_chunk", "_oc")
+    same = d[key].eqNullSafe(offsets["_ok"]) & (d["_chunk"] == offsets["_oc"])      # rows without key are a key of their own
+    out = d.join(offsets, same, "inner").drop("_ok", "_oc").withColumn(pos_col, F.col("_off") + F.col("_local"))
     for c in sums:
         out = out.withColumn(f"_cum_{c}", F.col(f"_off_{c}") + F.col(f"_lcum_{c}"))
     drop = ["_chunk", "_local", "_off"] + [f"_lcum_{c}" for c in sums] + [f"_off_{c}" for c in sums]
@@ -94,7 +96,7 @@ def lookback(df: DataFrame, key: str, target, values: Sequence[str], pos_col: st
     lagged = df.select(F.col(key).alias("_lk"), F.col(pos_col).alias("_lp"),
                        *[F.col(v).alias(f"{prefix}{v}") for v in values])
     d = df.withColumn("_target", target)
-    cond = (d[key] == lagged["_lk"]) & (d["_target"] == lagged["_lp"])
+    cond = d[key].eqNullSafe(lagged["_lk"]) & (d["_target"] == lagged["_lp"])
     return d.join(lagged, cond, "left").drop("_lk", "_lp", "_target")
 
 
@@ -152,10 +154,39 @@ def _trailing_count_ranked(df: DataFrame, key: str, ts_col: str, width_micros: i
          - F.max(F.when(F.col("_side") == 0, F.col("_cum__is_data")))).alias(out_col))
     out = df.join(c, df[id_col] == c["_qid"], "left").drop("_qid")
     return out.withColumn(out_col, F.when(F.col(ts_col).isNull(), F.lit(null_value).cast("long"))
-                          .otherwise(F.col(out_col).cast("long")))
-
-
-def global_prefix(df: DataFrame, order_col: str, sums: Sequence[str], n_buckets: int = 64,
+                          .otherwise(F.coalesce(F.col(out_col).cast("long"), F.lit(null_value).cast("long"))))
+
+
+def ordered_counts(df: DataFrame, key: str, ts_col: str, tie_col: str, width_micros: int,
+                   sums: Sequence[str] = ()) -> DataFrame:
+    """Everything the ordered features need, from one ranked pass over the
+    narrow columns ``(key, time, tie)``.
+
+    -> ``(key, _x, tie, _pos, _in_width, _cum_<c>...)`` per row: the time in
+    microseconds, the position inside the key, and the rows of the key in
+    ``(t - width, t]``.  Each distinct (key, time) adds one probe row at
+    ``t - width`` that sorts behind the rows of equal time; counts at a time are
+    the running counts at its last row, so peers see each other."""
+    data = df.select(F.col(key), micros(ts_col).alias("_x"), F.lit(0).alias("_k"), F.col(tie_col).alias("_id"),
+                     F.lit(1).alias("_one"), *[F.col(c) for c in sums])
+    probe = (data.where(F.col("_x").isNotNull()).select(key, "_x").distinct()
+             .select(F.col(key), (F.col("_x") - F.lit(width_micros)).alias("_x"), F.lit(1).alias("_k"),
+                     F.lit(None).cast(data.schema["_id"].dataType).alias("_id"), F.lit(0).alias("_one"),
+                     *[F.lit(0).cast(data.schema[c].dataType).alias(c) for c in sums]))
+    order = F.struct("_k", "_id")
+    ranked = positions(data.unionByName(probe).withColumn("_tie", order), key, "_x", "_tie", sums=["_one", *sums])
+    at = F.when(F.col("_k") == 0, F.col("_x")).otherwise(F.col("_x") + F.lit(width_micros))
+    counts = (ranked.where(F.col("_x").isNotNull()).groupBy(F.col(key).alias("_gk"), at.alias("_gx"))
+              .agg((F.max(F.when(F.col("_k") == 0, F.col("_cum__one"))) - F.max(F.when(F.col("_k") == 1, F.col("_cum__one"))))
+                   .alias("_in_width")))
+    rows = ranked.where(F.col("_k") == 0)
+    same = rows[key].eqNullSafe(counts["_gk"]) & (rows["_x"] == counts["_gx"])
+    return (rows.join(counts, same, "left")
+            .select(key, "_x", F.col("_id").alias(tie_col), (F.col("_cum__one") - 1).alias("_pos"),
+                    F.coalesce("_in_width", F.lit(0)).cast("long").alias("_in_width"), *[f"_cum_{c}" for c in sums]))
+
+
+def global_prefix(df: DataFrame, order_col: str, sums: Sequence[str], n_buckets: int | None = None,
                   accuracy: int = 10_000) -> DataFrame:
     """Inclusive running sums ``_cum_<c>`` over ``order_col`` (ascending; values
     assumed distinct, e.g. an already grouped table) without a single-partition
@@ -163,8 +194,10 @@ def global_prefix(df: DataFrame, order_col: str, sums: Sequence[str], n_buckets:
 
     Bucket boundaries come from ``percentile_approx`` (a few dozen values on
     the driver); totals per bucket are prefixed over the tiny bucket table, and
-    each bucket is prefixed in its own task.
+    each bucket is prefixed in its own task.  There are as many buckets as
+    shuffle partitions unless ``n_buckets`` says otherwise.
     """
+    n_buckets = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.select(F.percentile_approx(order_col, probs, accuracy).alias("b"))
     row = bounds.first()

@@ -94,6 +94,16 @@ def flow_flatten(spark, sf_dir):
     return f.drop("tcp_flags", "tcp_flags_tc").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
+@register("quarantine_lines", "S1", with_flow("""
+SELECT CASE event_id % 41 WHEN 1 THEN s || ',"timest' WHEN 2 THEN s || '}trailing' WHEN 3 THEN '[' || s || '}]'
+            WHEN 4 THEN s || '} ' || s || '}' WHEN 5 THEN CAST(event_id AS VARCHAR) ELSE s || '}}' END AS value
+FROM (SELECT event_id, '{"event_type":"alert","flow_id":' || CAST(event_id AS VARCHAR) AS s FROM events)
+WHERE event_id % 41 BETWEEN 1 AND 6"""))
+def quarantine_lines(spark, sf_dir):
+    """Every malformed line of the log, and no other."""
+    return IG.quarantine(IG.parse_lines(_lines(spark, sf_dir)))
+
+
 @register("mode_label_asof", "J9,P3,F9,F10,S12", with_flow("""
 SELECT flow_id, l_ts AS "timestamp", mode, l_training_mode AS training_mode, l_training_label AS training_label,
        l_training_session AS training_session, l_anomaly AS anomaly

@@ -178,7 +178,7 @@ def rule_toggle(spark, sf_dir):
 
 
 @register("sid_collisions", "Q17", with_flow("""
-SELECT sid, count(DISTINCT text) AS n_texts, array_to_string(list_sort(list(DISTINCT text)), ' | ') AS texts
+SELECT sid, count(DISTINCT text) AS n_texts, min(text) AS first_text, max(text) AS last_text
 FROM (SELECT sid, text FROM fr UNION ALL SELECT sid, text FROM sr UNION ALL SELECT sid, text FROM cr)
 GROUP BY sid HAVING count(DISTINCT text) > 1""", rules_sql("scored", "flow")))
 def sid_collisions(spark, sf_dir):

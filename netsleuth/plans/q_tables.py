@@ -9,9 +9,11 @@ from netsleuth.operators import explore as EX
 from netsleuth.operators import features as FT
 from netsleuth.operators import ingest as IG
 from netsleuth.plans.oracle_sql import with_flow
+from netsleuth.plans.q_ingest import _HASH_SQL, LINES_CTE, MODES_CTE
 from netsleuth.plans.registry import register
-from netsleuth.schemas import MODEL_FEATURES
-from netsleuth.sources.flowview import flows, lines_table, load_table, with_model_prediction
+from netsleuth.schemas import FEATURE_TABLE_COLUMNS, MODEL_FEATURES
+from netsleuth.session import materialize
+from netsleuth.sources.flowview import flows, lines_table, load_table, mode_log, with_model_prediction
 
 _IP = ("CAST(split_part({c}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({c}, '.', 2) AS BIGINT) * 65536 "
        "+ CAST(split_part({c}, '.', 3) AS BIGINT) * 256 + CAST(split_part({c}, '.', 4) AS BIGINT)")
@@ -61,10 +63,7 @@ ft AS (
        LEFT JOIN pf USING (dest_port) LEFT JOIN df USING (dest_ip) LEFT JOIN codes USING (proto))
 """
 
-FEATURE_COLS = ["src_ip", "dest_ip", "proto", "src_port", "dest_port", "alert_severity", "packet_length", "hour",
-                "is_night", "ports_used", "conn_per_ip", "port_rarity", "ip_rarity", "conn_5m", "port_entropy",
-                "failed_ratio", "hour_anomaly", "conn_velocity", "proto_pkt_mean", "proto_pkt_std", "proto_ports",
-                "pkt_anomaly", "anomaly", "event_id", "training_label"]
+FEATURE_COLS = FEATURE_TABLE_COLUMNS + ["training_label"]
 
 
 def feature_frame(spark, sf_dir):
@@ -76,6 +75,24 @@ def feature_table(spark, sf_dir):
     return feature_frame(spark, sf_dir).select(*FEATURE_COLS)
 
 
+_INGESTED = LINES_CTE + "," + MODES_CTE + """,
+ing AS (SELECT DISTINCT """ + _HASH_SQL + """ AS event_id, l_ts AS "timestamp", src_ip, dest_ip, proto, l_src_port AS src_port,
+               l_dest_port AS dest_port, packet_length, l_alert_severity AS alert_severity, l_training_mode AS training_mode,
+               l_training_label AS training_label,
+               CAST(CASE WHEN l_ts IS NULL THEN 0 WHEN flow_id % 3 = 0 THEN hour(l_ts + INTERVAL 2 HOUR)
+                         ELSE hour(l_ts) END AS INTEGER) AS hour FROM admitted),
+fh AS (SELECT * FROM ing),
+""" + FEATURES_CTE.split("\n", 2)[2]
+
+
+@register("ingested_features", "S1,P1,P2,P3,P4,P5,F4,F12,A4", with_flow("SELECT * FROM ft", _INGESTED))
+def ingested_features(spark, sf_dir):
+    """Raw lines (mixed offsets, malformed ones among them) -> ingest with the
+    mode log -> feature table."""
+    stored = IG.ingest(lines_table(spark, sf_dir), mode_log(load_table(spark, sf_dir, "events")))
+    return FT.features(materialize(stored)).select(*FEATURE_COLS)
+
+
 @register("train_selection", "P8,P9", with_flow(
     "SELECT event_id, " + ", ".join(MODEL_FEATURES) + " FROM ft WHERE lower(training_label) = 'normal'", FEATURES_CTE))
 def train_selection(spark, sf_dir):
@@ -128,8 +145,7 @@ def latest_session(spark, sf_dir):
 @register("logs_by_day_page", "P16,L1,F20,S2", with_flow("""
 SELECT flow_id, timestamp_raw, l_event_type AS event_type, 2 AS page, 100 AS "limit",
        (SELECT count(*) FROM d) AS total
-FROM d ORDER BY l_ts DESC NULLS LAST, flow_id DESC LIMIT 100 OFFSET 100""", __import__(
-    "netsleuth.plans.q_ingest", fromlist=["LINES_CTE"]).LINES_CTE + """,
+FROM d ORDER BY l_ts DESC NULLS LAST, flow_id DESC LIMIT 100 OFFSET 100""", LINES_CTE + """,
 d AS (SELECT * FROM lines WHERE l_ts IS NOT NULL AND CAST(substr(timestamp_raw, 1, 10) AS DATE) = DATE '2024-01-10')"""))
 def logs_by_day_page(spark, sf_dir):
     ev = IG.flatten(IG.parse_lines(lines_table(spark, sf_dir)))
