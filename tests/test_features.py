@@ -46,20 +46,36 @@ def test_ordered_features_match_pandas_under_skew(spark):
     vel = FT.conn_velocity(df).toPandas().set_index("event_id")["conn_velocity"]
     roll = FT.failed_ratio_rolling(df).toPandas().set_index("event_id")["failed_ratio_rolling"]
     c5 = FT.conn_5m(df).toPandas().set_index("event_id")["conn_5m"]
-    p = pdf.sort_values(["src_ip", "timestamp", "event_id"])
-    g = p.groupby("src_ip")
-    exp_vel = g["timestamp"].transform(lambda x: x.diff().dt.total_seconds().rolling(5, min_periods=1).mean().fillna(0))
-    exp_roll = g["tcp_flags_tc"].transform(lambda x: (x == "S").astype(float).rolling(20, min_periods=1).mean())
-    p = p.assign(ones=1)
-    exp_c5 = p.groupby("src_ip", group_keys=False).apply(
-        lambda x: x.set_index("timestamp")["ones"].rolling("300s").count().groupby(level=0).transform("max")
-        .set_axis(x.index))
-    for eid, v in zip(p.event_id, exp_vel):
-        assert vel[eid] == pytest.approx(v, abs=1e-9)
-    for eid, v in zip(p.event_id, exp_roll):
-        assert roll[eid] == pytest.approx(v)
-    for eid, v in zip(p.event_id, exp_c5):
-        assert c5[eid] == v
+    # written as loops over each source's sorted rows
+    for _, rows in pdf.groupby("src_ip"):
+        rows = sorted(zip(rows["timestamp"], rows["event_id"], rows["tcp_flags_tc"]))
+        for i, (t, eid, _) in enumerate(rows):
+            steps = [(rows[j][0] - rows[j - 1][0]).total_seconds() for j in range(max(1, i - 4), i + 1)]
+            assert vel[eid] == pytest.approx(sum(steps) / len(steps) if steps else 0.0, abs=1e-9)
+            last = [f == "S" for _, _, f in rows[max(0, i - 19):i + 1]]
+            assert roll[eid] == pytest.approx(sum(last) / len(last))
+            assert c5[eid] == sum(0 <= (t - u).total_seconds() < 300 or u == t for u, _, _ in rows[max(0, i - 300):i + 300] if u <= t)
+    got = FT.ordered_features(df, flag_col="tcp_flags_tc").toPandas().set_index("event_id")
+    for eid in pdf["event_id"]:
+        assert got.conn_5m[eid] == c5[eid] and got.conn_velocity[eid] == pytest.approx(vel[eid], abs=1e-9)
+        assert got.failed_ratio_rolling[eid] == pytest.approx(roll[eid])
+
+
+def test_rows_without_source_or_time_stay(spark):
+    rows = [("1", None, _ts("2024-01-01 00:00:00")), ("2", None, _ts("2024-01-01 00:00:10")), ("3", "a", _ts("2024-01-01 00:00:00")),
+            ("4", "a", _ts("2024-01-01 00:00:10")), ("5", "a", None), ("6", None, None)]
+    df = spark.createDataFrame([(*r, "S", "10.0.0.1", 0, 0, 7) for r in rows],
+                               "event_id string, src_ip string, timestamp timestamp, tcp_flags_tc string, dest_ip string, "
+                               "alert_severity int, packet_length int, dest_port int").withColumn("proto", F.lit("TCP"))
+    for f, col in ((FT.conn_velocity, "conn_velocity"), (FT.conn_5m, "conn_5m"), (FT.failed_ratio_rolling, "failed_ratio_rolling")):
+        got = {r.event_id: r[col] for r in f(df).collect()}
+        assert len(got) == 6 and got["1"] == got["2"] == got["6"] == 0, col
+    ft = {r.event_id: r for r in FT.features(df).collect()}
+    assert len(ft) == 6 and ft["1"].ports_used == 0 and ft["1"].conn_5m == 0
+    assert (ft["4"].conn_5m, ft["4"].conn_velocity, ft["5"].conn_5m) == (2, 10.0, 0)
+    flags = {r.event_id: r.failed_ratio for r in FT.features(df, failed_by_flags=True).collect()}
+    assert flags["4"] == 1.0 and flags["1"] == 0.0
+    assert {r.proto for r in FT.features(df, codes={"UDP": 0}).collect()} == {-1}
 
 
 def test_positions_are_dense_per_key(spark):

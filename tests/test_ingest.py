@@ -56,24 +56,47 @@ def test_hour_and_ip_of_fixture(spark):
     assert by_src["999.1.1.1"].hour == 0 and by_src["999.1.1.1"].is_night == 1 and by_src["999.1.1.1"].n == 0.0
 
 
-def test_mode_asof_paths_agree(spark):
-    from netsleuth.sources.flowview import flow_view, load_table, mode_log
-    ev = load_table(spark, "/root/testdata/sf0.001", "events")
-    fl = flow_view(ev)
-    ml = mode_log(ev)
-    a = attach_mode(fl, ml).select("event_id", "mode", "session")
-    b = attach_mode(fl, ml, broadcast_max_rows=0).select("event_id", "mode", "session")
-    assert a.count() == fl.count()
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    assert a.select("mode").distinct().count() >= 2
-    import netsleuth.operators.modes as M
-    old = M.MAX_EXPANDED_ROWS
-    try:
-        M.MAX_EXPANDED_ROWS = 50          # forces day-scale buckets: same answer
-        c = attach_mode(fl, ml).select("event_id", "mode", "session")
-        assert c.exceptAll(a).count() == 0 and a.exceptAll(c).count() == 0
-    finally:
-        M.MAX_EXPANDED_ROWS = old
+def test_mode_asof_matches_a_loop_with_ties(spark):
+    """Ties, flood minutes, gaps of days, events before the first row and
+    without time; the same for any number of salts."""
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    log = [(at(100), "normal", "a"), (at(100), "off", None), (at(100), "anomaly", "b"), (at(130), "off", None), (at(130), "anomaly", "c"),
+           (at(86400 * 3 + 5), "off", None), (at(86400 * 3 + 65), "normal", "d"), (None, "anomaly", "x")]
+    modes = spark.createDataFrame(log, "effective_from timestamp, mode string, session_hash string")
+    times = [None, 0, 99, 100, 101, 129, 130, 200, 86399, 86400, 86400 * 3, 86400 * 3 + 5, 86400 * 3 + 64, 86400 * 3 + 65, 86400 * 9] + [120] * 40
+    rows = [(i, None if s is None else at(s)) for i, s in enumerate(times)] + [(99, at(120)), (99, at(120))]
+    ev = spark.createDataFrame(rows, "i long, timestamp timestamp")
+
+    def want(t):
+        rows = [(f, m, s if m != "off" else None) for f, m, s in log if f is not None and t is not None and f <= t]
+        return max(rows, key=lambda r: (r[0], r[1], r[2] or ""))[1:] if rows else ("off", None)
+    for salts in (1, 7):
+        got = sorted((r.i, r.mode, r.session) for r in attach_mode(ev, modes, salts=salts).collect())
+        assert [(i, m, s) for i, m, s in got] == sorted((i, *want(t)) for i, t in rows)
+    assert attach_mode(ev, modes.limit(0)).where("mode = 'off'").count() == len(rows)
+
+
+def test_malformed_lines_go_to_quarantine(spark):
+    bad = ['{"event_type":"alert","timest', "{}trailing", '[{"event_type":"alert"}]', '{"a":1} {"b":2}', '{"a":1},{"b":2}', '{"a":1}}', "null", '"x"', "7", "", " "]
+    good = ["{}", ' {"event_type":"alert"} ', '{"event_type":"alert","flow_id":"x","more":[1,{"y":2}]}', '{"s":"} {"}']
+    parsed = IG.parse_lines(spark.createDataFrame([(v,) for v in bad + good], "value string"))
+    assert sorted(r.value for r in IG.quarantine(parsed).collect()) == sorted(bad)
+    assert IG.flatten(parsed).count() == len(good)
+
+
+def test_ingested_events_feed_the_features(spark):
+    from netsleuth.operators import explore as EX
+    from netsleuth.operators import features as FT
+    stored = IG.ingest(_lines(spark), training=True)
+    assert stored.select("event_id").distinct().count() == stored.count() == 4
+    ft = {r.event_id: r for r in FT.features(stored).collect()}
+    first = stored.where("flow_id = 1").first()
+    assert ft[first.event_id].hour == 10 and ft[first.event_id].failed_ratio == 1.0     # as written; by severity
+    ledger = EX.mark_processed(stored.limit(1))
+    assert EX.unprocessed(stored, ledger).count() == 3 and EX.unprocessed(stored, ledger, 2).count() == 2
+    none = FT.features(stored.drop("event_id"))                                          # fallback ids, two events share one
+    assert none.count() == 4
 
 
 def test_dedup_against_store_is_null_safe(spark):
