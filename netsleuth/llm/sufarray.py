@@ -390,7 +390,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     kinds = settle(near.where("not alike").groupBy("value", "region")
                    .agg(F.min(F.struct("_rid", "first", "starts")).alias("r"), F.count(F.lit(1)).alias("copies"))
                    .select("value", "region", "copies", "r._rid", "r.first", "r.starts"), "repeat-kinds")
-    many = kinds.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_REGIONS).select("value", F.lit(True).alias("many"))
+    many = settle(kinds.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_REGIONS)
+                  .select("value", F.lit(True).alias("many")), "repeat-many")
     wanted = (kinds.join(many, "value", "left").groupBy("_rid")
               .agg(F.collect_list(F.struct("value", "region", "copies", "first", "starts", F.coalesce("many", F.lit(False)).alias("many"))).alias("k")))
     pieces = settle(_cut_pieces(_among(texts.select("_rid", "text"), kinds.select("_rid")).join(wanted, "_rid"), length), "repeat-pieces")
