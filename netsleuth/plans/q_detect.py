@@ -73,13 +73,15 @@ def iforest_facts(spark, sf_dir):
     rows = stored.where("training_label = 'normal'")
     model = IF.fit(rows, FOREST_FEATURES)
     roots = spark.createDataFrame(model.nodes, ISOLATION_NODE)      # bounded by trees and samples
-    share = model.score(rows).agg(F.avg((F.col("anomaly_score") < 0).cast("double"))).scalar()
+    # rows below the interpolated quantile: at most the one beside it more than the share
+    flagged = model.score(rows).agg((F.count_if(F.col("anomaly_score") < 0)
+                                     <= F.floor(K.IFOREST_CONTAMINATION * (F.count(F.lit(1)) - 1)) + 1).alias("x")).scalar()
     return roots.agg(
         F.count_distinct("tree_id").cast("int").alias("trees"),
         F.max(F.when(F.col("depth") == 0, F.col("size"))).cast("long").alias("rows_per_tree"),
         F.count_if((F.col("depth") == 0) & (F.col("size") == model.psi)).cast("int").alias("full_trees"),
         (F.max("depth") <= F.ceil(F.log2(F.lit(float(model.psi))))).alias("depth_kept"),
-        (share <= K.IFOREST_CONTAMINATION).alias("share_kept"))
+        F.first(flagged).alias("share_kept"))
 
 
 @register("iforest_fit_score", "M2,M3,M4,M9,M1,K10")

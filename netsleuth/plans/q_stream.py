@@ -38,38 +38,38 @@ def stream_ingest(spark, sf_dir):
 SELECT w.window_start, w.window_start + INTERVAL 5 MINUTE AS window_end, w.src_ip, count(*) AS n
 FROM (SELECT src_ip, time_bucket(INTERVAL 1 MINUTE, "timestamp") - to_minutes(k) AS window_start
       FROM flow, range(5) r(k) WHERE "timestamp" IS NOT NULL) w
-GROUP BY w.window_start, w.src_ip
-HAVING w.window_start + INTERVAL 5 MINUTE <= (SELECT max("timestamp") FROM flow) - INTERVAL 10 MINUTE"""))
+GROUP BY w.window_start, w.src_ip"""))
 def stream_conn_window(spark, sf_dir):
     """Sliding 5-minute / 1-minute counts per source over the flow records
-    streamed from Parquet files; append mode, so a window is emitted once the
-    watermark (10 minutes behind the newest event) has passed its end."""
-    src = scratch_path(spark, "flow-files")
+    streamed from Parquet files (append mode); a closing marker behind the last
+    file releases the windows that the watermark still holds."""
+    def start(events, out, ckpt):
+        return SW.start_sliding_counts(events, out, ckpt, trigger={"availableNow": True})
+    return _whole_stream(spark, sf_dir, "conn-windows", start).where("src_ip is not null") \
+        .withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
+        .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
+def _whole_stream(spark, sf_dir, name, start):
+    """Run a stream over the flow records and then over the closing marker."""
+    src, out, ckpt = scratch_path(spark, "flow-files"), scratch_path(spark, name), scratch_path(spark, f"{name}-ckpt")
     flows(spark, sf_dir).repartition(4).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    events = spark.readStream.schema(schema).parquet(src)
-    out, ckpt = scratch_path(spark, "conn-windows"), scratch_path(spark, "conn-ckpt")
-    q = SW.start_sliding_counts(events, out, ckpt, trigger={"availableNow": True})
-    q.awaitTermination()
-    return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
-                                  .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+    stored = spark.read.parquet(src)
+    schema = stored.schema
+    start(spark.readStream.schema(schema).parquet(src), out, ckpt).awaitTermination()
+    newest = stored.agg(F.max("timestamp")).first()[0]
+    SW.closing_marker(spark, schema, newest).write.mode("append").parquet(src)
+    start(spark.readStream.schema(schema).parquet(src), out, ckpt).awaitTermination()
+    return spark.read.parquet(out)
 
 
 @register("stream_conn_5m_exact", "T6,W3", with_flow("""
-SELECT event_id, src_ip, "timestamp", conn_5m FROM (
-  SELECT event_id, src_ip, "timestamp", count(*) OVER (PARTITION BY src_ip ORDER BY epoch_us("timestamp")
-         RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS conn_5m
-  FROM flow WHERE "timestamp" IS NOT NULL)
-WHERE "timestamp" < (SELECT max("timestamp") FROM flow) - INTERVAL 10 MINUTE"""))
+SELECT event_id, src_ip, "timestamp", CASE WHEN "timestamp" IS NULL THEN 0 ELSE
+       count(*) OVER (PARTITION BY src_ip ORDER BY epoch_us("timestamp") RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) END AS conn_5m
+FROM flow"""))
 def stream_conn_5m_exact(spark, sf_dir):
-    """Exact per-event trailing 5-minute count on a stream (stateful); rows are
-    final once the watermark (10 minutes behind the newest event) passes them."""
-    src = scratch_path(spark, "flow-files")
-    flows(spark, sf_dir).repartition(4).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    events = spark.readStream.schema(schema).parquet(src)
-    out, ckpt = scratch_path(spark, "conn5m-exact"), scratch_path(spark, "conn5m-ckpt")
-    q = (SW.exact_trailing_counts(events).writeStream.outputMode("append").format("parquet")
-         .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    """Exact trailing 5-minute count of every event on a stream (stateful)."""
+    def start(events, out, ckpt):
+        return (SW.exact_trailing_counts(events, bucket_seconds=86400).writeStream.outputMode("append").format("parquet")
+                .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    return _whole_stream(spark, sf_dir, "conn5m-exact", start).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))

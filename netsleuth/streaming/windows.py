@@ -3,7 +3,7 @@
 The batch feature ``conn_5m`` is an exact trailing window per row.  On a
 stream the bounded-state form is a sliding event-time window: counts per
 source over 5-minute windows sliding by 1 minute, finalised by a watermark
-(late rows beyond it are left to the batch path)."""
+(later rows are left to the batch operator on the stored table)."""
 
 from __future__ import annotations
 
@@ -27,58 +27,86 @@ def start_sliding_counts(events: DataFrame, out_path: str, checkpoint: str, trig
 
 
 def exact_trailing_counts(events: DataFrame, ts_col: str = "timestamp", key: str = "src_ip",
-                          id_col: str = "event_id", seconds: int = 300, watermark: str = "10 minutes") -> DataFrame:
+                          id_col: str = "event_id", seconds: int = 300, watermark: str = "10 minutes",
+                          bucket_seconds: int = 3600) -> DataFrame:
     """Exact streaming twin of ``conn_5m``: rows of the same source in
     ``(t - width, t]`` for every event.
 
-    A row waits in its source's state until the watermark has passed it (no
-    earlier row can still arrive), then it is emitted with its count.  State
-    keeps pending rows plus the emitted times a later window can still reach
-    (``width`` behind the watermark), so it is bounded by the source's rate
-    times (watermark delay + width); an event-time timeout flushes it.
+    State is kept per (source, time bucket), so a busy source is spread over
+    its buckets; a row of the last ``width`` of a bucket also visits the next
+    one as a halo copy, which is all that bucket can look back to.  Times that
+    no waiting row can reach are dropped, so state is bounded by a source's rate
+    times (watermark delay + width); the bucket sets how finely a backlog is
+    spread (short for busy sources, long for many quiet ones).  A row is emitted once the
+    watermark has passed it (no earlier row can still arrive), a bucket's state
+    goes when the watermark has passed its end.  Rows without time or source
+    are emitted at once with 0, as in the batch operator; rows later than the
+    watermark are dropped by Spark and left to ``conn_5m`` on the stored table.
+    ``closing_marker`` lets a finite stream release its last rows.
     """
     import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    width = seconds * 1_000_000
+    width, span = seconds * 1_000_000, max(seconds, bucket_seconds) * 1_000_000
     out_schema = f"{id_col} string, {key} string, {ts_col} timestamp, conn_5m long"
-    state_schema = "p_ts array<long>, p_id array<string>, h_ts array<long>"
+    state_schema = "t array<long>, id array<string>, seen array<long>"
 
     def step(k, batches, state):
+        """``t``/``id``: rows of the bucket that wait; ``seen``: times that
+        count, of rows emitted and of halo copies."""
+        if not k[2]:
+            for pdf in batches:
+                pdf = pdf[pdf[id_col].notna()]
+                yield pd.DataFrame({id_col: pdf[id_col], key: pdf[key], ts_col: pdf[ts_col], "conn_5m": np.zeros(len(pdf), np.int64)})
+            return
+        t, ids, seen = (np.empty(0, np.int64), np.empty(0, object), np.empty(0, np.int64))
         if state.exists:
-            p_ts, p_id, h_ts = (list(x) for x in state.get)
-        else:
-            p_ts, p_id, h_ts = [], [], []
+            t, ids, seen = (np.array(x, d) for x, d in zip(state.get, (np.int64, object, np.int64)))
         for pdf in batches:
-            p_ts.extend(int(v) for v in pdf["_t"])
-            p_id.extend(str(v) for v in pdf[id_col])
+            own = pdf["_own"].to_numpy(bool)
+            t = np.concatenate([t, pdf["_t"].to_numpy(np.int64)[own]])
+            ids = np.concatenate([ids, pdf[id_col].to_numpy(object)[own]])
+            seen = np.concatenate([seen, pdf["_t"].to_numpy(np.int64)[~own]])
+        end = (int(k[1]) + 1) * span
         wm = state.getCurrentWatermarkMs() * 1000
-        ready = [i for i, t in enumerate(p_ts) if wm > 0 and t < wm]
-        out = pd.DataFrame({id_col: pd.Series([], dtype=object), key: pd.Series([], dtype=object),
-                            ts_col: pd.Series([], dtype="datetime64[us]"), "conn_5m": pd.Series([], dtype="int64")})
-        if ready:
-            times = np.sort(np.array(h_ts + p_ts, dtype=np.int64))
-            rt = np.array([p_ts[i] for i in ready], dtype=np.int64)
-            counts = np.searchsorted(times, rt, "right") - np.searchsorted(times, rt - width, "right")
-            out = pd.DataFrame({id_col: [p_id[i] for i in ready], key: [k[0]] * len(ready),
-                                ts_col: pd.to_datetime(rt, unit="us"), "conn_5m": counts.astype("int64")})
-            h_ts = h_ts + rt.tolist()
-            keep = set(range(len(p_ts))) - set(ready)
-            p_ts, p_id = [p_ts[i] for i in sorted(keep)], [p_id[i] for i in sorted(keep)]
-        floor_ = (min(p_ts) if p_ts else wm) - width
-        h_ts = [t for t in h_ts if t > floor_]
-        if p_ts or h_ts:
-            state.update((p_ts, p_id, h_ts))
-            nxt = min(p_ts) if p_ts else max(h_ts) + width
-            state.setTimeoutTimestamp(nxt // 1000 + 1)
-        else:
+        ready = t < wm if wm > 0 else np.zeros(len(t), bool)
+        times = np.sort(np.concatenate([seen, t]))
+        rt = t[ready]
+        counts = np.searchsorted(times, rt, "right") - np.searchsorted(times, rt - width, "right")
+        out = pd.DataFrame({id_col: ids[ready], key: [k[0]] * len(rt), ts_col: pd.to_datetime(rt, unit="us"),
+                            "conn_5m": counts.astype("int64")})
+        if wm >= end:
             state.remove()
+        else:
+            wait = t[~ready]
+            reach = min(wm, int(wait.min()) if len(wait) else wm) - width       # nothing looks back further
+            past = np.concatenate([seen, rt])
+            state.update((wait.tolist(), ids[~ready].tolist(), past[past > reach].tolist()))
+            state.setTimeoutTimestamp(max(int(wait.min()) if len(wait) else end, wm) // 1000 + 1)
         yield out
 
-    timed = (events.where(F.col(ts_col).isNotNull())
-                   .select(F.col(id_col).cast("string").alias(id_col), F.col(key).cast("string").alias(key),
-                           F.col(ts_col), F.unix_micros(F.col(ts_col)).alias("_t"))
-                   .withWatermark(ts_col, watermark))
-    return timed.groupBy(key).applyInPandasWithState(step, out_schema, state_schema, "append",
-                                                     GroupStateTimeout.EventTimeTimeout)
+    t = F.unix_micros(F.col(ts_col))
+    whole = F.col(ts_col).isNotNull() & F.col(key).isNotNull()
+    bucket = F.floor(t / F.lit(span))
+    place = lambda b, own: F.struct(b.cast("long").alias("b"), F.lit(own).alias("own"))
+    # no filter here: the optimiser would move it below the watermark and hide rows from it
+    edge = F.floor((t + F.lit(width - 1)) / F.lit(span)) > bucket
+    copies = F.when(whole & edge, F.array(place(bucket, True), place(bucket + 1, False))) \
+              .when(whole, F.array(place(bucket, True))) \
+              .otherwise(F.array(place(F.pmod(F.xxhash64(id_col), F.lit(64)), True)))
+    spread = (events.withWatermark(ts_col, watermark)
+              .select(F.col(id_col).cast("string").alias(id_col), F.col(key).cast("string").alias(key), F.col(ts_col),
+                      t.alias("_t"), whole.alias("_whole"), F.explode(copies).alias("p")))
+    return (spread.select(id_col, key, ts_col, "_t", "_whole", F.col("p.b").alias("_b"), F.col("p.own").alias("_own"))
+            .groupBy(key, "_b", "_whole")
+            .applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def closing_marker(spark, schema, newest, ts_col: str = "timestamp", seconds: int = 300, watermark_minutes: int = 10) -> DataFrame:
+    """One row without source and id whose time moves the watermark past every
+    window that holds an event up to ``newest``.  Written behind the last file
+    of a finite stream, it releases what append mode holds back."""
+    late = F.lit(newest).cast("timestamp") + F.make_dt_interval(mins=F.lit(watermark_minutes + 3 * seconds // 60 + 1))
+    cols = [late.cast(f.dataType).alias(f.name) if f.name == ts_col else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    return spark.range(1).select(*cols)
