@@ -112,7 +112,8 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_bags(docs: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """``(label, calibration, buckets, shares)`` of a bounded sample: ``rows``
+    """``(label, calibration, buckets, shares)`` (32-bit integers and floats as
+    bytes) of a bounded sample: ``rows``
     labelled, not held-out rows expected for each language, each drawn by a
     hash of its own; each gives its whole text and a few snippets."""
     usable = (docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
@@ -138,12 +139,12 @@ def training_bags(docs: DataFrame, id_col: str, text_col: str, label_col: str, r
                 for p in parts:
                     at, share = bag(p)
                     if len(at):
-                        rows.append((label.decode(), cal, at.tolist(), share.tolist()))
+                        rows.append((label.decode(), cal, at.tobytes(), share.tobytes()))
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()),
-                                              pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.float32()))],
+                                              pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
                                              ["label", "calibration", "buckets", "shares"])
-    return drawn.mapInArrow(run, "label string, calibration boolean, buckets array<int>, shares array<float>")
+    return drawn.mapInArrow(run, "label string, calibration boolean, buckets binary, shares binary")
 
 
 def train(bags, seed: int = 7) -> Model:
@@ -209,8 +210,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     About ``rows`` x languages rows with their snippets, each bounded by
     ``BUCKETS``, come to the driver; one language alone is always predicted."""
     bags = training_bags(docs, id_col, text_col, label_col, rows)
-    got = [] if bags is None else [(r[0], r[1], r[2], r[3]) for r in bags.collect()]
-    got.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2], r[3]))
+    got = sorted((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in bags.collect()) if bags is not None else []
+    got = [(lab, cal, np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for lab, cal, b, s in got]
     return train(got) if got else None
 
 
