@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netsleuth.llm import bpe, fingerprint, langid, lmscore, packing, quality, simhash, spans, sufarray, warc
+from netsleuth.llm import bpe, fingerprint, langid, lmscore, oracle, packing, quality, simhash, spans, sufarray, warc
 from netsleuth.session import scratch_path
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict = dict(oracle.ORACLE)
 
 
 def query(fn):
@@ -56,7 +56,9 @@ def op2_language_id(spark, sf_dir):
 def op3_quality_rules(spark, sf_dir):
     """Base counts and verdict of every whole text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    return quality.judge(docs, quality.references(docs))
+    found = quality.judge(docs, quality.references(docs))
+    return found.select("*", *[F.round(c, 9).alias(f"{c}_") for c in ("char_distance", "word_distance")]) \
+        .drop("char_distance", "word_distance").withColumnsRenamed({"char_distance_": "char_distance", "word_distance_": "word_distance"})
 
 
 @query
