@@ -87,10 +87,6 @@ def is_valid_ipv6(c) -> Column:
     return _ipv6_groups(c).isNotNull()
 
 
-def is_valid_ip(c) -> Column:
-    return is_valid_ipv4(c) | is_valid_ipv6(c)
-
-
 def ipv6_halves(c) -> Column:
     """STRUCT<hi DECIMAL(20,0), lo DECIMAL(20,0)> for IPv6 text, NULL otherwise."""
     dec = "decimal(20,0)"

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsleuth import constants as K
+from netsleuth.functions.scalar import prediction_to_binary
 from netsleuth.operators.sequence import global_prefix
 from netsleuth.session import materialize
 
@@ -56,8 +57,7 @@ def join_scores(scores: DataFrame, gt: DataFrame, keys=("event_id",), score_col:
     g = gt.select(*keys, as_binary(lab).alias("gt_label"))      # renamed before the join (Q9b)
     s = scores.drop("gt_label")
     out = s.join(g, list(keys), "inner")
-    pred = F.when(F.col("prediction") == K.ANOMALY_PREDICTION, 1).otherwise(0) if "prediction" in s.columns \
-        else F.lit(0)
+    pred = prediction_to_binary("prediction") if "prediction" in s.columns else F.lit(0)
     return out.withColumn("prediction_bin", pred)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsleuth import constants as K
+from netsleuth.functions.scalar import prediction_label, prediction_to_binary
 from netsleuth.operators.evaluate import score_counts
 from netsleuth.operators.scaling import quantiles
 
@@ -37,9 +38,8 @@ def label_by_threshold(df: DataFrame, thr: float, score_col: str = "anomaly_scor
     pred = F.when(F.col(score_col) < F.lit(thr), K.ANOMALY_PREDICTION).otherwise(K.NORMAL_PREDICTION)
     return (df.withColumn("threshold", F.lit(thr))
               .withColumn("prediction", pred)
-              .withColumn("is_anomaly", (F.col("prediction") == K.ANOMALY_PREDICTION).cast("int"))
-              .withColumn("label", F.when(F.col("prediction") == K.ANOMALY_PREDICTION, K.LABEL_ANOMALY)
-                          .otherwise(K.LABEL_NORMAL)))
+              .withColumn("is_anomaly", prediction_to_binary("prediction"))
+              .withColumn("label", prediction_label("prediction")))
 
 
 def sweep_table(df: DataFrame, thresholds: list[float], truth_col: str, score_col: str) -> DataFrame:

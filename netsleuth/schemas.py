@@ -33,7 +33,7 @@ RAW_EVENT = T.StructType([
     T.StructField("tcp_flags_tc", T.StringType()),
 ])
 
-# Flattened, stored event (order of the reference record).
+# Names and order of the flattened, stored event.
 STORED_EVENT_COLUMNS = [
     "event_type", "timestamp", "flow_id", "proto", "src_ip", "src_port",
     "dest_ip", "dest_port", "packet_length", "alert_severity", "alert_signature",
@@ -49,7 +49,7 @@ MODE_LOG = T.StructType([
     T.StructField("session_hash", T.StringType()),
 ])
 
-# Feature table: the reference's 24 columns in order.
+# The feature table's 24 columns in order.
 FEATURE_TABLE_COLUMNS = [
     "src_ip", "dest_ip", "proto", "src_port", "dest_port", "alert_severity",
     "packet_length", "hour", "is_night", "ports_used", "conn_per_ip",
@@ -58,7 +58,7 @@ FEATURE_TABLE_COLUMNS = [
     "proto_ports", "pkt_anomaly", "anomaly", "event_id",
 ]
 
-# Defaults used when a column is missing (``ensure_column``).
+# Defaults used when a column is missing (``ensure_columns``).
 FEATURE_DEFAULTS = {
     "alert_severity": 0, "packet_length": 0, "hour": 0, "is_night": 0,
     "ports_used": 0, "conn_per_ip": 0, "port_rarity": 0.0, "ip_rarity": 0.0,
@@ -77,7 +77,7 @@ MODEL_FEATURES = [
     "proto_pkt_mean", "proto_pkt_std", "proto_ports", "pkt_anomaly",
 ]
 
-# Projection used by the rule generator when it fetches unprocessed events.
+# Projection used by the rule generator when it fetches unprocessed events.
 SERVING_COLUMNS = [
     "event_id", "src_ip", "dest_ip", "proto", "src_port", "dest_port",
     "alert_severity", "packet_length", "timestamp",
