@@ -19,7 +19,7 @@ def _round3_text(x: str) -> str:
     return f"CAST(CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,30)), 3) AS DOUBLE) AS VARCHAR)"
 
 
-def rules_sql(src: str, hist: str, p: str = "") -> str:
+def rules_sql(src: str, hist: str, p: str = "", scan_ports: int = 10) -> str:
     """The whole generation run in SQL, CTE names prefixed with ``p``."""
     uid = (f"src_ip || '-' || dest_ip || '-' || lower(proto) || '-' || CAST(dest_port AS VARCHAR) || '-' || "
            f"CAST(alert_severity AS VARCHAR) || '-' || CAST(packet_length AS VARCHAR) || '-' || {_round3_text('anomaly_score')}")
@@ -50,7 +50,7 @@ def rules_sql(src: str, hist: str, p: str = "") -> str:
             'alert ip ' || src_ip || ' any -> any any (msg:"Detected port scanning activity from ' || src_ip
             || '"; sid:' || CAST(sid AS VARCHAR) || '; rev:1;)' AS text
           FROM (SELECT src_ip, count(DISTINCT {SCAN_PORT}) AS n_ports, {sha_mod('src_ip', 900000, 2000000)} AS sid
-                FROM {p}w5 GROUP BY src_ip HAVING count(DISTINCT {SCAN_PORT}) > 10)
+                FROM {p}w5 GROUP BY src_ip HAVING count(DISTINCT {SCAN_PORT}) > {scan_ports})
           WHERE regexp_full_match(src_ip, '{_V4}')),
 {p}hist AS (SELECT src_ip, count(*) AS n_hist, min(dest_port) AS port_min, max(dest_port) AS port_max
             FROM {hist} GROUP BY src_ip HAVING count(*) > 10),
@@ -145,9 +145,12 @@ def rule_text(spark, sf_dir):
     return _run(spark, sf_dir)["flow_rules"].select("event_id", "action", "sid", "text")
 
 
-@register("scan_rules", "A9,F16", with_flow("SELECT src_ip, n_ports, sid, text FROM sr", rules_sql("scored", "flow")))
+@register("scan_rules", "A9,F16", with_flow("SELECT src_ip, n_ports, sid, text FROM sr", rules_sql("scored", "flow", scan_ports=2)))
 def scan_rules(spark, sf_dir):
-    return _run(spark, sf_dir)["scan_rules"]
+    """Scan rules of the de-duplicated anomalies; more than two ports make a
+    scan here, as few anomalies of one source pass the policy (the default
+    threshold is checked by ``scan_rules_flows``)."""
+    return R.scan_rules(_run(spark, sf_dir)["dedup"], SCAN_PORT, min_ports=2)
 
 
 @register("contextual_rules", "A10,J6,F15", with_flow("SELECT sid, text FROM cr", rules_sql("scored", "flow")))
