@@ -101,7 +101,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                 for k, n in enumerate(class_counts(text).tolist()):
                     if n:
                         c[k] += n
-                if len(c) > 400_000:
+                if len(c) > 150_000:
                     yield from rows({lang: words.pop(lang)})
             yield from rows(words)
 
