@@ -1,29 +1,36 @@
 """Cross-entropy difference scores.
 
-A target and a background bigram model share one vocabulary of hashed word and
-bigram slots, order and smoothing; the background counts are scaled to the
-target's number of words, so that neither gains by its size.  Each word of a
-document costs its negative log probability under both; the mean difference is
-the score: negative means closer to the target.  A document's own counts are
-taken out of the model it belongs to.
-
-Counts are summed over the whole corpus in blocks of slots; a model has a fixed
-size, whatever the corpus.
+A target and a background bigram model share one vocabulary of words and
+bigrams, order and smoothing; the background counts are scaled to the target's
+number of words, so that neither gains by its size.  Each word of a document
+costs its negative log probability under both; the mean difference is the
+score: negative means closer to the target.  A document's own counts are taken
+out of the model it belongs to.
+
+Every distinct word and bigram of the corpus is counted, by a hash of 63 bits
+and its kind; the vocabulary grows with the corpus and is never in one place.
+Documents travel in chunks.  A chunk sends each of its distinct n-grams with
+its own counts, once, to the bucket that the hash belongs to; the bucket adds
+them up and answers every chunk in the order of its question.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsleuth.llm.rolling import Prefix, mix
 from netsleuth.llm.util import as_bytes, settle, table_partitions
 
+#: Slots of the small fixed table (``slots``, ``Models``) that the jobs are compared
+#: with; the word model's prior is spread over WORD_SLOTS words at least.
 WORD_SLOTS, PAIR_SLOTS = 1 << 18, 1 << 20
-BLOCK = 1 << 13
-#: Weight of the word model in the bigram model, and of each slot in the word model.
+#: Bytes of text of a chunk (a longer document is a chunk by itself) and, about, of a bucket.
+CHUNK, BUCKET = 1 << 22, 1 << 23
+#: Weight of the word model in the bigram model, and of each word in the word model.
 PAIR_PRIOR, WORD_PRIOR = 4.0, 0.5
 PIECE = 1 << 22
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -47,56 +54,19 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def slots(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word slot, pair slot, context slot) of each word.  The first word
-    follows an empty word."""
+def _ngrams(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of (word, pair, context) of each word.  The first word follows an
+    empty word."""
     h = word_hashes(text)
     before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
-    pair = mix(before * np.uint64(0x9FB21C651E98DF25) ^ h)
-    return ((h % np.uint64(WORD_SLOTS)).astype(np.int64), (pair % np.uint64(PAIR_SLOTS)).astype(np.int64),
-            (before % np.uint64(WORD_SLOTS)).astype(np.int64))
+    return h, mix(before * np.uint64(0x9FB21C651E98DF25) ^ h), before
 
 
-def _count(docs: DataFrame) -> DataFrame:
-    """``(block, counts binary)``: 64-bit counts per slot, target slots first,
-    one row per block that a task has met."""
-    size = WORD_SLOTS + PAIR_SLOTS
-
-    def run(batches):
-        total = np.zeros(2 * size, np.int64)
-        for b in batches:
-            for target, text in zip(b.column("target").to_pylist(), as_bytes(b.column("text"))):
-                word, pair, _ = slots(text or b"")
-                if len(word):
-                    base = 0 if target else size
-                    at, n = np.unique(np.concatenate([word, pair + WORD_SLOTS]), return_counts=True)
-                    total[at + base] += n
-        for k in np.flatnonzero(total.reshape(-1, BLOCK).any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k * BLOCK:(k + 1) * BLOCK].tobytes()], pa.binary())],
-                                             ["block", "counts"])
-
-    def add(batches):
-        now, total = None, None
-        for b in batches:
-            for k, c in zip(b.column("block").to_pylist(), b.column("counts")):
-                got = np.frombuffer(c.as_buffer(), np.int64)
-                if k != now:
-                    if now is not None:
-                        yield block(now, total)
-                    now, total = k, np.zeros(BLOCK, np.int64)
-                total = total + got
-        if now is not None:
-            yield block(now, total)
-
-    def block(k, total):
-        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
-    part = docs.select("target", "text").mapInArrow(run, "block int, counts binary")
-    # two rounds: sums of some tasks first, so that no block gathers all tasks at once
-    few = max(1, int(table_partitions(docs) ** 0.5))
-    half = (part.withColumn("salt", F.pmod(F.monotonically_increasing_id() / (1 << 33), F.lit(few)).cast("int"))
-            .repartition(table_partitions(docs), "block", "salt").sortWithinPartitions("block", "salt").select("block", "counts")
-            .mapInArrow(add, "block int, counts binary"))
-    return (half.repartition(table_partitions(docs), "block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary"))
+def slots(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word slot, pair slot, context slot) of each word."""
+    h, pair, before = _ngrams(text)
+    return ((h % np.uint64(WORD_SLOTS)).astype(np.int64), (pair % np.uint64(PAIR_SLOTS)).astype(np.int64),
+            (before % np.uint64(WORD_SLOTS)).astype(np.int64))
 
 
 class Models:
@@ -113,19 +83,25 @@ class Models:
         n = len(word)
         if not n:
             return 0, None, None
-        own_pair = _own(pair)
-        own_word, own_context = _own(word), _among(context, word)
-        size = max(1, self.total[0] - (n if target else 0))
-        out = []
-        for i, mine in ((0, target), (1, not target)):
-            m = 1 if mine else 0
-            total = self.total[i] - n * m
-            scale = size / max(1, total)
-            p_word = ((self.word[i][word] - m * own_word) * scale + WORD_PRIOR) / (total * scale + WORD_PRIOR * WORD_SLOTS)
-            follow = np.maximum(self.word[i][context] - m * own_context, 0) * scale
-            both = np.minimum((self.pair[i][pair] - m * own_pair) * scale, follow)
-            out.append(float(-np.log((both + PAIR_PRIOR * p_word) / (follow + PAIR_PRIOR)).mean()))
-        return n, out[0], out[1]
+        return n, *_losses([(w[word], p[pair], w[context]) for w, p in zip(self.word, self.pair)],
+                           (_own(word), _own(pair), _among(context, word)), target, self.total, WORD_SLOTS)
+
+
+def _losses(found, own, target: bool, totals, vocabulary: int) -> tuple[float, float]:
+    """Mean loss under the target and the background model.  ``found``: counts
+    (word, pair, context) of each word in either; ``own``: in the document."""
+    n = len(own[0])
+    size = max(1, totals[0] - (n if target else 0))
+    out = []
+    for (word, pair, context), total, mine in zip(found, totals, (target, not target)):
+        m = 1 if mine else 0
+        total = total - n * m
+        scale = size / max(1, total)
+        p_word = ((word - m * own[0]) * scale + WORD_PRIOR) / (total * scale + WORD_PRIOR * vocabulary)
+        follow = np.maximum(context - m * own[2], 0) * scale
+        both = np.minimum((pair - m * own[1]) * scale, follow)
+        out.append(float(-np.log((both + PAIR_PRIOR * p_word) / (follow + PAIR_PRIOR)).mean()))
+    return out[0], out[1]
 
 
 def _own(x: np.ndarray) -> np.ndarray:
@@ -141,6 +117,102 @@ def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.where(names[at] == x, n[at], 0)
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """64-bit columns of one length, compressed byte by byte of equal weight."""
+    x = np.stack([c.astype(np.uint64) for c in columns])  # one by one: together they would become floats
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(*x.shape, 8).transpose(0, 2, 1)).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, k: int, n: int) -> np.ndarray:
+    """The ``k`` columns of ``n`` values that were packed."""
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=k * n * 8, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(k, 8, n).transpose(0, 2, 1)).view(np.uint64).reshape(k, n)
+
+
+def _chunks(marked: DataFrame) -> DataFrame:
+    """``(chunk, n_bytes, doc_ids, targets, sizes, texts)``: documents of a
+    task, about CHUNK bytes a row; ``texts`` are compressed."""
+    def run(batches):
+        task, k = TaskContext.get().partitionId(), 0
+        rows, size = [], 0
+        for b in batches:
+            for row in zip(b.column("doc_id").to_pylist(), b.column("target").to_pylist(), as_bytes(b.column("text"))):
+                more = len(row[2] or b"")
+                if rows and size + more > CHUNK:
+                    yield chunk((task << 33) + k, rows, size)
+                    rows, size, k = [], 0, k + 1
+                rows.append(row)
+                size += more
+        if rows:
+            yield chunk((task << 33) + k, rows, size)
+
+    def chunk(k, rows, size):
+        ids, targets, texts = zip(*rows)
+        data = pa.compress(b"".join(t or b"" for t in texts), codec="zstd", asbytes=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([targets], pa.list_(pa.bool_())),
+             pa.array([[len(t or b"") for t in texts]], pa.list_(pa.int64())), pa.array([data], pa.binary())],
+            ["chunk", "n_bytes", "doc_ids", "targets", "sizes", "texts"])
+    return marked.mapInArrow(run, "chunk long, n_bytes long, doc_ids array<long>, targets array<boolean>, sizes array<long>, texts binary")
+
+
+def _read(batch):
+    """(chunk, doc_ids, targets, n-grams of each document, distinct n-grams,
+    place among them of each word and then of each pair) of each row."""
+    for i in range(batch.num_rows):
+        at = {c: batch.column(c)[i].as_py() for c in ("chunk", "n_bytes", "doc_ids", "targets", "sizes", "texts")}
+        data = pa.decompress(at["texts"], decompressed_size=at["n_bytes"], codec="zstd", asbytes=True) if at["n_bytes"] else b""
+        stop = np.cumsum(at["sizes"])
+        docs = [_ngrams(data[z - n:z]) for z, n in zip(stop.tolist(), at["sizes"])]
+        words, pairs = (np.concatenate([d[j] for d in docs]) for j in (0, 1))
+        # the lowest bit tells words from pairs
+        names, place = np.unique(np.concatenate([words & ~np.uint64(1), pairs | np.uint64(1)]), return_inverse=True)
+        yield at["chunk"], at["doc_ids"], at["targets"], docs, names, place
+
+
+def _edges(names: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among sorted hashes, and their end."""
+    return np.searchsorted((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1).astype(np.uint64))
+
+
+def _answers(chunks: DataFrame, buckets: int) -> DataFrame:
+    """``(bucket, chunk, reply, words, t, b)``.  ``reply``: target and background
+    counts of the chunk's distinct n-grams of the bucket, in the order of their
+    hashes; and for each bucket one row without a chunk: its distinct words and
+    the words of either model."""
+    def ask(batches):
+        for batch in batches:
+            for chunk, _, targets, docs, names, place in _read(batch):
+                of = np.repeat(np.array(targets, bool), [len(d[0]) for d in docs])
+                t = np.bincount(place[np.concatenate([of, of])], minlength=len(names))
+                b = np.bincount(place, minlength=len(names)) - t
+                edge = _edges(names, buckets)
+                full = np.flatnonzero(np.diff(edge))
+                for some in np.array_split(full, max(1, len(full) // 1000)):
+                    sent = [_pack(np.diff(names[x:z], prepend=np.uint64(0)), t[x:z], b[x:z]) for x, z in zip(edge[some], edge[some + 1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()),
+                                                      pa.array(edge[some + 1] - edge[some], pa.int64()), pa.array(sent, pa.binary())],
+                                                     ["bucket", "chunk", "n", "grams"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        sizes = rows.column("n").to_pylist()
+        got = [_unpack(g, 3, n) for g, n in zip(rows.column("grams").to_pylist(), sizes)]
+        names, place = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), return_inverse=True)
+        t, b = (np.zeros(len(names), np.int64) for _ in range(2))
+        at = np.cumsum([0, *sizes])
+        for x, z, g in zip(at, at[1:], got):  # an n-gram is once in a chunk
+            t[place[x:z]] += g[1].view(np.int64)
+            b[place[x:z]] += g[2].view(np.int64)
+        replies = [_pack(t[place[x:z]], b[place[x:z]]) for x, z in zip(at, at[1:])]
+        word = (names & np.uint64(1)) == 0
+        none, bucket = [0] * len(sizes), rows.column("bucket")[0].as_py()
+        return pa.table({"bucket": pa.array([bucket] * (len(sizes) + 1), pa.int32()), "chunk": pa.array([*rows.column("chunk").to_pylist(), None], pa.int64()),
+                         "reply": pa.array([*replies, None], pa.binary()), "words": pa.array([*none, int(word.sum())], pa.int64()),
+                         "t": pa.array([*none, int(t[word].sum())], pa.int64()), "b": pa.array([*none, int(b[word].sum())], pa.int64())})
+    return (chunks.mapInArrow(ask, "bucket int, chunk long, n long, grams binary").groupBy("bucket")
+            .applyInArrow(add, "bucket int, chunk long, reply binary, words long, t long, b long"))
+
+
 def with_target(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, target, text)``: whether the id is among ``target_ids(doc_id)``."""
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
@@ -156,20 +228,34 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     words and null losses.  Without any target document its model is uniform.
     Repeated rows count as often as they occur; a null id is background; other
     columns are ignored; an empty table gives an empty one."""
-    spark = docs.sparkSession
-    marked = settle(with_target(docs, target_ids, id_col, text_col), "lm-documents")
-    counts = np.zeros(2 * (WORD_SLOTS + PAIR_SLOTS), np.int64)
-    for r in _count(marked).collect():  # at most 2 x slots / BLOCK rows: the model
-        counts[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["counts"]), np.int64)
-    sent = spark.sparkContext.broadcast(counts)  # 2 x slots counts, whatever the corpus
+    chunks = settle(_chunks(with_target(docs, target_ids, id_col, text_col)), "lm-chunks")
+    n_bytes = chunks.agg(F.sum("n_bytes")).first()[0] or 0
+    answers = settle(_answers(chunks, buckets := max(table_partitions(docs), -(-n_bytes // BUCKET))), "lm-answers")
+    words, *totals = (x or 0 for x in answers.where("chunk is null").agg(F.sum("words"), F.sum("t"), F.sum("b")).first())
+    vocabulary = max(WORD_SLOTS, words)
+    replies = (answers.where("chunk is not null").groupBy("chunk")
+               .agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias("replies")))
 
     def run(batches):
-        models = Models(sent.value)
-        for b in batches:
-            got = [models.losses(t or b"", g) for t, g in zip(as_bytes(b.column("text")), b.column("target").to_pylist())]
-            n, x, y = zip(*got) if got else ((), (), ())
-            diff = [None if i is None else i - j for i, j in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), b.column("target"), pa.array(x, pa.float64()),
-                                              pa.array(y, pa.float64()), pa.array(diff, pa.float64())],
-                                             ["doc_id", "n_words", "target", "target_loss", "background_loss", "score"])
-    return marked.mapInArrow(run, "doc_id long, n_words long, target boolean, target_loss double, background_loss double, score double")
+        for batch in batches:
+            for (_, ids, targets, grams, names, place), got in zip(_read(batch), batch.column("replies")):
+                edge = _edges(names, buckets)
+                counts = [_unpack(r["reply"], 2, edge[r["bucket"] + 1] - edge[r["bucket"]]) for r in got.as_py() or ()]
+                counts = np.concatenate([np.zeros((2, 0), np.uint64), *counts], axis=1).astype(np.int64)
+                n_words, at, out = len(place) // 2, 0, []
+                for (word, pair, context), target in zip(grams, targets):
+                    n = len(word)
+                    if n:
+                        w, p = counts[:, place[at:at + n]], counts[:, place[n_words + at:n_words + at + n]]
+                        before = np.concatenate([np.zeros((2, 1), np.int64), w[:, :-1]], axis=1)
+                        x, y = _losses(list(zip(w, p, before)), (_own(word), _own(pair), _among(context, word)), target, totals, vocabulary)
+                        out.append((n, x, y, x - y))
+                    else:
+                        out.append((0, None, None, None))
+                    at += n
+                n, x, y, diff = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(targets, pa.bool_()), pa.array(x, pa.float64()),
+                                                  pa.array(y, pa.float64()), pa.array(diff, pa.float64())],
+                                                 ["doc_id", "n_words", "target", "target_loss", "background_loss", "score"])
+    return chunks.join(replies.hint("merge"), "chunk", "left").mapInArrow(
+        run, "doc_id long, n_words long, target boolean, target_loss double, background_loss double, score double")

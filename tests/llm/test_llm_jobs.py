@@ -392,3 +392,45 @@ def test_queries_and_pipeline(spark):
     whole = corpus_pipeline.run(spark, sf)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, whole.select(cols).collect())) == sorted(map(tuple, packed.select(cols).collect()))
+
+
+def test_language_model_counts_every_word_and_pair(spark, monkeypatch):
+    """Shared slots, small chunks and many buckets must not show: counts are those of whole words and pairs."""
+    monkeypatch.setattr(lmscore, "WORD_SLOTS", 8)
+    monkeypatch.setattr(lmscore, "PAIR_SLOTS", 8)
+    monkeypatch.setattr(lmscore, "CHUNK", 2000)
+    monkeypatch.setattr(lmscore, "BUCKET", 1000)
+    rng = random.Random(19)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, prose(rng, rng.randint(1, 60), words[:200] if i % 2 else words[100:])) for i in range(200)] + [(500, None), (501, " "), (7, "w1 w1 w1")]
+    target = {*range(1, 150, 2)}
+    word, pair = ([{}, {}] for _ in range(2))
+    for d, t in rows:
+        w = (t or "").split()
+        for table_, grams in ((word, w), (pair, list(zip([None, *w], w)))):
+            for g in grams:
+                table_[d not in target][g] = table_[d not in target].get(g, 0) + 1
+    size, vocabulary = [sum(x.values()) for x in word], len({*word[0], *word[1]})
+    expect = []
+    for d, t in rows:
+        w = (t or "").split()
+        p = list(zip([None, *w], w))
+        loss = []
+        for i in (0, 1):
+            mine = (d in target) == (i == 0)
+            total = size[i] - len(w) * mine
+            scale = max(1, size[0] - len(w) * (d in target)) / max(1, total)
+            out = []
+            for before, x in p:
+                p_word = ((word[i].get(x, 0) - w.count(x) * mine) * scale + lmscore.WORD_PRIOR) / (total * scale + lmscore.WORD_PRIOR * vocabulary)
+                follow = max(word[i].get(before, 0) - w.count(before) * mine, 0) * scale
+                both = min((pair[i].get((before, x), 0) - p.count((before, x)) * mine) * scale, follow)
+                out.append(-np.log((both + lmscore.PAIR_PRIOR * p_word) / (follow + lmscore.PAIR_PRIOR)))
+            loss.append(float(np.mean(out)) if out else None)
+        expect.append((d, len(w), *loss))
+    got = [(r.doc_id, r.n_words, r.target_loss, r.background_loss) for r in
+           lmscore.score(table(spark, rows), spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()]
+    assert len(got) == len(expect)
+    for x, y in zip(sorted(got, key=str), sorted(expect, key=str)):
+        assert x[:2] == y[:2] and (x[2] is None) == (y[2] is None)
+        assert x[2] is None or np.allclose(x[2:], y[2:])
