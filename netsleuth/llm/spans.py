@@ -1,12 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed; runs found more than once
+Every run of several consecutive sentences is hashed, and more of them where
+they are very short; runs found more than once
 anywhere keep their first occurrence, and the sentences of all others go.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 
 from netsleuth.llm.util import settle, with_row_id
 
-#: Sentences of a run, and words that a run has at least (a run of a few very
-#: short sentences says nothing).
+#: Sentences of a run, and words that a run has at least: a run of a few very
+#: short sentences says nothing alone and goes on, forwards and backwards.
 RUN, MIN_WORDS = 3, 10
 #: Sentences of more words are cut behind commas, semicolons and colons, and
 #: then into stretches of this many words.
@@ -57,17 +59,38 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _bounds(words: list[int], run: int, min_words: int) -> list[tuple[int, int]]:
+    """[first, stop) of each run: the shortest of ``run`` sentences and
+    ``min_words`` words from each first sentence on, and up to each last one.
+    All of a text with fewer words is one run."""
+    n, total = len(words), [0, *accumulate(words)]
+    if n < run:
+        return []
+    out = set()
+    stop = first = 0
+    for i in range(n):
+        stop = max(stop, i + run)
+        while stop < n and total[stop] - total[i] < min_words:
+            stop += 1
+        if stop <= n and total[stop] - total[i] >= min_words:
+            out.add((i, stop))
+    for z in range(run, n + 1):
+        while z - first > run and total[z] - total[first + 1] >= min_words:
+            first += 1
+        if total[z] - total[first] >= min_words:
+            out.add((first, z))
+    return sorted(out) or [(0, n)]
+
+
 def runs(text: str, run: int = RUN, min_words: int = MIN_WORDS):
-    """(first sentence, hash, hash) of each run; sentences without a word are
-    passed over, so that empty lines do not matter.  Words are compared in
-    lower case, white space does not matter."""
+    """(first sentence, last sentence, hash, hash) of each run; sentences
+    without a word are passed over, so that empty lines do not matter.  Words
+    are compared in lower case, white space does not matter."""
     import xxhash
     full = [(k, " ".join(w)) for k, (a, b) in enumerate(sentences(text)) if (w := text[a:b].lower().split())]
-    words = [s.count(" ") + 1 for _, s in full]
-    for i in range(len(full) - run + 1):
-        if sum(words[i:i + run]) >= min_words:
-            d = xxhash.xxh3_128_digest(" ".join(s for _, s in full[i:i + run]).encode("utf-8", "surrogatepass"))
-            yield full[i][0], full[i + run - 1][0], int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+    for i, z in _bounds([s.count(" ") + 1 for _, s in full], run, min_words):
+        d = xxhash.xxh3_128_digest(" ".join(s for _, s in full[i:z]).encode("utf-8", "surrogatepass"))
+        yield full[i][0], full[z - 1][0], int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def sentence_runs(texts: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:

@@ -434,3 +434,15 @@ def test_language_model_counts_every_word_and_pair(spark, monkeypatch):
     for x, y in zip(sorted(got, key=str), sorted(expect, key=str)):
         assert x[:2] == y[:2] and (x[2] is None) == (y[2] is None)
         assert x[2] is None or np.allclose(x[2:], y[2:])
+
+
+def test_copies_with_short_sentences_go(spark):
+    rng = random.Random(22)
+    each = " ".join(w + "." for w in prose(rng, 150).split())  # a mark behind each word
+    lines = "\n".join(f"{w}{i}" for i, w in enumerate(prose(rng, 40).split()))
+    tail = " ".join(f"the ninth word of {i} is here for you." for i in range(3)) + " a. b. c."
+    rows = [(1, each), (2, each), (3, lines), (4, lines), (5, tail), (6, tail + " other words follow here. and more. of them. until the end of it all."),
+            (7, "p. q. r."), (8, "p. q. r.")]
+    got = {r.doc_id: r for r in spans.remove_repeats(table(spark, rows)).collect()}
+    assert [got[i].kept_text for i in (2, 4, 8)] == ["", "", ""] and got[3].kept_text == lines and got[7].kept_text == "p. q. r."
+    assert got[6].kept_text == " other words follow here. and more. of them. until the end of it all."

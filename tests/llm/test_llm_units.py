@@ -226,3 +226,13 @@ def test_cuts_never_show_a_record_boundary():
 def test_lower_case_without_context():
     assert "".join(map(bpe.lower_letter, "ΑΣ")) == "ας".replace("ς", "σ")
     assert unicodedata.normalize("NFC", "é") == "é"
+
+
+def test_runs_of_short_sentences_cover_the_text():
+    rng = random.Random(21)
+    for _ in range(300):
+        words = [rng.choice([1, 1, 2, 5, 9, 14]) for _ in range(rng.randint(0, 30))]
+        n, got = len(words), spans._bounds(words, 3, 10)
+        whole = {(i, z) for i in range(n) for z in range(i + 3, n + 1) if sum(words[i:z]) >= 10}
+        assert set(got) == ({(i, z) for i, z in whole if (i, z - 1) not in whole or (i + 1, z) not in whole} or ({(0, n)} if n >= 3 else set()))
+        assert n < 3 or {k for i, z in got for k in range(i, z)} == set(range(n))
