@@ -8,42 +8,48 @@ anywhere keep their first occurrence, and the sentences of all others go.
 from __future__ import annotations
 
 import re
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netsleuth.llm.rolling import sliding_min
 from netsleuth.llm.util import settle, with_row_id
 
 #: Sentences of a run, and words that a run has at least: a run of a few very
 #: short sentences says nothing alone and goes on, forwards and backwards.
 RUN, MIN_WORDS = 3, 10
 #: Sentences of more words are cut behind commas, semicolons and colons, and
-#: then into stretches of this many words.
-LONG_SENTENCE = 25
+#: before each word whose hash is the least among NEAR words on either side: the
+#: words around a cut decide on it, not where the sentence starts or ends.  Only
+#: stretches without such a word are cut by number, from the cut before them on.
+LONG_SENTENCE, NEAR = 25, 3
 _ENDS = re.compile(r"[.!?]+(?=\s)|\n")
-_CLAUSE = re.compile(r"[,;:]+(?=\s)")
 _WORD = re.compile(r"\S+")
 
 
+def _least(words: list[str]) -> list[int]:
+    """Numbers of the words that, with the next one, have a smaller hash than
+    the NEAR words before and no greater one than those behind."""
+    import xxhash
+    h = np.array([xxhash.xxh3_64_intdigest(f"{x} {y}".encode("utf-8", "surrogatepass")) for x, y in pairwise([*words, ""])], np.uint64)
+    n, least = len(h), sliding_min(h, NEAR)
+    mid = h[NEAR:n - NEAR]
+    return (np.flatnonzero((mid < least[:n - 2 * NEAR]) & (mid <= least[NEAR + 1:])) + NEAR).tolist()
+
+
 def _parts(text: str, a: int, b: int):
     """A sentence, or the pieces of a long one."""
-    words = len(text[a:b].split())
-    if words <= LONG_SENTENCE:
+    if len(text[a:b].split()) <= LONG_SENTENCE:
         yield a, b
         return
-    at = a
-    for m in [*_CLAUSE.finditer(text, a, b), None]:
-        stop = m.end() if m else b
-        if stop <= at:
-            continue
-        if len(text[at:stop].split()) <= LONG_SENTENCE:
-            yield at, stop
-        else:
-            starts = [w.start() for w in _WORD.finditer(text, at, stop)][LONG_SENTENCE::LONG_SENTENCE]
-            yield from zip([at, *starts], [*starts, stop])
-        at = stop
+    words = list(_WORD.finditer(text, a, b))
+    n = len(words)
+    first = {0, n, *_least([w.group().lower() for w in words]), *(i for i, w in enumerate(words, 1) if w.group()[-1] in ",;:")}
+    cuts = [words[i - 1].end() for x, z in pairwise(sorted(first)) for i in range(x, z, LONG_SENTENCE) if i]
+    yield from zip([a, *cuts], [*cuts, b])
 
 
 def sentences(text: str) -> list[tuple[int, int]]:

@@ -236,3 +236,18 @@ def test_runs_of_short_sentences_cover_the_text():
         whole = {(i, z) for i in range(n) for z in range(i + 3, n + 1) if sum(words[i:z]) >= 10}
         assert set(got) == ({(i, z) for i, z in whole if (i, z - 1) not in whole or (i + 1, z) not in whole} or ({(0, n)} if n >= 3 else set()))
         assert n < 3 or {k for i, z in got for k in range(i, z)} == set(range(n))
+
+
+def test_long_sentences_are_cut_by_their_words():
+    rng, found = random.Random(23), 0
+    for _ in range(100):
+        word = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
+        shared = word(60)
+        hashes = []
+        for _ in range(2):
+            text = " ".join([*word(rng.randint(0, 70)), *shared, *word(rng.randint(0, 70))])
+            hashes.append({r[2:] for r in spans.runs(text)})
+            assert all(len(text[a:b].split()) <= spans.LONG_SENTENCE for a, b in spans.sentences(text))
+        found += bool(hashes[0] & hashes[1])
+    assert found >= 97
+    assert len(spans.sentences("same " * 1000)) == 40
