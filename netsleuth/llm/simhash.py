@@ -251,17 +251,23 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: in
     fingerprint zero and link like any other; equal texts always share a
     component; repeated doc_ids are separate rows; other columns are ignored;
     an empty table gives an empty one."""
+    return _rooted(docs, words, max_bits, id_col, text_col).drop("root")
+
+
+def _rooted(docs: DataFrame, words: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """``simhash_components`` with ``root``, the smallest fingerprint of the component."""
     own = settle(fingerprints(docs, words, id_col, text_col), "simhash-fp")
     classes = settle(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     linked = components(fingerprint_links(classes, max_bits), "simhash-links")
     member = classes.join(linked.select(F.col("node").alias("fp"), "root"), "fp")
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = member.join(least, "root").select("fp", "component_id", F.lit(True).alias("_linked"))
+    moved = member.join(least, "root").select("fp", "component_id", "root")
     of_class = settle(classes.join(moved, "fp", "left")
-                      .select("fp", F.when(F.col("_linked"), F.col("component_id"))
-                              .otherwise(F.col("first_id")).alias("component_id")), "simhash-components")
+                      .select("fp", F.when(F.col("root").isNotNull(), F.col("component_id"))
+                              .otherwise(F.col("first_id")).alias("component_id"),
+                              F.coalesce("root", "fp").alias("root")), "simhash-components")
     return own.join(of_class, "fp").select("_rid", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                           "component_id")
+                                           "component_id", "root")
 
 
 def keep_first_of_groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
@@ -269,10 +275,10 @@ def keep_first_of_groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits:
     """``docs`` without its near-duplicates: of each component one row stays,
     that with the smallest doc_id (of repeated ids the first row; a component
     without ids keeps its first row).  All columns are kept."""
-    found = simhash_components(docs, words, max_bits, id_col, text_col)
-    # one row per component: the smallest (doc_id, row), ids before nulls
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp:"), "fingerprint"))
-    best = found.groupBy(group.alias("g")).agg(
+    found = _rooted(docs, words, max_bits, id_col, text_col)
+    # one row per component: the smallest (doc_id, row), ids before nulls; components
+    # that share a repeated doc_id are one
+    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("root"))).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rid")).alias("b"))
     keep = best.select(F.col("b._rid").alias("_rid"))
     row = "_rid" if "_rid" not in docs.columns else "_rid_" + "_".join(docs.columns)

@@ -446,3 +446,15 @@ def test_copies_with_short_sentences_go(spark):
     got = {r.doc_id: r for r in spans.remove_repeats(table(spark, rows)).collect()}
     assert [got[i].kept_text for i in (2, 4, 8)] == ["", "", ""] and got[3].kept_text == lines and got[7].kept_text == "p. q. r."
     assert got[6].kept_text == " other words follow here. and more. of them. until the end of it all."
+
+
+def test_near_copies_without_ids_keep_one_row(spark):
+    rng = random.Random(24)
+    words = [f"w{i}" for i in range(3000)]
+    base = prose(rng, 600, words)
+    near = [base, base + " end", "start " + base]
+    rows = [(None, t) for t in near] + [(1, prose(rng, 600, words))]
+    found = simhash.simhash_components(table(spark, rows)).where("doc_id is null").collect()
+    assert len({r.fingerprint for r in found}) > 1 and {r.component_id for r in found} == {None}
+    kept = [(r.doc_id, r.text) for r in simhash.keep_first_of_groups(table(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, base), rows[-1]], key=str)
