@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from netsleuth.llm import divergence as D
 from netsleuth.llm import quality as Q
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -94,4 +95,30 @@ SELECT f.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n
        CASE WHEN n_words >= {Q.WORD_MIN_WORDS} THEN round(wdist.dist, 9) END AS word_distance
 FROM f LEFT JOIN cdist USING (doc_id) LEFT JOIN wdist USING (doc_id)"""
 
-ORACLE = {"op1_warc_round_trip": WARC, "op3_quality_rules": QUALITY, "op10_suffix_array_dedup": SUFFIX_ARRAY}
+_GAP = "((p - q) * (p - q) // (p + q))"
+
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= {D.MIN_DOCS}),
+ln AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n AS ln FROM g JOIN k USING (lang)
+          LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+tot AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM dense GROUP BY ALL),
+p AS (SELECT dense.lang, dense.source, term, n, 1 + {D.SCALE}::HUGEINT * (n + 2) // (tot.total + 2 * v) AS p,
+             1 + {D.SCALE}::HUGEINT * (ln + 2) // (ln.total + 2 * v) AS q
+      FROM dense JOIN tot USING (lang, source) JOIN ln USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT g.lang, g.source, h.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source
+         LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source),
+term AS (SELECT lang, source, term AS item, {_GAP}::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+WHERE part = 'pair' OR rank <= {D.TOP_TERMS}"""
+
+ORACLE = {"op1_warc_round_trip": WARC, "op3_quality_rules": QUALITY, "op10_suffix_array_dedup": SUFFIX_ARRAY,
+          "op11_source_divergence": DIVERGENCE}

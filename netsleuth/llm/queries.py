@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netsleuth.llm import bpe, fingerprint, langid, lmscore, oracle, packing, quality, simhash, spans, sufarray, warc
+from netsleuth.llm import bpe, divergence, fingerprint, langid, lmscore, oracle, packing, quality, simhash, spans, sufarray, warc
 from netsleuth.session import scratch_path
 
 QUERIES: dict = {}
@@ -99,3 +99,10 @@ def op8_sentence_spans(spark, sf_dir):
     found = spans.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_sentences", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"),
                         F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op11_source_divergence(spark, sf_dir):
+    """Divergence of the sources of each language of ``documents``, pair by
+    pair, and each source's most telling terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
