@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from netsleuth.llm import decontam as C
 from netsleuth.llm import divergence as D
 from netsleuth.llm import quality as Q
 
@@ -120,5 +121,33 @@ r AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELEC
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
 WHERE part = 'pair' OR rank <= {D.TOP_TERMS}"""
 
-ORACLE = {"op1_warc_round_trip": WARC, "op3_quality_rules": QUALITY, "op10_suffix_array_dedup": SUFFIX_ARRAY,
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Occurrences come from the place of a window's first word and a comparison of
+#: the words; proximity from the places of its rarest word.
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, {_WORDS} AS ws FROM documents),
+it AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS ws FROM benchmark),
+wi AS (SELECT DISTINCT item, w FROM (
+  SELECT item, unnest([ws[a:a + {C.WINDOW} - 1] for a in range(1, greatest(len(ws) - {C.WINDOW} + 2, 2))]) AS w FROM it WHERE len(ws) > 0)),
+win AS (SELECT row_number() OVER () AS k, w, len(w) AS n FROM (SELECT DISTINCT w FROM wi)),
+tok AS (SELECT i, unnest(ws) AS t, generate_subscripts(ws, 1) AS p FROM d),
+hit AS (SELECT tok.i, p, n, k FROM tok JOIN win ON tok.t = win.w[1] JOIN d ON d.i = tok.i WHERE d.ws[p:p + n - 1] = win.w),
+covered AS (SELECT i, count(DISTINCT q) AS n_hit FROM (SELECT i, unnest(range(p, p + n)) AS q FROM hit) GROUP BY i),
+term AS (SELECT k, unnest(w) AS t FROM win),
+freq AS (SELECT t, count(*) AS f FROM tok WHERE t IN (SELECT t FROM term) GROUP BY t),
+anchor AS (SELECT k, min((f, term.t)) AS a FROM term JOIN freq USING (t) GROUP BY k),
+spot AS (SELECT DISTINCT a.k, tok.i, tok.p FROM anchor a JOIN tok ON tok.t = a.a[2]),
+beside AS (SELECT DISTINCT spot.k, spot.i, spot.p, term.t FROM spot JOIN term USING (k) JOIN tok ON tok.i = spot.i AND tok.t = term.t
+           AND tok.p BETWEEN spot.p - {C.NEAR} AND spot.p + {C.NEAR}),
+need AS (SELECT k, count(DISTINCT t) AS c FROM term GROUP BY k),
+near AS (SELECT DISTINCT b.k, b.i FROM (SELECT k, i, p, count(*) AS c FROM beside GROUP BY ALL) b JOIN need USING (k) WHERE b.c = need.c),
+own AS (SELECT i, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT i, item FROM hit JOIN win USING (k) JOIN wi ON wi.w = win.w) GROUP BY i),
+besides AS (SELECT i, count(DISTINCT item) AS n_near FROM (SELECT i, k FROM hit UNION SELECT i, k FROM near) JOIN win USING (k) JOIN wi ON wi.w = win.w GROUP BY i)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN covered USING (i) LEFT JOIN own USING (i) LEFT JOIN besides USING (i)"""
+
+ORACLE = {"op12_benchmark_decontamination": DECONTAMINATION, "op1_warc_round_trip": WARC, "op3_quality_rules": QUALITY, "op10_suffix_array_dedup": SUFFIX_ARRAY,
           "op11_source_divergence": DIVERGENCE}

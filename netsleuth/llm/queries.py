@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netsleuth.llm import bpe, divergence, fingerprint, langid, lmscore, oracle, packing, quality, simhash, spans, sufarray, warc
+from netsleuth.llm import bpe, decontam, divergence, fingerprint, langid, lmscore, oracle, packing, quality, simhash, spans, sufarray, warc
 from netsleuth.session import scratch_path
 
 QUERIES: dict = {}
@@ -106,3 +106,10 @@ def op11_source_divergence(spark, sf_dir):
     """Divergence of the sources of each language of ``documents``, pair by
     pair, and each source's most telling terms."""
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_benchmark_decontamination(spark, sf_dir):
+    """Words of every whole text of ``documents`` that lie in 10-word windows
+    of ``benchmark`` items, and the items."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

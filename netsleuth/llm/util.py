@@ -57,3 +57,83 @@ def as_bytes(column) -> list:
 def table_partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Keys with more than one in so many of the rows are joined apart.
+HEAVY_SHARE = 10_000
+
+
+def join_counted(facts: DataFrame, keys: DataFrame, on: str, n_col: str) -> DataFrame:
+    """Inner join of ``facts`` to ``keys``, which holds every key of ``facts``
+    once and in ``n_col`` the number of its rows.
+
+    Keys that hold more than 1/``HEAVY_SHARE`` of the rows, so fewer than
+    ``HEAVY_SHARE`` keys, are broadcast; the others are joined by shuffle, where
+    none of them is hot.  Both tables are read twice: pass stored ones."""
+    total = keys.agg(F.sum(n_col)).first()[0] or 0
+    limit = max(total // HEAVY_SHARE, 100)
+    heavy = F.broadcast(keys.where(F.col(n_col) > limit).drop(n_col))
+    light = keys.where(F.col(n_col) <= limit).drop(n_col)
+    rest = facts.join(heavy.select(on), on, "left_anti")
+    return facts.join(heavy, on).unionByName(rest.join(light, on))
+
+
+def joined_sha256(rows: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
+    """``(key, n, sha256)``: the texts of each key in the order of ``order``,
+    joined by commas, as lower-case hexadecimal SHA-256, and their number.
+
+    ``rows`` is stored and has no null.  Rows are dealt by ranges of (key,
+    order), so that a hot key is spread, and leave each task as pieces; only
+    the pieces of a key meet, one after the other, in a running digest."""
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}[key]
+
+    def pieces(batches):
+        from pyspark import TaskContext
+        base, seq = TaskContext.get().partitionId() << 32, 0
+        held, parts, size = None, [], 0
+        for b in batches:
+            keys, texts = b.column(0), b.column(1).to_pylist()
+            out = []
+            for k, t in zip(keys.to_pylist(), texts):
+                if k != held or size > 1 << 18:
+                    if parts:
+                        out.append((held, base + seq, len(parts), ",".join(parts)))
+                        seq += 1
+                    held, parts, size = k, [], 0
+                parts.append(t)
+                size += len(t) + 1
+            yield batch(out, keys.type)
+        if parts:
+            yield batch([(held, base + seq, len(parts), ",".join(parts))], keys.type)
+
+    def batch(out, key_type):
+        cols = list(zip(*out)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [key_type, pa.int64(), pa.int64(), pa.string()])],
+                                          [key, "piece", "n", "text"])
+
+    def digests(batches):
+        import hashlib
+        held, state, n, first, kind_ = None, None, 0, True, None
+        for b in batches:
+            out = []
+            kind_ = b.column(0).type
+            for k, m, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if first or k != held:
+                    if not first:
+                        out.append((held, n, state.hexdigest()))
+                    held, state, n, first = k, hashlib.sha256(), 0, False
+                elif n:
+                    state.update(b",")
+                state.update(t.encode())
+                n += m
+            yield final(out, kind_)
+        if not first:
+            yield final([(held, n, state.hexdigest())], kind_)
+
+    def final(out, key_type):
+        cols = list(zip(*out)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [key_type, pa.int64(), pa.string()])], [key, "n", "sha256"])
+
+    cut = rows.repartitionByRange(key, order).sortWithinPartitions(key, order).select(key, F.col(text).alias("text")) \
+        .mapInArrow(pieces, f"{key} {kind}, piece long, n long, text string")
+    return cut.repartition(key).sortWithinPartitions(key, "piece").mapInArrow(digests, f"{key} {kind}, n long, sha256 string")
