@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from netsleuth.llm import convtrie as T
 from netsleuth.llm import decontam as C
 from netsleuth.llm import divergence as D
 from netsleuth.llm import quality as Q
@@ -149,5 +150,34 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
 FROM d LEFT JOIN covered USING (i) LEFT JOIN own USING (i) LEFT JOIN besides USING (i)"""
 
-ORACLE = {"op12_benchmark_decontamination": DECONTAMINATION, "op1_warc_round_trip": WARC, "op3_quality_rules": QUALITY, "op10_suffix_array_dedup": SUFFIX_ARRAY,
+#: CRC-32 of the decimal digits of conv_id, bit by bit.
+_CRC = ("list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: ascii(s)::UBIGINT)), "
+        "lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 1, 2, 3, 4, 5, 6, 7]), "
+        "lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END))")
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+             substr(sha256(CAST(octet_length(encode(role)) AS VARCHAR) || ':' || role || ':' || text), 1, 32)) AS rn FROM t),
+c AS (SELECT conv_id, CAST(xor({_CRC}, 4294967295::UBIGINT) % {T.TAKEN} AS BIGINT) AS h, conv_id - conv_id % {T.FAMILY} AS base
+      FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 1 AS part, rn, role, text FROM c JOIN o ON o.conv_id = c.base AND rn <= h
+      UNION ALL SELECT o.conv_id, 2, rn, role, text FROM o JOIN c ON c.conv_id = o.conv_id AND rn > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+             list(sha256(role || chr(1) || text)) OVER (PARTITION BY conv_id ORDER BY part, rn) AS path FROM r
+      WINDOW w AS (PARTITION BY conv_id ORDER BY part, rn)),
+q AS (SELECT conv_id, depth, words, path FROM p UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+z AS (SELECT conv_id, max(depth) AS len FROM q GROUP BY conv_id),
+n AS (SELECT path, depth, min(q.conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+             coalesce(string_agg(CAST(q.conv_id AS VARCHAR), ',' ORDER BY q.conv_id) FILTER (depth = len), '') AS ends
+      FROM q JOIN z USING (conv_id) GROUP BY path, depth),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+up AS (SELECT path[1:d] AS path, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * words) AS saved
+       FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM m) GROUP BY path[1:d])
+SELECT m.conv_id, m.depth::BIGINT AS depth, par.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children,
+       up.n_leaves::BIGINT AS n_leaves, up.saved::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN up USING (path) LEFT JOIN n par ON par.path = m.path[1:m.depth - 1] AND m.depth > 0"""
+
+ORACLE = {"op13_conversation_trie": TRIE, "op12_benchmark_decontamination": DECONTAMINATION, "op1_warc_round_trip": WARC, "op3_quality_rules": QUALITY, "op10_suffix_array_dedup": SUFFIX_ARRAY,
           "op11_source_divergence": DIVERGENCE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netsleuth.llm import bpe, decontam, divergence, fingerprint, langid, lmscore, oracle, packing, quality, simhash, spans, sufarray, warc
+from netsleuth.llm import bpe, convtrie, decontam, divergence, fingerprint, langid, lmscore, oracle, packing, quality, simhash, spans, sufarray, warc
 from netsleuth.session import scratch_path
 
 QUERIES: dict = {}
@@ -113,3 +113,10 @@ def op12_benchmark_decontamination(spark, sf_dir):
     """Words of every whole text of ``documents`` that lie in 10-word windows
     of ``benchmark`` items, and the items."""
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_conversation_trie(spark, sf_dir):
+    """Prefix trie of ``conversations``, rebuilt with shared first turns."""
+    turns = convtrie.rebuilt(convtrie.numbered_turns(table(spark, sf_dir, "conversations")))
+    return convtrie.prefix_trie(turns).drop("digest")
