@@ -229,19 +229,38 @@ def _all_stats(base: DataFrame) -> dict[str, DataFrame]:
     by_src = cells.groupBy("src_ip", "dest_port", "hour").agg(*[F.sum(c).alias(c) for c in ("_n", "_n_dest", "_n_sev")])
     proto = (base.where(F.col("proto").isNotNull()).groupBy("proto")
              .agg(F.avg("packet_length").alias("proto_pkt_mean"), F.stddev_samp("packet_length").alias("proto_pkt_std")))
+    dest = base.where(F.col("dest_ip").isNotNull()).groupBy("dest_ip").agg(F.count(F.lit(1)).alias("_c"))
+    return joined_stats(by_src, cells, proto, dest, dest.agg(F.sum("_c")).scalar())
+
+
+def joined_stats(by_src: DataFrame, cells: DataFrame, proto: DataFrame, dest: DataFrame, n_dest) -> dict[str, DataFrame]:
+    """The tables that ``features`` joins back, by key, from counts: ``by_src``
+    per (source, port, hour), ``cells`` with protocol, port and ``_n``, ``proto``
+    with the packet statistics, ``dest`` with ``_c`` of ``n_dest`` events."""
     ports = cells.where(F.col("proto").isNotNull()).groupBy("proto").agg(F.count_distinct("dest_port").alias("proto_ports"))
     w = Window.orderBy("proto")                                                     # one row per protocol
     protocols = (ports.join(proto, "proto")
                  .withColumn("proto_code", (F.dense_rank().over(w) - 1).cast("int")))
     port = cells.where(F.col("dest_port").isNotNull()).groupBy("dest_port").agg(F.sum("_n").alias("_c"))
-    dest = base.where(F.col("dest_ip").isNotNull()).groupBy("dest_ip").agg(F.count(F.lit(1)).alias("_c"))
-    share = lambda t, key, name: t.select(key, (F.col("_c") / t.agg(F.sum("_c")).scalar()).alias(name))
-    return {"src_ip": _source_tables(by_src), "proto": protocols, "dest_port": share(port, "dest_port", "_f_port"),
-            "dest_ip": share(dest, "dest_ip", "_f_ip")}
+    share = lambda t, key, name, n: t.select(key, (F.col("_c") / n).alias(name))
+    return {"src_ip": _source_tables(by_src), "proto": protocols, "dest_port": share(port, "dest_port", "_f_port", port.agg(F.sum("_c")).scalar()),
+            "dest_ip": share(dest, "dest_ip", "_f_ip", n_dest)}
+
+
+def event_base(df: DataFrame, raw_ts_col: str | None = None) -> DataFrame:
+    """Events with the columns that features are counted from: defaults for
+    missing ones, an id, the hour."""
+    d = ensure_columns(df, {"alert_severity": 0, "packet_length": 0, "dest_port": 0,
+                            "src_port": 0, "dest_ip": "0.0.0.0", "src_ip": "0.0.0.0"})
+    raw = raw_ts_col or ("timestamp_raw" if "timestamp_raw" in d.columns else None)
+    if "event_id" not in d.columns:
+        d = d.withColumn("event_id", fallback_event_id("src_ip", "dest_ip", raw or F.col("timestamp")))
+    return with_hour(d, raw_col=raw)
 
 
 def features(df: DataFrame, raw_ts_col: str | None = None, failed_by_flags: bool = False,
-             keep: tuple = ("training_label",), codes: dict[str, int] | None = None) -> DataFrame:
+             keep: tuple = ("training_label",), codes: dict[str, int] | None = None,
+             stats: dict[str, DataFrame] | None = None, context: DataFrame | None = None) -> DataFrame:
     """Stored events -> the 24-column feature table (P5), plus ``keep`` columns.
 
     ``src_ip``/``dest_ip`` become numbers (F1), ``proto`` its code (W4); the
@@ -251,22 +270,20 @@ def features(df: DataFrame, raw_ts_col: str | None = None, failed_by_flags: bool
     ratio (W1) instead of the severity-based one (A4).  Events without id get
     the fallback id (F12); rows without a source stay, with 0 in what is
     counted per source.  ``codes`` are protocol codes fixed at training; without
-    them the protocols of ``df`` are ranked.
+    them the protocols of ``df`` are ranked.  ``stats`` (``joined_stats``) and
+    ``context`` (the rows of ``df`` and those before them: source, time, id)
+    take the place of what is counted over ``df``, so a batch can be measured
+    against its history.
 
     Plan: every grouped statistic is joined back in one chain (AQE broadcasts
     the small ones and splits hot keys); the ordered features come from one
     ranked pass over (source, time, id) and are joined back once.
     """
-    d = ensure_columns(df, {"alert_severity": 0, "packet_length": 0, "dest_port": 0,
-                            "src_port": 0, "dest_ip": "0.0.0.0", "src_ip": "0.0.0.0"})
-    raw = raw_ts_col or ("timestamp_raw" if "timestamp_raw" in d.columns else None)
-    if "event_id" not in d.columns:
-        d = d.withColumn("event_id", fallback_event_id("src_ip", "dest_ip", raw or F.col("timestamp")))
-    base = with_hour(d, raw_col=raw)
-    ordered = ordered_features(base, flag_col="tcp_flags_tc" if failed_by_flags else None)
+    base = event_base(df, raw_ts_col)
+    ordered = ordered_features(base if context is None else context, flag_col="tcp_flags_tc" if failed_by_flags else None)
     out = base
-    for key, stats in _all_stats(base).items():
-        out = out.join(stats, key, "left")
+    for key, table in (_all_stats(base) if stats is None else stats).items():
+        out = out.join(table, key, "left")
     names = ["conn_5m", "conn_velocity"] + ["failed_ratio_rolling"] * failed_by_flags
     found = ordered.select(F.col("src_ip").alias("_os"), F.col("_x").alias("_ox"), F.col("event_id").alias("_oe"), *names)
     out = out.withColumn("_x", micros("timestamp"))

@@ -120,10 +120,11 @@ def history_stats(history: DataFrame, min_events: int = K.CONTEXT_MIN_EVENTS) ->
                   .where(F.col("n_hist") > min_events)
 
 
-def contextual_rules(deduped: DataFrame, history: DataFrame) -> DataFrame:
+def contextual_rules(deduped: DataFrame, history: DataFrame | None, summary: DataFrame | None = None) -> DataFrame:
     """``alert <proto> <src> any -> any <min>:<max>`` for each anomaly
-    whose source has more than 10 stored events; distinct texts."""
-    h = history_stats(history)
+    whose source has more than 10 stored events; distinct texts.  ``summary``:
+    ``history_stats`` that is known already."""
+    h = history_stats(history) if summary is None else summary
     j = deduped.join(h, "src_ip", "inner")
     base, mod = K.SID_CONTEXT_RULE
     sid = sha_mod(F.concat_ws("-", F.col("src_ip"), F.col("dest_port").cast("string"), F.col("proto")), mod, base)
@@ -219,22 +220,24 @@ def inventory(lines: DataFrame) -> DataFrame:
         F.count_distinct("header").alias("headers"))
 
 
-def generate(scored: DataFrame, history: DataFrame, thr: float, existing: DataFrame | None = None,
-             port_col: str = "dest_port", checkpoint: bool = True, local_services=K.LOCAL_SERVICES) -> dict:
+def generate(scored: DataFrame, history: DataFrame | None, thr: float, existing: DataFrame | None = None,
+             port_col: str = "dest_port", checkpoint: bool = True, local_services=K.LOCAL_SERVICES,
+             policy_rows: DataFrame | None = None, history_rows: DataFrame | None = None) -> dict:
     """M10's rule half: every intermediate of one generation run.
 
     The policy output (the anomalies under the threshold: a small fraction of
     the scored events) feeds four branches; it is checkpointed once so the
-    scoring plan is not re-run per branch."""
-    pol = policy(scored, thr, local_services=local_services)
-    if checkpoint:
+    scoring plan is not re-run per branch.  ``policy_rows`` and
+    ``history_rows`` (``history_stats``) are taken as they are if given."""
+    pol = policy(scored, thr, local_services=local_services) if policy_rows is None else policy_rows
+    if checkpoint and policy_rows is None:
         from netsleuth.session import materialize
         pol = materialize(pol)
     d5 = dedup(pol)
     cands = flow_candidates(d5)
     fr = flow_rules(cands, thr)
     sr = scan_rules(d5, port_col)
-    cr = contextual_rules(d5, history)
+    cr = contextual_rules(d5, history, history_rows)
     if existing is None:
         spark = scored.sparkSession
         existing = parse_rule_lines(spark.createDataFrame([], "value string, line_no long"))

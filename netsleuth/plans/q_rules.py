@@ -19,13 +19,13 @@ def _round3_text(x: str) -> str:
     return f"CAST(CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,30)), 3) AS DOUBLE) AS VARCHAR)"
 
 
-def rules_sql(src: str, hist: str, p: str = "", scan_ports: int = 10) -> str:
+def rules_sql(src: str, hist: str, p: str = "", scan_ports: int = 10, thr: float = THR) -> str:
     """The whole generation run in SQL, CTE names prefixed with ``p``."""
     uid = (f"src_ip || '-' || dest_ip || '-' || lower(proto) || '-' || CAST(dest_port AS VARCHAR) || '-' || "
            f"CAST(alert_severity AS VARCHAR) || '-' || CAST(packet_length AS VARCHAR) || '-' || {_round3_text('anomaly_score')}")
     return f"""
 {p}anom AS (SELECT * FROM {src} WHERE prediction = -1 AND dest_ip NOT IN ('10.0.2.3', '192.168.10.1')
-            AND anomaly_score < {THR}),
+            AND anomaly_score < {thr}),
 {p}pol AS (SELECT *, coalesce(alert_severity >= 2 AND freq_sp >= 5 AND dest_port NOT IN (53, 80, 123, 443), false)
                   AS should_drop
            FROM (SELECT *, count(*) OVER (PARTITION BY src_ip, dest_port) AS freq_sp FROM {p}anom)),
@@ -35,7 +35,7 @@ def rules_sql(src: str, hist: str, p: str = "", scan_ports: int = 10) -> str:
                                               ORDER BY anomaly_score, event_id) AS rn FROM {p}w5) WHERE rn = 1),
 {p}fr0 AS (SELECT *, lower(proto) AS lp,
              CASE WHEN coalesce(src_port, 0) <> 0 THEN CAST(src_port AS VARCHAR) ELSE 'any' END AS sp,
-             CASE WHEN should_drop AND dest_port NOT IN (53, 80, 123, 443) AND anomaly_score < {THR}
+             CASE WHEN should_drop AND dest_port NOT IN (53, 80, 123, 443) AND anomaly_score < {thr}
                   THEN 'drop' ELSE 'alert' END AS action,
              {uid} AS uid
            FROM {p}w6 WHERE lower(proto) IN ('tcp', 'udp') AND regexp_full_match(src_ip, '{_V4}')
@@ -43,7 +43,7 @@ def rules_sql(src: str, hist: str, p: str = "", scan_ports: int = 10) -> str:
 {p}fr AS (SELECT event_id, action, sid,
             action || ' ' || lp || ' ' || src_ip || ' ' || sp || ' -> ' || dest_ip || ' ' || CAST(dest_port AS VARCHAR)
             || ' (msg:"ML anomaly (score: ' || {fmt2('anomaly_score')} || ', len: ' || CAST(packet_length AS VARCHAR)
-            || ', severity: ' || CAST(alert_severity AS VARCHAR) || ', thr: ' || {fmt2(str(THR))} || ')"; sid:'
+            || ', severity: ' || CAST(alert_severity AS VARCHAR) || ', thr: ' || {fmt2(str(thr))} || ')"; sid:'
             || CAST(sid AS VARCHAR) || '; rev:1;)' AS text
           FROM (SELECT *, {sha_mod('uid', 500000, 3000000)} AS sid FROM {p}fr0)),
 {p}sr AS (SELECT src_ip, n_ports, sid,

@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from netsleuth import constants as K
 from netsleuth.functions.hashing import session_id_random
 from netsleuth.schemas import MODE_LOG
 from netsleuth.session import exists
+from netsleuth.sources import versions
 
 
 def table_or_empty(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
@@ -78,12 +80,42 @@ def list_rule_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_rule_file(merged: DataFrame, path: str) -> None:
-    """K6: one text file for the sensor, in file order (existing lines in
-    place, then new rules)."""
+    """One text file for the sensor, in file order (existing lines in place,
+    then new rules).  ``path`` must be new: a rule file is never written over
+    while it is read."""
     ordered = merged.orderBy("section", "line_no", "kind", "text")
     ordered.select(F.when(F.col("enabled") | F.col("text").startswith("#"), F.col("text"))
                     .otherwise(F.concat(F.lit("#"), F.col("text"))).alias("value")) \
-           .coalesce(1).write.mode("overwrite").text(path)
+           .coalesce(1).write.text(path)
+
+
+def publish_rules(spark: SparkSession, merged: DataFrame, path: str, version: int) -> str:
+    """K6: the rule file as a new version below ``path``.  Readers see the
+    version before or this one; one that was begun and not published is left
+    where it is and written beside."""
+    def write(target: str) -> None:
+        attempt = f"{target}/attempt-{uuid.uuid4().hex[:12]}"
+        write_rule_file(merged, attempt)
+        spark.range(1).select(F.lit(attempt.rsplit("/", 1)[1]).alias("value")).coalesce(1).write.mode("overwrite").text(f"{target}/file")
+    return versions.publish(spark, path, version, write)
+
+
+def rule_file(spark: SparkSession, path: str, below: int | None = None) -> str | None:
+    """Folder of the newest published rule file (before version ``below``)."""
+    version = versions.current(spark, path, below)
+    if version is None:
+        return None
+    target = versions.folder(path, version)
+    return f"{target}/{spark.read.text(f'{target}/file').first()[0]}"
+
+
+def read_rules(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
+    """``(line_no, value)`` of the newest published rule file, or no line."""
+    at = rule_file(spark, path, below)
+    if at is None:
+        return spark.createDataFrame([], "line_no int, value string")
+    whole = spark.read.text(at, wholetext=True)
+    return whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "value")).where(F.trim("value") != "")
 
 
 def append_mode(spark: SparkSession, path: str, mode: str, session_hash: str | None = None,
