@@ -6,12 +6,14 @@ letters and non-ASCII characters, lower-cased in A-Z.
 1. *Chunks.*  A scan task reads its documents in blocks of ``BLOCK_BYTES``.
    Within a block every whitespace chunk gets a number, and each document's
    chunks are counted.  The counts stay in the block's own row; only the
-   (block, chunk) pairs leave it.
+   (block, chunk) pairs leave it, with their number of documents.
 2. *Terms.*  The pairs are dealt by chunk and sorted, so equal chunks follow
    each other and each is tokenized once, whatever its number of documents.
-3. *Join back.*  The terms return to their blocks, where they meet the counts:
-   per (document, term) once, then per (language, source, term) the number of
-   distinct documents and of occurrences.  Those are summed over the blocks.
+   The documents of all chunks of a term bound its own from above: terms below
+   the limit by this bound cannot be kept and end here.
+3. *Join back.*  The other terms return to their blocks, where they meet the
+   counts: per (document, term) once, then per (language, term) the number of
+   distinct documents and each source's occurrences, summed over the blocks.
 4. *Divergence.*  Shares of every kept term, the triangular discrimination of
    each pair of sources of a language, and each source's most telling terms.
 
@@ -23,8 +25,10 @@ have (one join by term), so absent terms are never spelled out.
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -45,14 +49,27 @@ BLOCK_DOCS = 1 << 16
 TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
-_BLOCK = pa.schema([("block", pa.int64()), ("cid", pa.int32()), ("chunk", pa.binary()), ("starts", pa.binary()), ("docs", pa.binary()),
-                    ("counts", pa.binary()), ("large", pa.list_(pa.int64())), ("doc_group", pa.binary()),
+#: Bits of the filter of terms that may be kept.
+FILTER_BITS = 1 << 24
+
+_BLOCK = pa.schema([("block", pa.int64()), ("cid", pa.int32()), ("chunk", pa.binary()), ("n_docs", pa.int32()), ("starts", pa.binary()),
+                    ("docs", pa.binary()), ("counts", pa.binary()), ("large", pa.list_(pa.int64())), ("doc_group", pa.binary()),
                     ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string()))])
-_BLOCK_DDL = ("block long, cid int, chunk binary, starts binary, docs binary, counts binary, large array<long>, doc_group binary, "
+_BLOCK_DDL = ("block long, cid int, chunk binary, n_docs int, starts binary, docs binary, counts binary, large array<long>, doc_group binary, "
               "langs array<string>, sources array<string>")
-_COUNTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())),
-                     ("n_docs", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
-_COUNTS_DDL = "lang string, term string, sources array<string>, n_docs array<long>, n array<long>"
+_COUNTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("n_docs", pa.int64()), ("by_source", pa.string())])
+_COUNTS_DDL = "lang string, term string, n_docs long, by_source string"
+
+
+def _pack(v: np.ndarray) -> pa.Array:
+    """One row: the array's length and its compressed bytes."""
+    raw = v.tobytes()
+    return pa.array([len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)], pa.binary())
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd"), kind)
 
 
 class _Block:
@@ -78,22 +95,18 @@ class _Block:
     def rows(self):
         """The chunks, then one row with the counts of each (chunk, document),
         in the order of the chunks' numbers; counts over 254 go to ``large``."""
-        chunks = list(self.number)
+        chunks, n = list(self.number), len(self.ids)
+        doc = np.repeat(np.arange(n, dtype=np.int64), [len(i) for i in self.ids])
+        key, count = np.unique(np.concatenate(self.ids).astype(np.int64) * n + doc, return_counts=True)
+        n_docs = np.bincount(key // n, minlength=len(chunks)).astype(np.int32)
         for a in range(0, len(chunks), 100_000):
             part = pa.array(chunks[a:a + 100_000], pa.binary())
             yield _batch(len(part), _BLOCK, block=pa.array(np.full(len(part), self.first)), chunk=part,
-                         cid=pa.array(np.arange(a, a + len(part), dtype=np.int32)))
-        n = len(self.ids)
-        doc = np.repeat(np.arange(n, dtype=np.int64), [len(i) for i in self.ids])
-        key, count = np.unique(np.concatenate(self.ids).astype(np.int64) * n + doc, return_counts=True)
-        starts = np.zeros(len(chunks) + 1, np.int32)
-        np.cumsum(np.bincount(key // n, minlength=len(chunks)), out=starts[1:])
+                         cid=pa.array(np.arange(a, a + len(part), dtype=np.int32)), n_docs=pa.array(n_docs[a:a + len(part)]))
         langs, sources = zip(*self.groups)
-        yield _batch(1, _BLOCK, block=pa.array([self.first]), starts=pa.array([starts.tobytes()], pa.binary()),
-                     docs=pa.array([(key % n).astype(np.uint16).tobytes()], pa.binary()),
-                     counts=pa.array([np.minimum(count, 255).astype(np.uint8).tobytes()], pa.binary()),
-                     large=pa.array([count[count >= 255]], pa.list_(pa.int64())),
-                     doc_group=pa.array([np.array(self.doc_group, np.int32).tobytes()], pa.binary()),
+        yield _batch(1, _BLOCK, block=pa.array([self.first]), starts=_pack(np.concatenate([[0], np.cumsum(n_docs)]).astype(np.int32)),
+                     docs=_pack((key % n).astype(np.uint16)), counts=_pack(np.minimum(count, 255).astype(np.uint8)),
+                     large=pa.array([count[count >= 255]], pa.list_(pa.int64())), doc_group=_pack(np.array(self.doc_group, np.int32)),
                      langs=pa.array([list(langs)]), sources=pa.array([list(sources)]))
 
 
@@ -120,9 +133,9 @@ def chunk_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def tokenize_chunks(pairs: DataFrame) -> DataFrame:
-    """``(block, cid, terms)`` of ``(block, cid, chunk)``; chunks without a
-    term go.  Each distinct chunk is tokenized once: equal ones come one after
-    the other, and the last one is carried from batch to batch."""
+    """``(block, cid, n_docs, terms)`` of ``(block, cid, chunk, n_docs)``;
+    chunks without a term go.  Each distinct chunk is tokenized once: equal ones
+    come one after the other, and the last one is carried on."""
     term, lower = TERM, _LOWER
 
     def go(batches):
@@ -144,52 +157,73 @@ def tokenize_chunks(pairs: DataFrame) -> DataFrame:
             last, terms = distinct[-1], lists[-1]
             out = pa.array(lists, pa.list_(pa.binary())).cast(pa.list_(pa.string())).take(pa.array(np.cumsum(fresh) - 1))
             some = pc.greater(pc.list_value_length(out), 0)
-            yield pa.RecordBatch.from_arrays([b.column("block").filter(some), b.column("cid").filter(some), out.filter(some)],
-                                             ["block", "cid", "terms"])
-    return pairs.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(go, "block long, cid int, terms array<string>")
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(some) for c in ("block", "cid", "n_docs")] + [out.filter(some)],
+                                             ["block", "cid", "n_docs", "terms"])
+    return pairs.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(go, "block long, cid int, n_docs int, terms array<string>")
+
+
+def _maybe_among(rows: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``col`` may be in ``wanted``: a bitmap of ``FILTER_BITS``
+    hashes, whatever their number; none that is in ``wanted`` is lost."""
+    slot = (F.pmod(F.xxhash64(col), F.lit(FILTER_BITS)) + 1).cast("long")
+    parts = (wanted.select(slot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect())
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        at = (r["b"] - 1) * len(r["m"])
+        bits[at:at + len(r["m"])] = np.frombuffer(bytes(r["m"]), np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(bits)      # FILTER_BITS / 8 bytes
+
+    @F.pandas_udf("boolean")
+    def there(p: pd.Series) -> pd.Series:
+        x = p.to_numpy() - 1
+        return pd.Series((sent.value[x >> 3] >> (x & 7) & 1).astype(bool))
+    return rows.where(there(slot))
+
+
+def _runs(key: np.ndarray) -> np.ndarray:
+    """First places of the runs of equal values."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
 
 
 def _block_counts(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Counts per (language, term) of one block, source by source."""
+    """Documents of each (language, term) of one block, and its occurrences
+    source by source."""
     if left.num_rows == 0 or right.num_rows == 0:
         return _COUNTS.empty_table()
-    row = {c: left.column(c)[0].as_py() for c in ("starts", "docs", "counts", "large", "doc_group", "langs", "sources")}
-    starts = np.frombuffer(row["starts"], np.int32)
-    docs, counts = np.frombuffer(row["docs"], np.uint16), np.frombuffer(row["counts"], np.uint8).astype(np.int64)
+    row = left.to_pylist()[0]
+    starts, docs, group = _unpack(row["starts"], np.int32), _unpack(row["docs"], np.uint16), _unpack(row["doc_group"], np.int32)
+    counts = _unpack(row["counts"], np.uint8).astype(np.int64)
     counts[counts == 255] = row["large"]
-    group = np.frombuffer(row["doc_group"], np.int32)
-    lists = right.column("terms").combine_chunks()
-    coded = lists.flatten().dictionary_encode()
-    names = coded.dictionary
-    cid = np.repeat(right.column("cid").to_numpy(), pc.list_value_length(lists).to_numpy())
+    cid = right.column("cid").to_numpy()
+    coded = right.column("term").combine_chunks().dictionary_encode()
     tid = coded.indices.to_numpy()
     # every (chunk, term) with every document of the chunk
-    num = (starts[1:] - starts[:-1])[cid]
+    num = (starts[1:] - starts[:-1])[cid].astype(np.int64)
     at = np.repeat(starts[:-1][cid] - (np.cumsum(num) - num), num) + np.arange(num.sum())
     key = np.repeat(tid.astype(np.int64), num) * len(group) + docs[at]
     order = np.argsort(key, kind="stable")
     key, n = key[order], counts[at[order]]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    first = _runs(key)
     key, n = key[first], np.add.reduceat(n, first)
     # distinct (term, document) to (term, language, source); groups are put in the order of their languages
     langs, lang_of = np.unique(row["langs"], return_inverse=True)
-    rank = np.empty(len(lang_of), np.int64)
     by_lang = np.argsort(lang_of, kind="stable")
+    rank = np.empty(len(by_lang), np.int64)
     rank[by_lang] = np.arange(len(by_lang))
     key = key // len(group) * len(rank) + rank[group[key % len(group)]]
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    n_docs, n, key = np.diff(np.concatenate([first, [len(key)]])), np.add.reduceat(n, first), key[first]
+    first = _runs(key)
+    n_docs, n, key = np.diff(np.append(first, len(key))), np.add.reduceat(n, first), key[first]
     source = by_lang[key % len(rank)]
     pair = key // len(rank) * len(langs) + lang_of[source]
-    cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-    offsets = pa.array(np.concatenate([cut, [len(pair)]]).astype(np.int32))
-    pair = pair[cut]
-    return pa.table([pa.array(langs, pa.string()).take(pa.array(pair % len(langs))), names.take(pa.array(pair // len(langs))),
-                     pa.ListArray.from_arrays(offsets, pa.array(row["sources"], pa.string()).take(pa.array(source))),
-                     pa.ListArray.from_arrays(offsets, pa.array(n_docs, pa.int64())),
-                     pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64()))], schema=_COUNTS)
+    cut = _runs(pair)
+    names = pa.array([quote(s, safe="") + ":" for s in row["sources"]], pa.string())
+    entry = pc.binary_join_element_wise(names.take(pa.array(source)), pa.array(n).cast(pa.string()), "")
+    lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(pair)).astype(np.int32)), entry)
+    return pa.table([pa.array(langs, pa.string()).take(pa.array(pair[cut] % len(langs))), coded.dictionary.take(pa.array(pair[cut] // len(langs))),
+                     pa.array(np.add.reduceat(n_docs, cut)), pc.binary_join(lists, ",")], schema=_COUNTS)
 
 
 def _plain(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -197,22 +231,26 @@ def _plain(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Da
     return docs.select(F.monotonically_increasing_id().alias("_rid"), lang.alias("lang"), source.alias("source"), text.alias("text"))
 
 
-def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(lang, term, source, n_docs, n, lang_docs)``: distinct documents and
-    occurrences of every term in each source of each language, and documents
-    of the language with it.
+    """``(lang, term, source, n)``: occurrences in each source of the terms
+    that are in at least ``min_docs`` documents of the language.
 
     Null texts, languages and sources count as empty ones.  Every row is a
     document of its own, repeated rows and ids too; texts without a term give
     no row; other columns are ignored."""
-    blocks = settle(chunk_blocks(_plain(docs, text_col, lang_col, source_col), block_bytes), "audit-chunks")
-    terms = tokenize_chunks(blocks.where("chunk is not null").select("block", "cid", "chunk"))
-    postings = blocks.where("starts is not null").drop("cid", "chunk")
-    found = postings.groupBy("block").cogroup(terms.groupBy("block")).applyInArrow(_block_counts, _COUNTS_DDL)
-    each = (found.repartition("lang", "term").select("lang", "term", F.inline(F.arrays_zip("sources", "n_docs", "n")))
-            .withColumnRenamed("sources", "source").groupBy("lang", "term", "source").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n")))
-    return each.withColumn("lang_docs", F.sum("n_docs").over(Window.partitionBy("lang", "term")))
+    blocks = settle(chunk_blocks(_plain(docs, text_col, lang_col, source_col), block_bytes), "audit-chunks", "zstd")
+    pairs = blocks.where("chunk is not null").select("block", "cid", "chunk", "n_docs")
+    tokens = settle(tokenize_chunks(pairs), "audit-terms", "zstd")
+    bound = tokens.select(F.explode(F.array_distinct("terms")).alias("term"), "n_docs").groupBy("term").agg(F.sum("n_docs").alias("n"))
+    terms = _maybe_among(tokens.select("block", "cid", F.explode("terms").alias("term")), "term", bound.where(F.col("n") >= min_docs))
+    counts = blocks.where("starts is not null").drop("cid", "chunk", "n_docs")
+    found = counts.groupBy("block").cogroup(terms.groupBy("block")).applyInArrow(_block_counts, _COUNTS_DDL)
+    # the texts of one (language, term) hold a source once each: all are in one task after one shuffle
+    each = (found.repartition("lang", "term").withColumn("d", F.sum("n_docs").over(Window.partitionBy("lang", "term"))).where(F.col("d") >= min_docs)
+            .select("lang", "term", F.explode(F.split("by_source", ",")).alias("e")).select("lang", "term", F.split("e", ":").alias("e"))
+            .select("lang", "term", F.col("e")[0].alias("source"), F.col("e")[1].cast("long").alias("n")))
+    return each.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")).withColumn("source", F.url_decode("source"))
 
 
 def _share(n: str, total: str, terms: str) -> F.Column:
@@ -235,8 +273,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, text_
 
     Every (language, source) that occurs has its pairs, with texts or without;
     a language with one source has none.  An empty table gives an empty one."""
-    kept = settle(term_counts(docs, text_col, lang_col, source_col, block_bytes).where(F.col("lang_docs") >= min_docs)
-                  .select("lang", "term", "source", "n"), "audit-kept")
+    kept = settle(term_counts(docs, min_docs, text_col, lang_col, source_col, block_bytes), "audit-kept")
     of_lang = kept.groupBy("lang", "term").agg(F.sum("n").alias("n"))
     size = of_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("total"))
     groups = _plain(docs, text_col, lang_col, source_col).select("lang", "source").distinct()

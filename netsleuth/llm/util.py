@@ -25,7 +25,7 @@ def worker_cache() -> dict:
     return mod.data
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage at a table that every executor can read, so a lost
@@ -33,7 +33,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     columns."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
