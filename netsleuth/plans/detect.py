@@ -90,17 +90,19 @@ def score_and_rules(stored: DataFrame, detector: Detector, thr: float,
 
 
 def rule_run(stored: DataFrame, ledger: DataFrame, detector: Detector, thr: float, modes: DataFrame | None = None,
-             existing_rules: DataFrame | None = None, batch: int | None = None, at=None) -> dict | None:
-    """M10 as the scheduled job does it: nothing while a training mode is in
-    force; else the stored events that the ledger lacks (S4; the oldest
-    ``batch`` of them if given) are scored, rules generated from them with the
-    whole store as history, and ``ledger_rows`` returned for K7."""
+             existing_rules: DataFrame | None = None, batch: int | None = None, at=None) -> dict:
+    """M10 on tables in hand: the stored events that the ledger lacks (S4; the
+    oldest ``batch`` of them if given) are scored with the features they have in
+    the whole store, rules generated from them, and ``ledger_rows`` returned for
+    K7.  While a training mode is in force there are ``ledger_rows`` only (Q15).
+    ``plans.job`` runs the same against stored state and writes the sinks."""
+    ids = materialize(EX.unprocessed(stored, ledger, batch).select("event_id"))
+    done = {"ledger_rows": EX.mark_processed(ids, at)}
     if modes is not None:
         now = current_mode(modes).first()
         if now is not None and now["mode"] in (K.MODE_NORMAL, K.MODE_ANOMALY):
-            return None
-    ids = materialize(EX.unprocessed(stored, ledger, batch).select("event_id"))
-    fresh = stored.join(ids, "event_id", "left_semi")
-    scored = materialize(score_events(fresh, detector))
+            return done
+    rows = FT.features(stored, codes=detector.codes).join(ids, "event_id", "left_semi")
+    scored = materialize(score_events(stored.join(ids, "event_id", "left_semi"), detector, rows))
     run = R.generate(scored, stored, thr, existing_rules)
-    return run | {"scored": scored, "ledger_rows": EX.mark_processed(ids, at)}
+    return run | {"scored": scored} | done

@@ -104,4 +104,5 @@ def test_detector_round_trip_and_rule_run(spark, tmp):
     run = D.rule_run(stored, ledger, back, 0.0, off)
     assert run["scored"].count() == run["ledger_rows"].count() == stored.count() - ledger.count()
     training = off.withColumn("mode", F.when(F.col("mode") == "off", "anomaly").otherwise("off"))
-    assert D.rule_run(stored, ledger, back, 0.0, training) is None
+    paused = D.rule_run(stored, ledger, back, 0.0, training)
+    assert list(paused) == ["ledger_rows"] and paused["ledger_rows"].count() == stored.count() - ledger.count()
