@@ -21,6 +21,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -108,19 +110,24 @@ def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     have no words; every row is a document, repeated and null ids too."""
     plain = _PLAIN
 
+    def numbering():
+        d = defaultdict()
+        d.default_factory = d.__len__                 # a new word gets the next number
+        return d
+
     def go(batches):
-        block, number, ids, doc_ids, size = None, {}, [], [], 0
+        block, number, ids, doc_ids, size = None, numbering(), [], [], 0
         for b in batches:
             for rid, doc, text in zip(b.column("_rid").to_pylist(), b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
                 if block is None:
                     block = rid
                 words = (text or b"").translate(plain).split()
-                ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+                ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 doc_ids.append(doc)
                 size += len(text or b"") + 16
                 if size >= block_bytes:
                     yield from _index_rows(block, number, ids, doc_ids)
-                    block, number, ids, doc_ids, size = None, {}, [], [], 0
+                    block, number, ids, doc_ids, size = None, numbering(), [], [], 0
         if block is not None:
             yield from _index_rows(block, number, ids, doc_ids)
     return docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).cast("long").alias("doc_id"),

@@ -7,8 +7,8 @@ letters and non-ASCII characters, lower-cased in A-Z.
    Within a block every whitespace chunk gets a number, and each document's
    chunks are counted.  The counts stay in the block's own row; only the
    (block, chunk) pairs leave it, with their number of documents.
-2. *Terms.*  The pairs are dealt by chunk and sorted, so equal chunks follow
-   each other and each is tokenized once, whatever its number of documents.
+2. *Terms.*  The pairs are dealt by chunk and sorted by its hash, so equal
+   chunks follow each other and each is tokenized once, whatever its number of documents.
    The documents of all chunks of a term bound its own from above: terms below
    the limit by this bound cannot be kept and end here.
 3. *Join back.*  The other terms return to their blocks, where they meet the
@@ -25,7 +25,8 @@ have (one join by term), so absent terms are never spelled out.
 from __future__ import annotations
 
 import re
-from urllib.parse import quote
+from collections import defaultdict
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ TOP_TERMS = 10
 #: Shares are whole numbers of this unit.
 SCALE = 1_000_000_000
 #: Text of a block, and its documents (their numbers take two bytes).
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 25
 BLOCK_DOCS = 1 << 16
 
 TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -77,15 +78,15 @@ class _Block:
 
     def __init__(self, first: int):
         self.first, self.bytes = first, 0
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__        # a new chunk gets the next number
         self.ids: list[np.ndarray] = []
         self.groups: dict[tuple, int] = {}
         self.doc_group: list[int] = []
 
     def add(self, text: bytes, lang: str, source: str) -> None:
         words = text.split()
-        number = self.number
-        self.ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         self.doc_group.append(self.groups.setdefault((lang, source), len(self.groups)))
         self.bytes += len(text) + 16
 
@@ -96,8 +97,13 @@ class _Block:
         """The chunks, then one row with the counts of each (chunk, document),
         in the order of the chunks' numbers; counts over 254 go to ``large``."""
         chunks, n = list(self.number), len(self.ids)
-        doc = np.repeat(np.arange(n, dtype=np.int64), [len(i) for i in self.ids])
-        key, count = np.unique(np.concatenate(self.ids).astype(np.int64) * n + doc, return_counts=True)
+        doc = np.repeat(np.arange(n, dtype=np.int32), [len(i) for i in self.ids])
+        key = np.concatenate(self.ids).astype(np.int64)
+        key *= n
+        key += doc
+        key.sort()
+        first = _runs(key)
+        key, count = key[first], np.diff(np.append(first, len(key)))
         n_docs = np.bincount(key // n, minlength=len(chunks)).astype(np.int32)
         for a in range(0, len(chunks), 100_000):
             part = pa.array(chunks[a:a + 100_000], pa.binary())
@@ -133,8 +139,8 @@ def chunk_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def tokenize_chunks(pairs: DataFrame) -> DataFrame:
-    """``(block, cid, n_docs, terms)`` of ``(block, cid, chunk, n_docs)``;
-    chunks without a term go.  Each distinct chunk is tokenized once: equal ones
+    """``(block, cid, n_docs, term)`` of ``(block, cid, chunk, n_docs)``, one
+    row per term of the chunk; chunks without a term go.  Each distinct chunk is tokenized once: equal ones
     come one after the other, and the last one is carried on."""
     term, lower = TERM, _LOWER
 
@@ -155,11 +161,11 @@ def tokenize_chunks(pairs: DataFrame) -> DataFrame:
                 terms = find(distinct[0].translate(lower))
             lists.insert(0, terms)
             last, terms = distinct[-1], lists[-1]
-            out = pa.array(lists, pa.list_(pa.binary())).cast(pa.list_(pa.string())).take(pa.array(np.cumsum(fresh) - 1))
-            some = pc.greater(pc.list_value_length(out), 0)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(some) for c in ("block", "cid", "n_docs")] + [out.filter(some)],
-                                             ["block", "cid", "n_docs", "terms"])
-    return pairs.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(go, "block long, cid int, n_docs int, terms array<string>")
+            out = pa.array(lists, pa.list_(pa.binary())).take(pa.array(np.cumsum(fresh) - 1))
+            at = pc.list_parent_indices(out)
+            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in ("block", "cid", "n_docs")] + [pc.list_flatten(out).cast(pa.string())],
+                                             ["block", "cid", "n_docs", "term"])
+    return pairs.repartition("chunk").sortWithinPartitions(F.xxhash64("chunk")).mapInArrow(go, "block long, cid int, n_docs int, term string")
 
 
 def _maybe_among(rows: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
@@ -183,7 +189,7 @@ def _maybe_among(rows: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
 
 def _runs(key: np.ndarray) -> np.ndarray:
     """First places of the runs of equal values."""
-    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
 def _block_counts(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -242,15 +248,44 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text
     blocks = settle(chunk_blocks(_plain(docs, text_col, lang_col, source_col), block_bytes), "audit-chunks", "zstd")
     pairs = blocks.where("chunk is not null").select("block", "cid", "chunk", "n_docs")
     tokens = settle(tokenize_chunks(pairs), "audit-terms", "zstd")
-    bound = tokens.select(F.explode(F.array_distinct("terms")).alias("term"), "n_docs").groupBy("term").agg(F.sum("n_docs").alias("n"))
-    terms = _maybe_among(tokens.select("block", "cid", F.explode("terms").alias("term")), "term", bound.where(F.col("n") >= min_docs))
+    bound = tokens.groupBy("term").agg(F.sum("n_docs").alias("n"))
+    terms = _maybe_among(tokens.select("block", "cid", "term"), "term", bound.where(F.col("n") >= min_docs))
     counts = blocks.where("starts is not null").drop("cid", "chunk", "n_docs")
     found = counts.groupBy("block").cogroup(terms.groupBy("block")).applyInArrow(_block_counts, _COUNTS_DDL)
-    # the texts of one (language, term) hold a source once each: all are in one task after one shuffle
-    each = (found.repartition("lang", "term").withColumn("d", F.sum("n_docs").over(Window.partitionBy("lang", "term"))).where(F.col("d") >= min_docs)
-            .select("lang", "term", F.explode(F.split("by_source", ",")).alias("e")).select("lang", "term", F.split("e", ":").alias("e"))
-            .select("lang", "term", F.col("e")[0].alias("source"), F.col("e")[1].cast("long").alias("n")))
-    return each.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")).withColumn("source", F.url_decode("source"))
+    return merge_counts(found.repartition("lang", "term").sortWithinPartitions("lang", "term"), min_docs)
+
+
+def merge_counts(found: DataFrame, min_docs: int) -> DataFrame:
+    """``(lang, term, source, n)`` from rows of the blocks, sorted by language
+    and term: those of a term follow each other and are added up."""
+    names, schema = ("lang", "term", "source", "n"), pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64())])
+
+    def go(batches):
+        key, docs, counts, plain = None, 0, {}, {}
+        for b in batches:
+            out = ([], [], [], [])
+            for lang, term, n_docs, text in zip(*(c.to_pylist() for c in b.columns)):
+                if (lang, term) != key:
+                    add(out, key, docs, counts, plain)
+                    key, docs, counts = (lang, term), 0, {}
+                docs += n_docs
+                for e in text.split(","):
+                    s, _, n = e.partition(":")
+                    counts[s] = counts.get(s, 0) + int(n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], names)
+        out = ([], [], [], [])
+        add(out, key, docs, counts, plain)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], names)
+
+    def add(out, key, docs, counts, plain):
+        if key is None or docs < min_docs:
+            return
+        for s, n in counts.items():
+            if s not in plain:
+                plain[s] = unquote(s)
+            for c, v in zip(out, (*key, plain[s], n)):
+                c.append(v)
+    return found.mapInArrow(go, "lang string, term string, source string, n long")
 
 
 def _share(n: str, total: str, terms: str) -> F.Column:
