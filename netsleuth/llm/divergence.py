@@ -261,30 +261,37 @@ def merge_counts(found: DataFrame, min_docs: int) -> DataFrame:
     names, schema = ("lang", "term", "source", "n"), pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64())])
 
     def go(batches):
-        key, docs, counts, plain = None, 0, {}, {}
+        key, docs, texts, plain = (None, None), 0, [], {}
         for b in batches:
             out = ([], [], [], [])
             for lang, term, n_docs, text in zip(*(c.to_pylist() for c in b.columns)):
-                if (lang, term) != key:
-                    add(out, key, docs, counts, plain)
-                    key, docs, counts = (lang, term), 0, {}
+                if term != key[1] or lang != key[0]:
+                    if docs >= min_docs:
+                        add(out, key, texts, plain)
+                    key, docs, texts = (lang, term), 0, []
                 docs += n_docs
-                for e in text.split(","):
-                    s, _, n = e.partition(":")
-                    counts[s] = counts.get(s, 0) + int(n)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], names)
+                texts.append(text)
+            yield batch(out)
         out = ([], [], [], [])
-        add(out, key, docs, counts, plain)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], names)
-
-    def add(out, key, docs, counts, plain):
-        if key is None or docs < min_docs:
-            return
-        for s, n in counts.items():
+        if docs >= min_docs:
+            add(out, key, texts, plain)
+        yield batch(out)
+
+    def add(out, key, texts, plain):
+        counts = defaultdict(int)
+        for e in ",".join(texts).split(","):
+            s, _, n = e.partition(":")
+            counts[s] += int(n)
+        for s in counts:
             if s not in plain:
                 plain[s] = unquote(s)
-            for c, v in zip(out, (*key, plain[s], n)):
-                c.append(v)
+        out[0].extend([key[0]] * len(counts))
+        out[1].extend([key[1]] * len(counts))
+        out[2].extend(map(plain.__getitem__, counts))
+        out[3].extend(counts.values())
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], names)
     return found.mapInArrow(go, "lang string, term string, source string, n long")
 
 
