@@ -376,7 +376,7 @@ def test_queries_and_pipeline(spark):
     import __spark_entry__ as entry
     import corpus_pipeline
     names = [q for q in entry.queries() if q.startswith("op") and q[2].isdigit()]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14))
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n = docs.count()
