@@ -266,14 +266,14 @@ def merge_counts(found: DataFrame, min_docs: int) -> DataFrame:
             out = ([], [], [], [])
             for lang, term, n_docs, text in zip(*(c.to_pylist() for c in b.columns)):
                 if term != key[1] or lang != key[0]:
-                    if docs >= min_docs:
+                    if texts and docs >= min_docs:
                         add(out, key, texts, plain)
                     key, docs, texts = (lang, term), 0, []
                 docs += n_docs
                 texts.append(text)
             yield batch(out)
         out = ([], [], [], [])
-        if docs >= min_docs:
+        if texts and docs >= min_docs:
             add(out, key, texts, plain)
         yield batch(out)
 

@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsleuth.llm.util import as_bytes
+from netsleuth.llm.util import as_bytes, settle
 
 BUCKETS = 1 << 15
 DIM = 16
-#: Bounds of the training sample: rows per language, languages, snippets a row.
+#: Bounds of the training sample: rows per language, rows in all (with more
+#: languages each has fewer, at least one), snippets a row.
 ROWS_PER_LANGUAGE = 600
-MAX_LANGUAGES = 200
+SAMPLE_ROWS = 120_000
 SNIPPETS = 4
 EPOCHS = 6
 BATCH = 32
@@ -113,18 +114,22 @@ def held_out(id_col: str = "doc_id"):
 
 def training_bags(docs: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """``(label, calibration, buckets, shares)`` (32-bit integers and floats as
-    bytes) of a bounded sample: ``rows``
-    labelled, not held-out rows expected for each language, each drawn by a
-    hash of its own; each gives its whole text and a few snippets."""
+    bytes) of a bounded sample: ``rows`` labelled, not held-out rows expected
+    for each language, or ``SAMPLE_ROWS`` by the number of languages if that is
+    fewer, each drawn by a hash of its own; each gives its whole text and a few
+    snippets.  A language keeps its first row by that hash in any case."""
     usable = (docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                           F.col(label_col).cast("string").alias("label"))
-              .where(F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out("id") & F.col("id").isNotNull()))
-    per = (usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect())
-    if not per:
+              .where(F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out("id") & F.col("id").isNotNull())
+              .withColumn("draw", F.pmod(F.xxhash64("id", "row"), F.lit(1 << 30)) / float(1 << 30)))
+    # stored, so the optimiser knows its size and broadcasts it if it is small
+    per = settle(usable.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")), "langid-labels")
+    labels = per.count()
+    if not labels:
         return None
-    draw = F.pmod(F.xxhash64("id", "row"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(min(1.0, rows / r["count"]))) for r in per], F.lit(0.0))
-    drawn = usable.where(draw < rate).select("id", "text", "label", (_fold("id") == CALIBRATION_FOLD).alias("calibration"))
+    rate = F.greatest("least", F.least(F.lit(1.0), F.lit(float(min(rows, max(1, SAMPLE_ROWS // labels)))) / F.col("n")))
+    drawn = usable.join(per.select("label", rate.alias("rate")), "label").where("draw <= rate") \
+        .select("id", "text", "label", (_fold("id") == CALIBRATION_FOLD).alias("calibration"))
 
     def run(batches):
         for b in batches:
@@ -217,10 +222,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 def _predictor(spark, model: Model | None):
     """Worker function: bytes -> (language or und, score, rejected)."""
-    sent = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats
+    parts = None if model is None else (model.labels, model.scores, model.bias, model.temperature, model.threshold)
+    sent, held = spark.sparkContext.broadcast(parts), []       # plain arrays: BUCKETS x languages floats
 
     def predict(text: bytes | None):
-        m = sent.value
+        if not held:
+            held.append(sent.value and Model(*sent.value))
+        m = held[0]
         if text is None or m is None or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
             return "und", 0.0, True
         z = m.logits(text)
@@ -252,7 +260,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that the model rejects."""
+    """``docs`` without the documents that the model rejects: those without a
+    letter (null and empty texts too) and those of low probability.  Repeated
+    rows are judged alike; nulls elsewhere do not matter; an empty table gives
+    an empty one."""
     predict = _predictor(docs.sparkSession, model)
 
     @F.pandas_udf("boolean")

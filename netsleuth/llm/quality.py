@@ -186,7 +186,9 @@ def judge(docs: DataFrame, refs: dict, id_col: str = "doc_id", text_col: str = "
 
 
 def kept_documents(docs: DataFrame, refs: dict, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the documents that the rules reject."""
+    """``docs`` without the documents that the rules reject.  Null and empty
+    texts go, they have too few words; a null language is one of its own;
+    repeated rows are judged alike; an empty table gives an empty one."""
     sent = docs.sparkSession.sparkContext.broadcast(refs)  # languages x common words
 
     @F.pandas_udf("boolean")
