@@ -17,7 +17,7 @@ from netsleuth.operators.sequence import global_prefix
 from netsleuth.session import materialize
 
 # Columns that may hold the label, the first present one counts.
-LABEL_COLUMNS = "prediction_g", "training_label", "label"
+LABEL_COLUMNS = ("prediction_g", "training_label", "label")
 
 
 def ground_truth(stored: DataFrame, session: str | None = None) -> DataFrame:
@@ -51,7 +51,7 @@ def as_binary(c) -> F.Column:
 def join_scores(scores: DataFrame, gt: DataFrame, keys=("event_id",), score_col: str = "anomaly_score") -> DataFrame:
     """Inner join of scores and ground truth; ``gt_label`` from the
     priority column, ``prediction_bin`` 1 for predicted anomalies."""
-    lab = next(filter(set(gt.columns).__contains__, LABEL_COLUMNS), None)             # P11
+    lab = next((c for c in LABEL_COLUMNS if c in gt.columns), None)                   # P11
     if lab is None:
         raise ValueError("ground truth has no label column")
     g = gt.select(*keys, as_binary(lab).alias("gt_label"))      # renamed before the join (Q9b)

@@ -17,17 +17,24 @@ from netsleuth.functions.scalar import coerce_numeric
 from netsleuth.schemas import MODEL_FEATURES, SERVING_COLUMNS
 
 
+def _of_day(events: DataFrame, day: dt.date | str, raw_col: str) -> DataFrame:
+    """Events of one calendar day, as written in their own offset."""
+    d = events.where(wall_clock_date(raw_col) == F.lit(str(day)).cast("date"))
+    if "event_date" in events.columns:  # the UTC date is at most a day off: prunes partitions
+        on = F.lit(str(day)).cast("date")
+        d = d.where(F.col("event_date").between(F.date_sub(on, 1), F.date_add(on, 1)))
+    return d
+
+
 def logs_by_day(events: DataFrame, day: dt.date | str, page: int = 1, limit: int = 100,
                 raw_col: str = "timestamp_raw", ts_col: str = "timestamp", tie_col: str = "flow_id") -> DataFrame:
     """P16 + L1: events of one calendar day (as written in their own offset),
     newest first, page ``page`` of ``limit``, with the day's ``total``.
 
     ``orderBy().offset().limit()`` runs as a per-partition top-(page*limit)
-    and a merge; the total is a scalar subquery."""
-    d = events.where(wall_clock_date(raw_col) == F.lit(str(day)).cast("date"))
-    if "event_date" in events.columns:  # the UTC date is at most a day off: prunes partitions
-        on = F.lit(str(day)).cast("date")
-        d = d.where(F.col("event_date").between(F.date_sub(on, 1), F.date_add(on, 1)))
+    and a merge; the total is a scalar subquery.  ``logs_after`` pages without
+    that growth."""
+    d = _of_day(events, day, raw_col)
     total = d.agg(F.count(F.lit(1))).scalar()
     start = (page - 1) * limit
     ordered = d.orderBy(F.col(ts_col).desc_nulls_last(), F.col(tie_col).desc())
@@ -35,6 +42,33 @@ def logs_by_day(events: DataFrame, day: dt.date | str, page: int = 1, limit: int
     return paged.withColumn("page", F.lit(page)).withColumn("limit", F.lit(limit)).withColumn("total", total)
 
 
+def logs_after(events: DataFrame, day: dt.date | str, cursor: tuple | None = None, limit: int = 100,
+               raw_col: str = "timestamp_raw", ts_col: str = "timestamp", tie_col: str = "flow_id") -> DataFrame:
+    """P16 + L1 by cursor: the next ``limit`` events of the day behind
+    ``cursor``, the (time, tie) of the last row seen, in the order of
+    ``logs_by_day``; None starts at the newest.
+
+    The cursor is a filter that reaches the scan, and each task keeps ``limit``
+    rows: page 1,000 costs what page 1 costs.  ``tie_col`` must be unique among
+    events of one time."""
+    d = _of_day(events, day, raw_col)
+    if cursor is not None:
+        at, tie = cursor
+        behind = F.col(tie_col) < F.lit(tie)
+        if at is None:
+            d = d.where(F.col(ts_col).isNull() & behind)
+        else:
+            at = F.lit(at).cast(events.schema[ts_col].dataType)
+            d = d.where((F.col(ts_col) < at) | ((F.col(ts_col) == at) & behind) | F.col(ts_col).isNull())
+    return d.orderBy(F.col(ts_col).desc_nulls_last(), F.col(tie_col).desc()).limit(limit)
+
+
+def cursor_of(page: DataFrame, ts_col: str = "timestamp", tie_col: str = "flow_id") -> tuple | None:
+    """The cursor behind a page of ``logs_after``; None if the page is empty."""
+    last = page.orderBy(F.col(ts_col).asc_nulls_first(), F.col(tie_col).asc()).select(ts_col, tie_col).first()
+    return None if last is None else (last[0], last[1])
+
+
 def first_n(df: DataFrame, n: int, ts_col: str = "timestamp", tie_col: str = "event_id") -> DataFrame:
     """L2: the ``n`` oldest rows, ordered (unlike the reference's unordered cap)."""
     return df.orderBy(F.col(ts_col).asc_nulls_first(), F.col(tie_col).asc()).limit(n)

@@ -120,14 +120,18 @@ def with_event_date(df: DataFrame) -> DataFrame:
     return df.withColumn("event_date", F.to_date("timestamp"))
 
 
-def dedup_new(batch: DataFrame, stored_keys: DataFrame | None) -> DataFrame:
+# Rows of a batch up to which its hashes are broadcast to the stored side.
+BROADCAST_HASHES = 500_000
+
+
+def dedup_new(batch: DataFrame, stored_keys: DataFrame | None, broadcast_rows: int = BROADCAST_HASHES) -> DataFrame:
     """Insert-if-new (K1, J8): one row per ``event_hash``, minus stored hashes.
 
-    ``dropDuplicates`` is a partially aggregated (map-side combined) shuffle,
-    so one hot hash does not gather in one task.  The anti-join matches on
-    ``(event_date, event_hash)``: when the stored table is partitioned by
-    ``event_date``, dynamic partition pruning limits the scan to the dates
-    present in the batch.
+    The batch is grouped by partial aggregation, so one hot hash does not gather
+    in one task.  The stored side is not shuffled while the batch has at most
+    ``broadcast_rows`` hashes: they are broadcast to the scan of the stored
+    ``(event_date, event_hash)``, and the few that are found there come back.
+    Larger batches meet the stored keys in a shuffled anti-join.
     """
     if "event_date" not in batch.columns:
         batch = with_event_date(batch)
@@ -138,8 +142,11 @@ def dedup_new(batch: DataFrame, stored_keys: DataFrame | None) -> DataFrame:
     if stored_keys is None:
         return fresh
     keys = stored_keys.select(F.col("event_date").alias("_d"), F.col("event_hash").alias("_h"))
-    cond = (fresh["event_hash"] == keys["_h"]) & fresh["event_date"].eqNullSafe(keys["_d"])
-    return fresh.join(keys, cond, "left_anti")
+    same = lambda e, h, d: (e[h] == keys["_h"]) & e[d].eqNullSafe(keys["_d"])
+    wanted = batch.select(F.col("event_hash").alias("_w"), F.col("event_date").alias("_wd"))
+    if wanted.count() <= broadcast_rows:
+        keys = keys.join(F.broadcast(wanted), same(wanted, "_w", "_wd"), "left_semi")
+    return fresh.join(keys, same(fresh, "event_hash", "event_date"), "left_anti")
 
 
 def ingest(lines: DataFrame, modes: DataFrame | None = None, stored_keys: DataFrame | None = None,

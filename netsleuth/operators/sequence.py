@@ -13,8 +13,8 @@ of one key, and stitch the chunks back together exactly:
 * ``trailing_count``– number of rows of the same key in ``(t - width, t]``
                       (each row also visits the next bucket as a halo copy);
 * ``global_prefix`` – running totals over a column with no partition key at
-                      all (buckets by approximate quantiles, prefix over
-                      bucket totals, then inside buckets).
+                      all (range partitions, prefix over their totals, then
+                      inside them).
 """
 
 from __future__ import annotations
@@ -186,31 +186,26 @@ def ordered_counts(df: DataFrame, key: str, ts_col: str, tie_col: str, width_mic
                     F.coalesce("_in_width", F.lit(0)).cast("long").alias("_in_width"), *[f"_cum_{c}" for c in sums]))
 
 
-def global_prefix(df: DataFrame, order_col: str, sums: Sequence[str], n_buckets: int | None = None,
-                  accuracy: int = 10_000) -> DataFrame:
+def global_prefix(df: DataFrame, order_col: str, sums: Sequence[str], n_buckets: int | None = None) -> DataFrame:
     """Inclusive running sums ``_cum_<c>`` over ``order_col`` (ascending; values
     assumed distinct, e.g. an already grouped table) without a single-partition
     window.
 
-    Bucket boundaries come from ``percentile_approx`` (a few dozen values on
-    the driver); totals per bucket are prefixed over the tiny bucket table, and
-    each bucket is prefixed in its own task.  There are as many buckets as
-    shuffle partitions unless ``n_buckets`` says otherwise.
+    Rows are cut into as many ranges of ``order_col`` as shuffle partitions
+    (unless ``n_buckets`` says otherwise); a row's range is the partition it
+    lies in, frozen by a checkpoint.  Totals per range are prefixed over the
+    table of ranges, and each range is prefixed in its own task.
     """
+    from netsleuth.session import materialize
     n_buckets = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.select(F.percentile_approx(order_col, probs, accuracy).alias("b"))
-    row = bounds.first()
-    cuts = sorted(set(float(x) for x in (row["b"] or []) if x is not None))
-    cut_arr = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    d = df.withColumn("_bk", F.size(F.filter(cut_arr, lambda b: b <= F.col(order_col).cast("double"))))
+    d = materialize(df.repartitionByRange(n_buckets, order_col).withColumn("_bk", F.spark_partition_id()))
     tot = d.groupBy("_bk").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sums])
     wprev = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_bk", *[F.coalesce(F.sum(f"_bt_{c}").over(wprev), F.lit(0)).alias(f"_bo_{c}") for c in sums])
     win = Window.partitionBy("_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in sums:
         d = d.withColumn(f"_bl_{c}", F.sum(c).over(win))
-    d = d.join(F.broadcast(offs), "_bk", "inner")   # one row per bucket: n_buckets rows at most
+    d = d.join(F.broadcast(offs), "_bk", "inner")   # one row per range: n_buckets rows at most
     for c in sums:
         d = d.withColumn(f"_cum_{c}", F.col(f"_bo_{c}") + F.col(f"_bl_{c}"))
     return d.drop("_bk", *[f"_bl_{c}" for c in sums], *[f"_bo_{c}" for c in sums])

@@ -45,6 +45,14 @@ def write_thresholds(best: DataFrame, path: str, grid=K.MIN_PRECISION_GRID,
     params.coalesce(1).write.mode("overwrite").text(f"{path}/params")
 
 
+def write_misses(samples: DataFrame, path: str) -> None:
+    """K9: the worst misses (``fn_fp_samples``), one folder per kind, as Parquet
+    and as CSV with a header for reading by eye."""
+    for kind in ("fn", "fp"):
+        rows = samples.where(F.col("kind") == kind).drop("kind")
+        write_table(rows.coalesce(1), f"{path}/{kind}", csv=True)             # a few rows by their definition
+
+
 def read_threshold(spark: SparkSession, path: str, default: float = K.ANOMALY_THRESHOLD) -> float:
     """thr_if from the JSON parameters, else the selected-threshold
     text, else the default constant."""
@@ -125,11 +133,12 @@ def append_mode(spark: SparkSession, path: str, mode: str, session_hash: str | N
     A switch to a training mode keeps the log's last session id, so that one
     session gets both classes, unless ``new_session`` asks for another or
     ``session_hash`` names one; the first training switch makes one.  Switching
-    off keeps the id for the next training switch."""
+    off keeps the id for the next training switch.  Of switches at one time the
+    one with the greatest id is the last."""
     ts = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
     if session_hash is None and not new_session and exists(spark, path):
         last = (spark.read.schema(MODE_LOG).parquet(path).where(F.col("session_hash").isNotNull())
-                .agg(F.max_by("session_hash", "effective_from").alias("s")).first())
+                .agg(F.max_by("session_hash", F.struct("effective_from", "session_hash")).alias("s")).first())
         session_hash = last["s"]
     if session_hash is None and mode in (K.MODE_NORMAL, K.MODE_ANOMALY):
         session_hash = spark.range(1).select(session_id_random(F.lit(mode), ts).alias("s")).first()["s"]

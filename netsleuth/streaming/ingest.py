@@ -67,8 +67,11 @@ def append_new(batch: DataFrame, stored_path: str, rows_per_file: int = 1_000_00
                 cond = cond | F.col("event_date").isNull()
             stored = spark.read.parquet(stored_path).where(cond).select("event_date", "event_hash")
         new = IG.dedup_new(batch, stored)
-        salts = max(1, -(-max((d["n"] for d in days), default=0) // rows_per_file))
-        spread = F.pmod(F.xxhash64("event_hash"), F.lit(salts))
+        files = F.lit(1)                                  # of each date by its own rows
+        for d in days:
+            if d["n"] > rows_per_file:
+                files = F.when(F.col("event_date").eqNullSafe(F.lit(d["event_date"])), -(-d["n"] // rows_per_file)).otherwise(files)
+        spread = F.pmod(F.xxhash64("event_hash"), files)
         new.repartition("event_date", spread).write.mode("append").partitionBy("event_date").parquet(stored_path)
     finally:
         batch.unpersist()
