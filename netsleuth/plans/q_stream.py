@@ -70,6 +70,7 @@ FROM flow"""))
 def stream_conn_5m_exact(spark, sf_dir):
     """Exact trailing 5-minute count of every event on a stream (stateful)."""
     def start(events, out, ckpt):
-        return (SW.exact_trailing_counts(events, bucket_seconds=86400).writeStream.outputMode("append").format("parquet")
-                .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        with SW.keyed_state(spark):
+            return (SW.exact_trailing_counts(events).writeStream.outputMode("append").format("parquet")
+                    .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     return _whole_stream(spark, sf_dir, "conn5m-exact", start).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))

@@ -7,6 +7,8 @@ source over 5-minute windows sliding by 1 minute, finalised by a watermark
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,70 +28,112 @@ def start_sliding_counts(events: DataFrame, out_path: str, checkpoint: str, trig
     return q.trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
+SLOT_SECONDS = 60
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark):
+    """The state store that map state and timers need, for queries started
+    inside; a started query keeps the store it was started with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def _trailing_processor(id_col: str, key_col: str, ts_col: str, width: int, span: int):
+    """Processor of one (source, bucket).  ``slots`` maps a minute to the times
+    and ids of its rows; a minute that is touched is read and written alone.  A
+    timer fires when the watermark has passed a minute: its rows are counted and
+    leave, and minutes that nothing looks back to are removed."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+    slot = SLOT_SECONDS * 1_000_000
+    back = -(-width // slot)                     # minutes that a minute looks back to
+
+    class Trailing(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.slots = handle.getMapState("slots", "minute long", "t array<long>, id array<string>")
+
+        def handleInputRows(self, key, rows, timerValues):
+            if not key[2]:
+                for pdf in rows:
+                    pdf = pdf[pdf[id_col].notna()]
+                    yield pd.DataFrame({id_col: pdf[id_col], key_col: pdf[key_col], ts_col: pdf[ts_col], "conn_5m": np.zeros(len(pdf), np.int64)})
+                return
+            fresh: dict[int, tuple[list, list]] = {}
+            for pdf in rows:
+                for t, i, own in zip(pdf["x_time"].tolist(), pdf[id_col].tolist(), pdf["x_own"].tolist()):
+                    times, ids = fresh.setdefault(t // slot, ([], []))
+                    times.append(t)
+                    ids.append(i if own else None)             # a halo row counts and is not given out here
+            end = (int(key[1]) + 1) * span
+            for minute, (times, ids) in fresh.items():
+                held = self.slots.getValue((minute,))
+                if held is None:
+                    self.handle.registerTimer(min(max((minute + 1) * slot, int(key[1]) * span + slot), end) // 1000)
+                else:
+                    times, ids = [*held[0], *times], [*held[1], *ids]
+                self.slots.updateValue((minute,), (times, ids))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            minute = expiredTimerInfo.getExpiryTimeInMs() * 1000 // slot - 1
+            near = {m: v for m in range(minute - back, minute + 1) if (v := self.slots.getValue((m,))) is not None}
+            out = {id_col: [], key_col: [], ts_col: [], "conn_5m": []}
+            if minute in near:
+                times = np.sort(np.concatenate([np.array(t, np.int64) for t, _ in near.values()]))
+                t = np.array(near[minute][0], np.int64)
+                n = np.searchsorted(times, t, "right") - np.searchsorted(times, t - width, "right")
+                for at, i, c in zip(t.tolist(), near[minute][1], n.tolist()):
+                    if i is not None:
+                        for name, v in zip(out, (i, key[0], at, c)):
+                            out[name].append(v)
+            wm = timerValues.getCurrentWatermarkInMs() * 1000
+            if wm >= (int(key[1]) + 1) * span and (minute + 1) * slot >= (int(key[1]) + 1) * span:
+                self.slots.clear()
+            else:
+                for m in near:
+                    if m <= minute - back:
+                        self.slots.removeKey((m,))
+            if out[id_col]:
+                yield pd.DataFrame({**out, ts_col: pd.to_datetime(out[ts_col], unit="us")})
+
+        def close(self):
+            pass
+    return Trailing()
+
+
 def exact_trailing_counts(events: DataFrame, ts_col: str = "timestamp", key: str = "src_ip",
                           id_col: str = "event_id", seconds: int = 300, watermark: str = "10 minutes",
                           bucket_seconds: int = 3600) -> DataFrame:
     """Exact streaming twin of ``conn_5m``: rows of the same source in
-    ``(t - width, t]`` for every event.
+    ``(t - width, t]`` for every event.  Start it within ``keyed_state``.
 
     State is kept per (source, time bucket), so a busy source is spread over
     its buckets; a row of the last ``width`` of a bucket also visits the next
-    one as a halo copy, which is all that bucket can look back to.  Times that
-    no waiting row can reach are dropped, so state is bounded by a source's rate
-    times (watermark delay + width); the bucket sets how finely a backlog is
-    spread (short for busy sources, long for many quiet ones).  A row is emitted once the
-    watermark has passed it (no earlier row can still arrive), a bucket's state
-    goes when the watermark has passed its end.  Rows without time or source
-    are emitted at once with 0, as in the batch operator; rows later than the
-    watermark are dropped by Spark and left to ``conn_5m`` on the stored table.
-    ``closing_marker`` lets a finite stream release its last rows.
+    one as a halo copy, which is all that bucket can look back to.  Within a
+    bucket the state is a map by minute: a micro-batch reads and writes only the
+    minutes that its rows fall in.  A minute's rows are emitted by a timer once the
+    watermark has passed it (no earlier row can still arrive); a bucket's state
+    goes with its last minute.  Rows without time or source are emitted at once
+    with 0, as in the batch operator; rows later than the watermark are dropped
+    by Spark and left to ``conn_5m`` on the stored table.  ``closing_marker`` lets
+    a finite stream release its last rows.  ``bucket_seconds`` is a whole number
+    of minutes.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
     width, span = seconds * 1_000_000, max(seconds, bucket_seconds) * 1_000_000
     out_schema = f"{id_col} string, {key} string, {ts_col} timestamp, conn_5m long"
-    state_schema = "t array<long>, id array<string>, seen array<long>"
-
-    def step(k, batches, state):
-        """``t``/``id``: rows of the bucket that wait; ``seen``: times that
-        count, of rows emitted and of halo copies."""
-        if not k[2]:
-            for pdf in batches:
-                pdf = pdf[pdf[id_col].notna()]
-                yield pd.DataFrame({id_col: pdf[id_col], key: pdf[key], ts_col: pdf[ts_col], "conn_5m": np.zeros(len(pdf), np.int64)})
-            return
-        t, ids, seen = (np.empty(0, np.int64), np.empty(0, object), np.empty(0, np.int64))
-        if state.exists:
-            t, ids, seen = (np.array(x, d) for x, d in zip(state.get, (np.int64, object, np.int64)))
-        for pdf in batches:
-            own = pdf["_own"].to_numpy(bool)
-            t = np.concatenate([t, pdf["_t"].to_numpy(np.int64)[own]])
-            ids = np.concatenate([ids, pdf[id_col].to_numpy(object)[own]])
-            seen = np.concatenate([seen, pdf["_t"].to_numpy(np.int64)[~own]])
-        end = (int(k[1]) + 1) * span
-        wm = state.getCurrentWatermarkMs() * 1000
-        ready = t < wm if wm > 0 else np.zeros(len(t), bool)
-        times = np.sort(np.concatenate([seen, t]))
-        rt = t[ready]
-        counts = np.searchsorted(times, rt, "right") - np.searchsorted(times, rt - width, "right")
-        out = pd.DataFrame({id_col: ids[ready], key: [k[0]] * len(rt), ts_col: pd.to_datetime(rt, unit="us"),
-                            "conn_5m": counts.astype("int64")})
-        if wm >= end:
-            state.remove()
-        else:
-            wait = t[~ready]
-            reach = min(wm, int(wait.min()) if len(wait) else wm) - width       # nothing looks back further
-            past = np.concatenate([seen, rt])
-            state.update((wait.tolist(), ids[~ready].tolist(), past[past > reach].tolist()))
-            state.setTimeoutTimestamp(max(int(wait.min()) if len(wait) else end, wm) // 1000 + 1)
-        yield out
-
     t = F.unix_micros(F.col(ts_col))
     whole = F.col(ts_col).isNotNull() & F.col(key).isNotNull()
     bucket = F.floor(t / F.lit(span))
     place = lambda b, own: F.struct(b.cast("long").alias("b"), F.lit(own).alias("own"))
+    # (the processor gets columns of these names; leading underscores would be renamed)
     # no filter here: the optimiser would move it below the watermark and hide rows from it
     edge = F.floor((t + F.lit(width - 1)) / F.lit(span)) > bucket
     copies = F.when(whole & edge, F.array(place(bucket, True), place(bucket + 1, False))) \
@@ -97,10 +141,10 @@ def exact_trailing_counts(events: DataFrame, ts_col: str = "timestamp", key: str
               .otherwise(F.array(place(F.pmod(F.xxhash64(id_col), F.lit(64)), True)))
     spread = (events.withWatermark(ts_col, watermark)
               .select(F.col(id_col).cast("string").alias(id_col), F.col(key).cast("string").alias(key), F.col(ts_col),
-                      t.alias("_t"), whole.alias("_whole"), F.explode(copies).alias("p")))
-    return (spread.select(id_col, key, ts_col, "_t", "_whole", F.col("p.b").alias("_b"), F.col("p.own").alias("_own"))
-            .groupBy(key, "_b", "_whole")
-            .applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout))
+                      t.alias("x_time"), whole.alias("x_whole"), F.explode(copies).alias("p")))
+    return (spread.select(id_col, key, ts_col, "x_time", "x_whole", F.col("p.b").alias("x_bucket"), F.col("p.own").alias("x_own"))
+            .groupBy(key, "x_bucket", "x_whole")
+            .transformWithStateInPandas(_trailing_processor(id_col, key, ts_col, width, span), out_schema, "append", "eventTime"))
 
 
 def closing_marker(spark, schema, newest, ts_col: str = "timestamp", seconds: int = 300, watermark_minutes: int = 10) -> DataFrame:

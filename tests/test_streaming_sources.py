@@ -208,10 +208,11 @@ def test_exact_trailing_count_across_micro_batches(spark, tmp):
         f.where(f"timestamp >= '{lo}' AND timestamp < '{hi}'").coalesce(1).write.mode("append").parquet(src)
     events = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", "1").parquet(src)
     out, ckpt = os.path.join(tmp, "out"), os.path.join(tmp, "ckpt")
-    q = (exact_trailing_counts(events).writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    from netsleuth.streaming.windows import closing_marker, keyed_state
+    with keyed_state(spark):
+        q = (exact_trailing_counts(events).writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    from netsleuth.streaming.windows import closing_marker
     got = {r.event_id: r.conn_5m for r in spark.read.parquet(out).collect()}
     want = {r.event_id: r.conn_5m for r in FT.conn_5m(f).collect()}
     assert len(got) > 0.9 * len(want)
@@ -220,8 +221,10 @@ def test_exact_trailing_count_across_micro_batches(spark, tmp):
     spark.createDataFrame([("n1", "10.0.0.1", None), ("n2", None, None)], f.schema).coalesce(1).write.mode("append").parquet(src)
     closing_marker(spark, f.schema, f.agg(F.max("timestamp")).first()[0]).write.mode("append").parquet(src)
     events = spark.readStream.schema(f.schema).parquet(src)
-    (exact_trailing_counts(events).writeStream.outputMode("append").format("parquet").option("path", out)
-     .option("checkpointLocation", ckpt).trigger(availableNow=True).start()).awaitTermination()
+    with keyed_state(spark):
+        q = (exact_trailing_counts(events).writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert len(rows) == len(want) + 2 and {r.event_id: r.conn_5m for r in rows} == want | {"n1": 0, "n2": 0}
 
