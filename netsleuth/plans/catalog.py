@@ -8,3 +8,4 @@ from netsleuth.plans import q_tables  # noqa: F401
 from netsleuth.plans import q_detect  # noqa: F401
 from netsleuth.plans import q_stream  # noqa: F401
 from netsleuth.plans import q_job  # noqa: F401
+from netsleuth.plans import q_store  # noqa: F401

@@ -84,7 +84,7 @@ def iforest_facts(spark, sf_dir):
         F.first(flagged).alias("share_kept"))
 
 
-@register("iforest_fit_score", "M2,M3,M4,M9,M1,K10")
+@register("iforest_fit_score", "M2,M3,M4,M9,M1")
 def iforest_fit_score(spark, sf_dir):
     """Robust-scale the feature table, fit the forest on normal rows, score all."""
     stored = flows(spark, sf_dir).drop("anomaly_score")

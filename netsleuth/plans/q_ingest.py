@@ -83,7 +83,7 @@ def _labelled(spark, sf_dir):
     return IG.label(attach_mode(flat, mode_log(ev)))
 
 
-@register("flow_flatten", "S1,S2,P2,F18,F20", with_flow("""
+@register("flow_flatten", "S1,P2,F18,F20", with_flow("""
 SELECT l_event_type AS event_type, timestamp_raw, l_ts AS "timestamp", utc_offset, flow_id, proto, src_ip,
        l_src_port AS src_port, dest_ip, l_dest_port AS dest_port, packet_length,
        l_alert_severity AS alert_severity, alert_signature, dns_query, tls_sni, http_hostname, http_url,

@@ -169,7 +169,7 @@ def f1_sweep(spark, sf_dir):
     return TH.best_threshold(_joined(spark, sf_dir), grid=F1_GRID, min_precision=None)
 
 
-@register("f1_sweep_min_precision", "M7,L6,K5,S11", with_flow(
+@register("f1_sweep_min_precision", "M7,L6", with_flow(
     "SELECT * FROM sel", EVAL_CTE + "," + _sweep_sql(MP_GRID, K.MIN_PRECISION_FOR_THRESHOLD, PCT)))
 def f1_sweep_min_precision(spark, sf_dir):
     return TH.best_threshold(_joined(spark, sf_dir), grid=MP_GRID, min_precision=K.MIN_PRECISION_FOR_THRESHOLD)
@@ -187,7 +187,7 @@ fpr AS (SELECT * FROM j WHERE gt_label = 0 AND anomaly_score < (SELECT threshold
 """
 
 
-@register("fn_fp_samples", "M8,L3,K9", with_flow("""
+@register("fn_fp_samples", "M8,L3", with_flow("""
 SELECT * FROM (SELECT 'fn' AS kind, event_id, anomaly_score, gt_label, proto, dest_port FROM fnr
                ORDER BY anomaly_score DESC, event_id ASC LIMIT 20)
 UNION ALL

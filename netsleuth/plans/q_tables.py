@@ -70,7 +70,7 @@ def feature_frame(spark, sf_dir):
     return FT.features(flows(spark, sf_dir))
 
 
-@register("feature_table", "P4,P5,K2,S6", with_flow("SELECT * FROM ft", FEATURES_CTE))
+@register("feature_table", "P4,P5", with_flow("SELECT * FROM ft", FEATURES_CTE))
 def feature_table(spark, sf_dir):
     return feature_frame(spark, sf_dir).select(*FEATURE_COLS)
 
@@ -142,7 +142,7 @@ def latest_session(spark, sf_dir):
     return s.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
-@register("logs_by_day_page", "P16,L1,F20,S2", with_flow("""
+@register("logs_by_day_page", "P16,L1,F20", with_flow("""
 SELECT flow_id, timestamp_raw, l_event_type AS event_type, 2 AS page, 100 AS "limit",
        (SELECT count(*) FROM d) AS total
 FROM d ORDER BY l_ts DESC NULLS LAST, flow_id DESC LIMIT 100 OFFSET 100""", LINES_CTE + """,
