@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 
 import pyarrow as pa
@@ -23,8 +24,8 @@ from netsleuth.llm.util import worker_cache
 #: Words of more parts than this are merged from a heap.
 SHORT_WORD = 48
 #: Entries of a worker's caches of words and of runs before each starts anew.
-CACHE_WORDS = 300_000
-CACHE_CHUNKS = 150_000
+CACHE_WORDS = 400_000
+CACHE_CHUNKS = 500_000
 #: Characters that the tokenizers library counts as white space and Python's str.split does too ...
 #: except the four separators U+001C to U+001F, which only Python splits at.
 PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")
@@ -123,6 +124,8 @@ class WordBPE:
         self.added = added
         self.cut = re.compile("(" + "|".join(map(re.escape, added)) + ")").split if added else lambda x: [x]
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in added.items()}
+        self.name_bytes = {i: t.encode() for i, t in self.names.items()}
+        self.first = {t[0] for t in added}
         self.chunks: dict[str, tuple[bytes, bytes]] = {}
         self.words: dict[str, tuple[bytes, bytes]] = {}
 
@@ -134,12 +137,14 @@ class WordBPE:
         return (merge_short if len(parts) <= SHORT_WORD else merge_long)(parts, self.rank, self.made)
 
     def as_bytes(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return b"".join([i.to_bytes(4, "little") for i in ids]), self.decode(ids).encode()
+        return struct.pack(f"<{len(ids)}I", *ids), b" ".join(map(self.name_bytes.__getitem__, ids))
 
     def split(self, piece: str) -> list[str]:
         """Normalised words of a run without white space.  Characters too new
         for Python's Unicode tables are left to the library's own normaliser
         and splitter, which may know them."""
+        if piece.isascii():
+            return self.find(piece.lower())
         if known(piece):
             norm = unicodedata.normalize("NFC", piece)
             return self.find(norm.lower() if norm.isascii() else "".join(map(lower_letter, norm)))
@@ -150,27 +155,33 @@ class WordBPE:
         return [bytes(map(self.byte_of.__getitem__, w)).decode()
                 for w, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
 
-    def chunk_parts(self, chunk: str):
+    def word(self, w: str) -> tuple[bytes, bytes]:
+        got = self.words.get(w)
+        if got is None:
+            got = self.as_bytes(self.word_ids(w))
+            if len(w) <= 64:
+                if len(self.words) >= CACHE_WORDS:
+                    self.words.clear()
+                self.words[w] = got
+        return got
+
+    def chunk_parts(self, chunk: str) -> list[tuple[bytes, bytes]]:
+        if self.first.isdisjoint(chunk):                 # no added token can begin here
+            return [self.word(w) for w in self.split(chunk)]
+        out = []
         for piece in self.cut(chunk):
             if piece in self.added:
-                yield self.as_bytes([self.added[piece]])
+                out.append(self.as_bytes([self.added[piece]]))
             elif piece:
-                for w in self.split(piece):
-                    got = self.words.get(w)
-                    if got is None:
-                        got = self.as_bytes(self.word_ids(w))
-                        if len(w) <= 64:
-                            if len(self.words) >= CACHE_WORDS:
-                                self.words.clear()
-                            self.words[w] = got
-                    yield got
+                out += [self.word(w) for w in self.split(piece)]
+        return out
 
     def chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit, decoded UTF-8) of a run
         without white space; short runs and words are cached."""
         got = self.chunks.get(chunk)
         if got is None:
-            parts = list(self.chunk_parts(chunk))
+            parts = self.chunk_parts(chunk)
             got = parts[0] if len(parts) == 1 else (b"".join([i for i, _ in parts]), b" ".join([w for _, w in parts]))
             if len(chunk) <= 64:
                 if len(self.chunks) >= CACHE_CHUNKS:
