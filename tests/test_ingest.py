@@ -58,7 +58,7 @@ def test_hour_and_ip_of_fixture(spark):
 
 def test_mode_asof_matches_a_loop_with_ties(spark):
     """Ties, flood minutes, gaps of days, events before the first row and
-    without time; the same for any number of salts."""
+    without time; the same with broadcast and with shuffled look-up tables."""
     t0 = dt.datetime(2024, 1, 1)
     at = lambda s: t0 + dt.timedelta(seconds=s)
     log = [(at(100), "normal", "a"), (at(100), "off", None), (at(100), "anomaly", "b"), (at(130), "off", None), (at(130), "anomaly", "c"),
@@ -71,8 +71,8 @@ def test_mode_asof_matches_a_loop_with_ties(spark):
     def want(t):
         rows = [(f, m, s if m != "off" else None) for f, m, s in log if f is not None and t is not None and f <= t]
         return max(rows, key=lambda r: (r[0], r[1], r[2] or ""))[1:] if rows else ("off", None)
-    for salts in (1, 7):
-        got = sorted((r.i, r.mode, r.session) for r in attach_mode(ev, modes, salts=salts).collect())
+    for limit in (0, 1000):
+        got = sorted((r.i, r.mode, r.session) for r in attach_mode(ev, modes, broadcast_switches=limit).collect())
         assert [(i, m, s) for i, m, s in got] == sorted((i, *want(t)) for i, t in rows)
     assert attach_mode(ev, modes.limit(0)).where("mode = 'off'").count() == len(rows)
 
