@@ -119,11 +119,13 @@ class FeatureState:
         rows = self.rows(name, upto)
         return None if rows is None else merge(name, rows)
 
-    def compact(self) -> None:
-        """Merge all shares into one table each; readers of older versions
-        still find the single shares."""
+    def compact(self, after: int = 1) -> None:
+        """Merge all shares into one table each, if there are ``after`` or more
+        since the last time; readers of older versions still find theirs."""
         version = self.version()
-        if version is not None:
+        base = versions.current(self.spark, f"{self.path}/compact")
+        fresh = [v for v in versions.published(self.spark, self.path) if base is None or v > base]
+        if version is not None and len(fresh) >= after:
             def write(target: str) -> None:
                 for name in TABLES:
                     self.table(name, version).write.mode("overwrite").parquet(f"{target}/{name}")

@@ -27,6 +27,10 @@ from netsleuth.sources import artifacts as A
 from netsleuth.sources import versions
 
 
+#: Shares of single batches in the state before they are merged.
+COMPACT_AFTER = 100
+
+
 @dataclass(frozen=True)
 class JobPaths:
     """Where the job reads and writes; ``store`` is partitioned by
@@ -99,17 +103,14 @@ def run_batch(spark: SparkSession, paths: JobPaths, detector: Detector, batch: i
     step("rules")
     ledger.mark(ids, batch, at)
     step("ledger")
+    state.compact(after=COMPACT_AFTER)
     return {"batch": batch, "training": False, "threshold": thr, "closed": ledger.close(batch)}
 
 
 def scores(spark: SparkSession, paths: JobPaths) -> DataFrame:
     """All published scores with their batch."""
-    found = versions.published(spark, paths.scores)
-    parts = [spark.read.parquet(versions.folder(paths.scores, v)).withColumn("batch", F.lit(v)) for v in found]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    found = [versions.folder(paths.scores, v) for v in versions.published(spark, paths.scores)]
+    return spark.read.option("basePath", paths.scores).parquet(*found).withColumnRenamed("version", "batch")
 
 
 def start_job(spark: SparkSession, paths: JobPaths, detector: Detector, schema, checkpoint: str, every: str = "5 minutes",

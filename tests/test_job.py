@@ -82,7 +82,8 @@ class Killed(Exception):
     pass
 
 
-def test_killed_job_leaves_each_event_once(spark, events, tmp):
+def test_killed_job_leaves_each_event_once(spark, events, tmp, monkeypatch):
+    monkeypatch.setattr(J, "COMPACT_AFTER", 2)
     paths, det = _paths(tmp), D.Detector({}, fixed_forest(), {})
     events.write.partitionBy("event_date").parquet(paths.store)
     A.write_thresholds(spark.range(1).select(F.lit(0.05).alias("threshold")), paths.thresholds)
@@ -109,6 +110,7 @@ def test_killed_job_leaves_each_event_once(spark, events, tmp):
     assert [r.value for r in A.read_rules(spark, paths.rules).collect()] == first       # the old file is whole
     run(1)
     run(2)
+    assert versions.published(spark, paths.state + "/compact") == [1]
     ledger = Ledger(spark, paths.ledger, paths.store)
     assert ledger.pending().count() == 0 and ledger.open_days() == []
     for sink in (J.scores(spark, paths), ledger.rows()):
