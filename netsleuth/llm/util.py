@@ -63,9 +63,9 @@ def table_partitions(df: DataFrame) -> int:
 HEAVY_SHARE = 10_000
 
 
-def join_counted(facts: DataFrame, keys: DataFrame, on: str, n_col: str) -> DataFrame:
-    """Inner join of ``facts`` to ``keys``, which holds every key of ``facts``
-    once and in ``n_col`` the number of its rows.
+def join_counted(facts: DataFrame, keys: DataFrame, on: str | list[str], n_col: str) -> DataFrame:
+    """Inner join of ``facts`` to ``keys``, which holds a key once and in
+    ``n_col`` the number of its rows in ``facts``.
 
     Keys that hold more than 1/``HEAVY_SHARE`` of the rows, so fewer than
     ``HEAVY_SHARE`` keys, are broadcast; the others are joined by shuffle, where
@@ -74,7 +74,7 @@ def join_counted(facts: DataFrame, keys: DataFrame, on: str, n_col: str) -> Data
     limit = max(total // HEAVY_SHARE, 100)
     heavy = F.broadcast(keys.where(F.col(n_col) > limit).drop(n_col))
     light = keys.where(F.col(n_col) <= limit).drop(n_col)
-    rest = facts.join(heavy.select(on), on, "left_anti")
+    rest = facts.join(heavy.select(*([on] if isinstance(on, str) else on)), on, "left_anti")
     return facts.join(heavy, on).unionByName(rest.join(light, on))
 
 

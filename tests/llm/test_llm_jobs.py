@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -83,9 +84,10 @@ def test_simhash_components_brute_force(spark, odd):
     assert simhash.simhash_components(table(spark, [])).count() == 0 == simhash.keep_first_of_groups(table(spark, [])).count()
 
 
-def test_fingerprint_links_lose_no_link(spark):
-    """Random fingerprints with planted chains, against all pairs; large
-    groups under one key are compared whole."""
+@pytest.mark.parametrize("limit", [None, 40, 3])
+def test_fingerprint_links_lose_no_link(spark, limit):
+    """Random fingerprints with planted chains, against all pairs; groups under
+    one key that exceed ``limit`` are taken apart and dealt over tasks."""
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 2 ** 64, 12, dtype=np.uint64)
     fps = set()
@@ -95,10 +97,11 @@ def test_fingerprint_links_lose_no_link(spark):
             for p in rng.choice(64, int(rng.integers(0, 5)), replace=False):
                 x ^= 1 << int(p)
             fps.add(x)
+    fps |= {int(centre[0]) ^ (x << 60) ^ (y << 30) for x in range(16) for y in range(16)}      # many that share most blocks
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {r.node: r.root for r in components.components(simhash.fingerprint_links(df)).collect()}
+    got = {r.node: r.root for r in components.components(simhash.fingerprint_links(df, limit=limit)).collect()}
     label = {x: x for x in signed}
 
     def root(x):
@@ -130,9 +133,9 @@ def _dedup_brute(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [1500, 1])
+@pytest.mark.parametrize("limit", [1500, 3, 1])
 def test_suffix_array_dedup_brute_force(spark, limit, monkeypatch):
-    """``limit`` 1: all values go the way of those with very many regions."""
+    """``limit`` 1 and 3: values are split again and again, and what is left is compared window by window."""
     monkeypatch.setattr(sufarray, "SHARD_REGIONS", limit)
     rng = random.Random(3)
     passages = ["".join(rng.choice("abcdé") for _ in range(60)) for _ in range(4)]
@@ -144,6 +147,23 @@ def test_suffix_array_dedup_brute_force(spark, limit, monkeypatch):
     assert sorted(got, key=str) == _dedup_brute(rows, 20)
 
 
+def test_a_crowded_value_goes_through_the_array(spark, monkeypatch):
+    """A passage in 2,000 different surroundings: more regions of one value than
+    a shard holds.  They are split, and none is compared window by window."""
+    def never(*_):
+        raise AssertionError("windows were compared one by one")
+    monkeypatch.setattr(sufarray, "_window_starts", never)
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared, other = letters(12), letters(60)
+    rows = [(i, letters(40) + shared + letters(40)) for i in range(2000)] + [(3000, other + "zz"), (3001, "yy" + other), (3002, same := letters(50)), (3003, same)]
+    value = Counter(v for _, t in rows for v in sufarray.regions_of(t.encode(), 40, 8)[0].tolist())
+    monkeypatch.setattr(sufarray, "SHARD_REGIONS", 60)
+    assert max(value.values()) > 3 * sufarray.SHARD_REGIONS
+    got = [tuple(r)[:5] for r in sufarray.dedup_digests(table(spark, rows), 40, 8).collect()]
+    assert sorted(got, key=str) == _dedup_brute(rows, 40) and sum(g[2] > 0 for g in got) == 4
+
+
 def test_suffix_array_dedup_production_length(spark, odd):
     rng = random.Random(6)
     shared = prose(rng, 90)
@@ -261,29 +281,49 @@ def test_digests_with_next(spark, odd):
     assert fingerprint.fingerprints(table(spark, odd)).count() == len(odd)
 
 
+def _split_brute(text):
+    """Sentences read character by character; long ones are not cut here."""
+    out, at = [], 0
+    for i, c in enumerate(text):
+        mark = c in ".!?" and i + 1 < len(text) and text[i + 1].isspace()
+        if mark or c == "\n":
+            out.append(text[at:i + 1])
+            at = i + 1
+    return out + ([text[at:]] if at < len(text) else [])
+
+
 def _spans_brute(rows, run=3, least=10):
+    """Runs by the rule: from each sentence on, and up to each, the shortest of
+    ``run`` sentences with a word and ``least`` words; a text of fewer is one."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
-    seen, gone = set(), [set() for _ in rows]
+    seen, gone, parts = set(), [set() for _ in rows], [_split_brute(t or "") for _, t in rows]
     for i in order:
-        t = rows[i][1] or ""
-        full = [(k, w) for k, (a, b) in enumerate(spans.sentences(t)) if (w := t[a:b].lower().split())]
-        for j in range(len(full) - run + 1):
-            words = tuple(x for _, w in full[j:j + run] for x in w)
-            if len(words) >= least:
-                key = tuple(" ".join(w) for _, w in full[j:j + run])
-                if " ".join(key) in seen:
-                    gone[i] |= set(range(full[j][0], full[j + run - 1][0] + 1))
-                seen.add(" ".join(key))
-    return sorted(((d, len(spans.sentences(t or "")), len(g),
-                    None if t is None else "".join(t[a:b] for k, (a, b) in enumerate(spans.sentences(t)) if k not in g))
-                   for (d, t), g in zip(rows, gone)), key=str)
+        full = [(k, w) for k, s in enumerate(parts[i]) if (w := s.lower().split())]
+        assert all(len(w) <= spans.LONG_SENTENCE for _, w in full)
+        size = lambda a, z: sum(len(w) for _, w in full[a:z])
+        found = set()
+        for a in range(len(full)):
+            found |= set([(a, z) for z in range(a + run, len(full) + 1) if size(a, z) >= least][:1])
+        for z in range(len(full) + 1):
+            found |= set([(a, z) for a in range(z - run, -1, -1) if size(a, z) >= least][:1])
+        if not found and len(full) >= run:
+            found = {(0, len(full))}
+        for a, z in sorted(found):
+            key = " ".join(x for _, w in full[a:z] for x in w)
+            if key in seen:
+                gone[i] |= set(range(full[a][0], full[z - 1][0] + 1))
+            seen.add(key)
+    return sorted(((d, len(s), len(g), None if t is None else "".join(x for k, x in enumerate(s) if k not in g))
+                   for (d, t), g, s in zip(rows, gone, parts)), key=str)
 
 
 def test_sentence_spans_brute_force(spark, odd):
     rng = random.Random(8)
-    bank = [prose(rng, rng.randint(3, 12)).capitalize() + "." for _ in range(40)]
+    bank = [prose(rng, rng.randint(1, 12)).capitalize() + "." for _ in range(40)]
     passage = " ".join(bank[:6])
-    rows = odd + [(100 + i, " ".join(rng.choice(bank) for _ in range(8)) + ("\n" + passage if i % 3 == 0 else "")) for i in range(40)]
+    odd = [(d, t) for d, t in odd if t is None or len(t.split()) <= spans.LONG_SENTENCE]
+    short = [" ".join(rng.choice(["a.", "b!", "c d.", "\n", "e?"]) for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    rows = odd + [(300 + i, t) for i, t in enumerate(short)] + [(100 + i, " ".join(rng.choice(bank) for _ in range(8)) + ("\n" + passage if i % 3 == 0 else "")) for i in range(40)]
     rows += [(200, " ".join([passage] * 2))]
     got = [(r.doc_id, r.n_sentences, r.n_removed, r.kept_text) for r in spans.remove_repeats(table(spark, rows)).collect()]
     assert sorted(got, key=str) == _spans_brute(rows)
@@ -300,19 +340,6 @@ def test_language_model_scores(spark):
     by = {r.doc_id: r for r in got}
     assert all((by[i].score < 0) == bool(i % 2) for i in range(60))  # unlabelled ones too
     assert by[90].n_words == 0 and by[90].score is None and by[91].target_loss is None and by[1].target and not by[41].target
-    # counts and losses against a plain loop
-    size = lmscore.WORD_SLOTS + lmscore.PAIR_SLOTS
-    counts = np.zeros(2 * size, np.int64)
-    for d, t in rows:
-        w, p, _ = lmscore.slots((t or "").encode())
-        base = 0 if d in set(range(1, 40, 2)) else size
-        np.add.at(counts, base + w, 1)
-        np.add.at(counts, base + lmscore.WORD_SLOTS + p, 1)
-    models = lmscore.Models(counts)
-    for d, t in rows:
-        if d is not None and d < 60:
-            n, x, y = models.losses(t.encode(), d in set(range(1, 40, 2)))
-            assert (by[d].n_words, by[d].target_loss, by[d].background_loss) == (n, pytest.approx(x), pytest.approx(y))
     none = lmscore.score(table(spark, rows), labels.limit(0)).collect()
     assert len(none) == len(rows) and all(r.score is None or np.isfinite(r.score) for r in none)
     assert lmscore.score(table(spark, []), labels).count() == 0
@@ -395,9 +422,8 @@ def test_queries_and_pipeline(spark):
 
 
 def test_language_model_counts_every_word_and_pair(spark, monkeypatch):
-    """Shared slots, small chunks and many buckets must not show: counts are those of whole words and pairs."""
-    monkeypatch.setattr(lmscore, "WORD_SLOTS", 8)
-    monkeypatch.setattr(lmscore, "PAIR_SLOTS", 8)
+    """Small chunks and many buckets must not show: counts are those of whole words and pairs, and the
+    prior is spread over the words that occur."""
     monkeypatch.setattr(lmscore, "CHUNK", 2000)
     monkeypatch.setattr(lmscore, "BUCKET", 1000)
     rng = random.Random(19)

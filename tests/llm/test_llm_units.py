@@ -3,6 +3,7 @@
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -201,10 +202,9 @@ def test_sentences_cover_the_text():
         assert all(len(text[a:b].split()) <= spans.LONG_SENTENCE for a, b in parts)
 
 
-def test_word_slots_match_a_loop():
-    text = "The cat  The\tdog É the".encode()
-    word, pair, context = lmscore.slots(text)
-    assert word[0] == word[2] == word[5] and word[1] != word[3] and context[1] == word[0] and context[0] == 0
+def test_word_hashes_match_a_loop():
+    word, pair, before = lmscore._ngrams("The cat  The\tdog É the".encode())
+    assert word[0] == word[2] == word[5] and word[1] != word[3] and before[1] == word[0] and before[0] == 0 and len(set(pair.tolist())) == 6
     assert len(lmscore.word_hashes(b" \n")) == 0 == len(lmscore.word_hashes(b""))
     ref = lmscore.word_hashes(b"ab cd " * 1000)
     old, lmscore.PIECE = lmscore.PIECE, 64
@@ -246,8 +246,68 @@ def test_long_sentences_are_cut_by_their_words():
         hashes = []
         for _ in range(2):
             text = " ".join([*word(rng.randint(0, 70)), *shared, *word(rng.randint(0, 70))])
-            hashes.append({r[2:] for r in spans.runs(text)})
+            hashes.append(set(spans.runs(text)[3]))
             assert all(len(text[a:b].split()) <= spans.LONG_SENTENCE for a, b in spans.sentences(text))
         found += bool(hashes[0] & hashes[1])
     assert found >= 97
     assert len(spans.sentences("same " * 1000)) == 40
+    # long and short sentences, odd white space: nothing is lost, and each is cut as it is alone
+    for _ in range(50):
+        each = [" ".join(word(rng.choice([3, 40, 90]))) + rng.choice([".", "!", ""]) + rng.choice(["\n", "\n"]) for _ in range(rng.randint(1, 6))]
+        each = [s.replace(" ", rng.choice([" ", " ", "  ", " \t"])) for s in each]
+        got = spans.sentences("".join(each))
+        assert [z for _, z in got][-1] == len("".join(each)) and all(x[1] == y[0] for x, y in zip(got, got[1:]))
+        assert [z - a for a, z in got] == [z - a for s in each for a, z in spans.sentences(s)]
+
+
+def _fewest_bins(items, capacity):
+    """Exhaustive: every piece into every bin that has room, or a new one."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def place(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(items):
+            best = len(room)
+            return
+        for k, r in enumerate(room):
+            if r >= items[i] and r not in room[:k]:
+                place(i + 1, [*room[:k], r - items[i], *room[k + 1:]])
+        place(i + 1, [*room, capacity - items[i]])
+    place(0, [])
+    return best
+
+
+def test_packing_is_optimal_on_small_instances():
+    rng, better = random.Random(3), 0
+    for _ in range(300):
+        c = rng.choice([20, 50, 100])
+        items = [rng.randint(1, c) if rng.random() < 0.3 else rng.randint(c // 6, c // 2) for _ in range(rng.randint(1, 11))]
+        counts = Counter(items)
+        plan = packing.pack_histogram(counts, c)
+        placed = Counter()
+        for parts, times in plan:
+            assert sum(parts) <= c
+            for x in parts:
+                placed[x] += times
+        fewest = _fewest_bins(items, c)
+        assert placed == counts and sum(t for _, t in plan) == fewest >= packing.lower_bound(counts, c)
+        better += sum(t for _, t in packing.dive(counts, c, packing.best_fit)) > fewest
+    assert better > 3                                       # the search does more than its first incumbent
+
+
+def test_packing_of_small_pieces_beats_the_dives():
+    counts = Counter(random.Random(5).choices(range(250, 400), k=4000))
+    n = sum(t for _, t in packing.pack_histogram(counts))
+    dives = [sum(t for _, t in packing.dive(counts, 1024, f)) for f in (packing.best_fit, lambda le, c, room, step: packing.fillings(le, c, room)[0])]
+    assert packing.lower_bound(counts, 1024) <= n < min(dives)
+
+
+def test_completions_leave_no_room():
+    counts = Counter([9, 7, 7, 5, 4, 3, 3, 2])
+    got = list(packing.completions(sorted(counts), dict(counts), 12))
+    assert len(got) == len(set(got)) and (9, 3) in got and (7, 5) in got and (5, 4, 3) in got
+    for f in got:
+        left = counts - Counter(f)
+        assert sum(f) <= 12 and not any(x <= 12 - sum(f) for x in left)
