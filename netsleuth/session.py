@@ -95,7 +95,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def materialize(df, eager: bool = True):
     """Cut the lineage of ``df`` with a reliable checkpoint written below
     ``spark.checkpoint.dir`` (shared storage on a cluster, so the result
-    survives executor loss).  Used at stage boundaries whose output is much
-    smaller than their input and is read several times downstream."""
+    survives executor loss).  Used where a result is read several times
+    downstream: mostly tables much smaller than their input, but also the ranked
+    rows and the feature table in training, which are as long as the events."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
