@@ -8,8 +8,10 @@ starts anywhere else.
    the same value form a region.  Only regions whose value occurs twice or more,
    there or elsewhere, can hold a repeat.
 2. *Shards.*  Regions of one value meet in one shard; equal regions are counted
-   first and travel once, with their number.  Values with very many different
-   regions are taken window by window instead, counted before each shuffle.
+   first and travel once, with their number.  A value with more different
+   regions than a shard holds is split: within its regions, windows are told
+   apart by the least gram under a second hash, then a third, and so on.  Equal
+   windows agree in each of them.
 3. *Suffix array* of each shard by induced sorting: suffixes are classified,
    the leftmost-smaller substrings sorted by recursion, and the rest induced in
    linear time.  The permuted common-prefix array follows from its irreducible
@@ -29,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsleuth.llm.rolling import Prefix, sliding_min
+from netsleuth.llm.rolling import Prefix, mix, sliding_min
 from netsleuth.llm.util import as_bytes, settle, table_partitions, with_row_id
 
 LENGTH = 400
 GRAM = 160
-#: Bytes of a shard's array, and different regions of one value beyond which
-#: its windows are compared one by one.
+#: Bytes of a shard's array, and different regions of one value beyond which it
+#: is split by a further hash; hashes before what is left is compared window by
+#: window (windows that differ, but share the least gram under every hash).
 SHARD_BYTES = 1 << 20
 SHARD_REGIONS = 1500
+SPLITS = 6
 #: Bits of the filter that keeps documents without candidates out of a join.
 FILTER_BITS = 1 << 24
 
@@ -356,9 +360,58 @@ def _array_starts(pieces: DataFrame, length: int) -> DataFrame:
             .mapInArrow(run, "value long, region long, lo long, hi long"))
 
 
+def _split_again(pieces: DataFrame, length: int, gram: int, level: int) -> DataFrame:
+    """``(whole, part, off, value, region, copies, starts, bytes)``: the regions
+    (``whole``, ``part``) cut where the least gram under hash ``level`` changes;
+    ``off``: windows before the cut."""
+    names = ["whole", "part", "off", "value", "region", "copies", "starts", "bytes"]
+    salt = mix(np.array([level], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+
+    def run(batches):
+        for b in batches:
+            out, size = [], 0
+            for value, region, data, starts, copies in zip(*(c.to_pylist() for c in b.columns)):
+                prefix = Prefix(np.frombuffer(data, np.uint8))
+                least = sliding_min(mix(prefix.windows(gram) ^ salt), length - gram + 1)[:starts]
+                first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+                stop = np.append(first[1:], len(least))
+                key = mix(least[first] ^ mix(np.array([value], np.int64).view(np.uint64))).view(np.int64)
+                for f, z, v, r in zip(first.tolist(), stop.tolist(), key.tolist(), prefix.spans(first, stop - 1 + length).view(np.int64).tolist()):
+                    out.append((value, region, f, v, r, copies, z - f, data[f:z - 1 + length]))
+                    size += z - f + length
+                if size > 1 << 22:
+                    yield batch(out)
+                    out, size = [], 0
+            if out:
+                yield batch(out)
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 7 + [pa.binary()])], names)
+    return pieces.select("value", "region", "bytes", "starts", "copies").mapInArrow(
+        run, "whole long, part long, off long, value long, region long, copies long, starts long, bytes binary")
+
+
+def _starts(pieces: DataFrame, length: int, gram: int, level: int = 1) -> DataFrame:
+    """``(value, region, lo, hi)``: repeated starts in each region of
+    ``pieces``; those of ``many`` regions a value are split first."""
+    few = _array_starts(pieces.where("not many"), length)
+    many = pieces.where("many")
+    if not many.limit(1).count():
+        return few
+    if level > SPLITS:
+        return few.unionByName(_window_starts(many, length))
+    parts = settle(_split_again(many, length, gram, level), f"repeat-split-{level}")
+    kinds = parts.groupBy("value", "region").agg(F.sum("copies").alias("copies"), F.first("starts").alias("starts"), F.first("bytes").alias("bytes"))
+    crowd = kinds.groupBy("value").agg((F.count(F.lit(1)) > SHARD_REGIONS).alias("many"))
+    found = settle(_starts(settle(kinds.join(crowd, "value"), f"repeat-pieces-{level}"), length, gram, level + 1), f"repeat-starts-{level}")
+    back = parts.select("whole", "part", "off", "value", "region").join(found, ["value", "region"]) \
+        .select(F.col("whole").alias("value"), F.col("part").alias("region"), (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
+    return few.unionByName(back)
+
+
 def _window_starts(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for values of very many regions: their windows are hashed (128
-    bits) and counted one by one."""
+    """The same for what no further hash splits: windows are hashed (128 bits)
+    and counted one by one."""
     def run(batches):
         for b in batches:
             for value, region, data, starts, copies in zip(*(c.to_pylist() for c in b.columns)):
@@ -395,7 +448,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     wanted = (kinds.join(many, "value", "left").groupBy("_rid")
               .agg(F.collect_list(F.struct("value", "region", "copies", "first", "starts", F.coalesce("many", F.lit(False)).alias("many"))).alias("k")))
     pieces = settle(_cut_pieces(_among(texts.select("_rid", "text"), kinds.select("_rid")).join(wanted, "_rid"), length), "repeat-pieces")
-    starts = (_array_starts(pieces.where("not many"), length).unionByName(_window_starts(pieces.where("many"), length)))
+    starts = _starts(pieces, length, gram)
     back = (near.where("not alike").select("value", "region", "_rid", "first").join(settle(starts, "repeat-starts"), ["value", "region"])
             .select("_rid", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")))
     spans = settle(_merge(whole.unionByName(back).groupBy("_rid").agg(F.collect_list(F.struct("lo", "hi")).alias("s")), length), "repeat-spans")
