@@ -25,9 +25,6 @@ from pyspark.sql import functions as F
 from netsleuth.llm.rolling import Prefix, mix
 from netsleuth.llm.util import as_bytes, settle, table_partitions
 
-#: Slots of the small fixed table (``slots``, ``Models``) that the jobs are compared
-#: with; the word model's prior is spread over WORD_SLOTS words at least.
-WORD_SLOTS, PAIR_SLOTS = 1 << 18, 1 << 20
 #: Bytes of text of a chunk (a longer document is a chunk by itself) and, about, of a bucket.
 CHUNK, BUCKET = 1 << 22, 1 << 23
 #: Weight of the word model in the bigram model, and of each word in the word model.
@@ -62,31 +59,6 @@ def _ngrams(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, mix(before * np.uint64(0x9FB21C651E98DF25) ^ h), before
 
 
-def slots(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word slot, pair slot, context slot) of each word."""
-    h, pair, before = _ngrams(text)
-    return ((h % np.uint64(WORD_SLOTS)).astype(np.int64), (pair % np.uint64(PAIR_SLOTS)).astype(np.int64),
-            (before % np.uint64(WORD_SLOTS)).astype(np.int64))
-
-
-class Models:
-    """Counts of both models; ``loss`` of a text under either."""
-
-    def __init__(self, counts: np.ndarray):
-        size = WORD_SLOTS + PAIR_SLOTS
-        self.word = [counts[i * size:i * size + WORD_SLOTS] for i in (0, 1)]
-        self.pair = [counts[i * size + WORD_SLOTS:(i + 1) * size] for i in (0, 1)]
-        self.total = [int(w.sum()) for w in self.word]
-
-    def losses(self, text: bytes, target: bool) -> tuple[int, float | None, float | None]:
-        word, pair, context = slots(text)
-        n = len(word)
-        if not n:
-            return 0, None, None
-        return n, *_losses([(w[word], p[pair], w[context]) for w, p in zip(self.word, self.pair)],
-                           (_own(word), _own(pair), _among(context, word)), target, self.total, WORD_SLOTS)
-
-
 def _losses(found, own, target: bool, totals, vocabulary: int) -> tuple[float, float]:
     """Mean loss under the target and the background model.  ``found``: counts
     (word, pair, context) of each word in either; ``own``: in the document."""
@@ -170,9 +142,12 @@ def _read(batch):
         yield at["chunk"], at["doc_ids"], at["targets"], docs, names, place
 
 
-def _edges(names: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins among sorted hashes, and their end."""
-    return np.searchsorted((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1).astype(np.uint64))
+def _parts(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur among sorted hashes, and where each begins, with
+    the end behind: as long as the hashes at most, however many buckets."""
+    of = ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    return of[first], np.append(first, len(of))
 
 
 def _answers(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -186,11 +161,10 @@ def _answers(chunks: DataFrame, buckets: int) -> DataFrame:
                 of = np.repeat(np.array(targets, bool), [len(d[0]) for d in docs])
                 t = np.bincount(place[np.concatenate([of, of])], minlength=len(names))
                 b = np.bincount(place, minlength=len(names)) - t
-                edge = _edges(names, buckets)
-                full = np.flatnonzero(np.diff(edge))
-                for some in np.array_split(full, max(1, len(full) // 1000)):
+                bucket, edge = _parts(names, buckets)
+                for some in np.array_split(np.arange(len(bucket)), max(1, len(bucket) // 1000)):
                     sent = [_pack(np.diff(names[x:z], prepend=np.uint64(0)), t[x:z], b[x:z]) for x, z in zip(edge[some], edge[some + 1])]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()),
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[some], pa.int32()), pa.array([chunk] * len(some), pa.int64()),
                                                       pa.array(edge[some + 1] - edge[some], pa.int64()), pa.array(sent, pa.binary())],
                                                      ["bucket", "chunk", "n", "grams"])
 
@@ -232,15 +206,15 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     n_bytes = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     answers = settle(_answers(chunks, buckets := max(table_partitions(docs), -(-n_bytes // BUCKET))), "lm-answers")
     words, *totals = (x or 0 for x in answers.where("chunk is null").agg(F.sum("words"), F.sum("t"), F.sum("b")).first())
-    vocabulary = max(WORD_SLOTS, words)
+    vocabulary = max(1, words)                       # the words counted, at every size
     replies = (answers.where("chunk is not null").groupBy("chunk")
                .agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias("replies")))
 
     def run(batches):
         for batch in batches:
             for (_, ids, targets, grams, names, place), got in zip(_read(batch), batch.column("replies")):
-                edge = _edges(names, buckets)
-                counts = [_unpack(r["reply"], 2, edge[r["bucket"] + 1] - edge[r["bucket"]]) for r in got.as_py() or ()]
+                sizes = np.diff(_parts(names, buckets)[1])        # each bucket asked has answered, in this order
+                counts = [_unpack(r["reply"], 2, n) for r, n in zip(got.as_py() or (), sizes, strict=True)]
                 counts = np.concatenate([np.zeros((2, 0), np.uint64), *counts], axis=1).astype(np.int64)
                 n_words, at, out = len(place) // 2, 0, []
                 for (word, pair, context), target in zip(grams, targets):
