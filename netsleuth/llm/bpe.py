@@ -23,9 +23,12 @@ from netsleuth.llm.util import worker_cache
 
 #: Words of more parts than this are merged from a heap.
 SHORT_WORD = 48
-#: Entries of a worker's caches of words and of runs before each starts anew.
-CACHE_WORDS = 400_000
-CACHE_CHUNKS = 500_000
+#: Entries of the newer half of a worker's caches of words and of runs; a full
+#: one becomes the older half.
+CACHE_WORDS = 200_000
+CACHE_CHUNKS = 250_000
+#: ASCII and the letters of Latin-1 and Latin Extended-A: composed, and in all Unicode tables.
+LATIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*").fullmatch
 #: Characters that the tokenizers library counts as white space and Python's str.split does too ...
 #: except the four separators U+001C to U+001F, which only Python splits at.
 PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")
@@ -128,6 +131,7 @@ class WordBPE:
         self.first = {t[0] for t in added}
         self.chunks: dict[str, tuple[bytes, bytes]] = {}
         self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.older_chunks, self.older_words = {}, {}
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word between splits."""
@@ -143,7 +147,7 @@ class WordBPE:
         """Normalised words of a run without white space.  Characters too new
         for Python's Unicode tables are left to the library's own normaliser
         and splitter, which may know them."""
-        if piece.isascii():
+        if LATIN(piece):
             return self.find(piece.lower())
         if known(piece):
             norm = unicodedata.normalize("NFC", piece)
@@ -158,10 +162,10 @@ class WordBPE:
     def word(self, w: str) -> tuple[bytes, bytes]:
         got = self.words.get(w)
         if got is None:
-            got = self.as_bytes(self.word_ids(w))
+            got = self.older_words.get(w) or self.as_bytes(self.word_ids(w))
             if len(w) <= 64:
                 if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
+                    self.older_words, self.words = self.words, {}
                 self.words[w] = got
         return got
 
@@ -181,11 +185,13 @@ class WordBPE:
         without white space; short runs and words are cached."""
         got = self.chunks.get(chunk)
         if got is None:
-            parts = self.chunk_parts(chunk)
-            got = parts[0] if len(parts) == 1 else (b"".join([i for i, _ in parts]), b" ".join([w for _, w in parts]))
+            got = self.older_chunks.get(chunk)
+            if got is None:
+                parts = self.chunk_parts(chunk)
+                got = parts[0] if len(parts) == 1 else (b"".join([i for i, _ in parts]), b" ".join([w for _, w in parts]))
             if len(chunk) <= 64:
                 if len(self.chunks) >= CACHE_CHUNKS:
-                    self.chunks.clear()
+                    self.older_chunks, self.chunks = self.chunks, {}
                 self.chunks[chunk] = got
         return got
 
