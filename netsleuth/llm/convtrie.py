@@ -174,7 +174,7 @@ def subtree_sums(nodes: DataFrame, values: list[str], block: int = BLOCK) -> Dat
         here = nodes.where(F.col("depth") % unit == 0).select("digest", "depth", F.when(F.col("depth") > 0, F.col("trails")[level - 1])
                                                               .otherwise(F.array().cast("array<binary>")).alias("trail"))
         units.append(settle(here.join(up, "digest"), f"trie-unit-{level}"))
-    sums = units[-1].agg(*[F.sum(v).alias(v) for v in values]).select(F.lit(ROOT).alias("digest"), *values)
+    sums = gather(units[-1].withColumn("digest", F.lit(ROOT)), "trie-total")
     for rows in units[::-1]:
         unit *= block
         high = rows.where(F.col("depth") % unit == 0).drop(*values).join(sums, "digest")
