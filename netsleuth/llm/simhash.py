@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsleuth.llm.components import components
+from netsleuth.llm.rolling import mix
 from netsleuth.llm.util import as_bytes, settle, table_partitions, with_row_id, worker_cache
 
 SHINGLE_WORDS = 3
@@ -167,13 +168,118 @@ def _small_groups(keys: np.ndarray, fps: np.ndarray, max_bits: int, reach: int):
 
 
 SMALL_GROUP = 16
+#: Fingerprints of one key that a task compares with each other; larger groups
+#: get further keys, and what those leave is dealt over many tasks.
+GROUP_LIMIT = 20_000
+#: Blocks of a fingerprint, of which three differing bits leave half untouched.
+FINE_BLOCKS = 6
+_LINKS = ["u", "v", "key", "fp"]
+
+
+def _links_batch(found=(), keys=(), fps=()):
+    """Links (u, v), and rows (key, fp) of groups that are too large."""
+    us, vs = zip(*found) if found else ((), ())
+    n, m = len(us), len(keys)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(m, pa.int64())]) for x in (us, vs)]
+                                      + [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for x in (keys, fps)], _LINKS)
+
+
+def _forest(pairs) -> list[tuple[int, int]]:
+    """Links reduced to (member, smallest member)."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        r = x
+        while up.get(r, r) != r:
+            r = up[r]
+        while up.get(x, x) != r:
+            up[x], x = r, up[x]
+        return r
+    for us, vs in pairs:
+        for u, v in zip(us.tolist(), vs.tolist()):
+            up.setdefault(u, u)
+            up.setdefault(v, v)
+            a, b = root(u), root(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    return [(x, r) for x in up if (r := root(x)) != x]
+
+
+def _compare(keyed: DataFrame, max_bits: int, limit: int) -> DataFrame:
+    """Links within the groups of ``keyed(key, fp)``, and the rows of groups of
+    more than ``limit``, as they are.  A task holds ``limit`` rows of a key."""
+    def links(keys, fps):
+        edge = np.flatnonzero(np.diff(keys)) + 1
+        first = np.concatenate([[0], edge])
+        sizes = np.diff(np.concatenate([first, [len(keys)]]))
+        row = np.repeat(sizes, sizes)
+        small, late = row <= SMALL_GROUP, row > limit
+        pairs = list(_small_groups(keys[small], fps[small], max_bits, SMALL_GROUP)) if (sizes > 1).any() else []
+        middle = (sizes > SMALL_GROUP) & (sizes <= limit)
+        for s, n in zip(first[middle], sizes[middle]):
+            got = group_links(fps[s:s + n], max_bits)
+            if got:
+                pairs.append(tuple(np.array(x, np.int64) for x in zip(*got)))
+        return _links_batch(_forest(pairs), keys[late], fps[late])
 
+    def compare(batches):
+        held_k, held_f, passing = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for b in batches:
+            keys, fps = b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False)
+            if passing is not None:                    # more of a group that is too large
+                n = int(np.searchsorted(keys, passing, side="right"))
+                yield _links_batch((), keys[:n], fps[:n])
+                keys, fps = keys[n:], fps[n:]
+                if len(keys):
+                    passing = None
+            keys, fps = np.concatenate([held_k, keys]), np.concatenate([held_f, fps])
+            if not len(keys):
+                continue
+            cut = int(np.searchsorted(keys, keys[-1]))
+            held_k, held_f = keys[cut:], fps[cut:]
+            if len(held_k) > limit:
+                yield _links_batch((), held_k, held_f)
+                passing, held_k, held_f = held_k[0], held_k[:0], held_f[:0]
+            if cut:
+                yield links(keys[:cut], fps[:cut])
+        if len(held_k):
+            yield links(held_k, held_f)
+    return (keyed.repartition(table_partitions(keyed), "key").sortWithinPartitions("key", "fp")
+            .mapInArrow(compare, "u long, v long, key long, fp long"))
+
+
+def _finer(rows: DataFrame) -> DataFrame:
+    """Rows (key, fp) under one key for each choice of half the blocks: two
+    fingerprints of at most three differing bits agree in one choice."""
+    def run(batches):
+        starts = [64 * i // FINE_BLOCKS for i in range(FINE_BLOCKS + 1)]
+        masks = [sum(((1 << z) - (1 << a)) for a, z in some) for some in itertools.combinations(zip(starts, starts[1:]), FINE_BLOCKS // 2)]
+        for b in batches:
+            keys, fps = b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False)
+            for i, m in enumerate(masks):
+                key = mix(mix(keys.view(np.uint64) + np.uint64(i)) ^ (fps.view(np.uint64) & np.uint64(m)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps)], ["key", "fp"])
+    return rows.select("key", "fp").mapInArrow(run, "key long, fp long")
+
+
+def _dealt(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows (key, fp) in blocks of about half of ``limit``, each block with each
+    other block of its key under a key of their own."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / limit).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    each = rows.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return each.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
 
-def fingerprint_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+
+def fingerprint_links(classes: DataFrame, max_bits: int = MAX_BITS, limit: int | None = None) -> DataFrame:
     """Edges ``(u, v)`` that connect all of ``classes(fp)`` linked by at most
-    ``max_bits`` (three) differing bits.  ``fp`` must be distinct."""
+    ``max_bits`` (three) differing bits.  ``fp`` must be distinct.
+
+    Groups of one key beyond ``limit`` are taken apart by further exact blocks,
+    then by blocks of rows, so that no task compares more and no link is lost."""
     if max_bits > 3:
         raise ValueError("the key tables cover up to three differing bits")
+    limit = limit or GROUP_LIMIT
 
     def make(batches):
         cache = worker_cache()
@@ -185,60 +291,17 @@ def fingerprint_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame
                 rows, keys = candidate_keys(part.view(np.uint64), tables)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "fp"])
 
-    def forest(pairs):
-        """Links reduced to (member, smallest member)."""
-        up: dict[int, int] = {}
-
-        def root(x):
-            r = x
-            while up.get(r, r) != r:
-                r = up[r]
-            while up.get(x, x) != r:
-                up[x], x = r, up[x]
-            return r
-        for us, vs in pairs:
-            for u, v in zip(us.tolist(), vs.tolist()):
-                up.setdefault(u, u)
-                up.setdefault(v, v)
-                a, b = root(u), root(v)
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-        return [(x, r) for x in up if (r := root(x)) != x]
-
-    def emit(found):
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
-                                           pa.array([x for _, x in found], pa.int64())], ["u", "v"])
-
-    def compare(batches):
-        held_k, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def settle_groups(keys, fps):
-            edge = np.flatnonzero(np.diff(keys)) + 1
-            first = np.concatenate([[0], edge])
-            sizes = np.diff(np.concatenate([first, [len(keys)]]))
-            big = np.repeat(sizes > SMALL_GROUP, sizes)
-            pairs = list(_small_groups(keys[~big], fps[~big], max_bits, SMALL_GROUP)) if (sizes > 1).any() else []
-            for s, n in zip(first[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
-                got = group_links(fps[s:s + n], max_bits)
-                if got:
-                    pairs.append(tuple(np.array(x, np.int64) for x in zip(*got)))
-            return forest(pairs)
-
-        for b in batches:
-            keys = np.concatenate([held_k, b.column("key").to_numpy(zero_copy_only=False)])
-            fps = np.concatenate([held_f, b.column("fp").to_numpy(zero_copy_only=False)])
-            if not len(keys):
-                continue
-            cut = int(np.searchsorted(keys, keys[-1]))
-            held_k, held_f = keys[cut:], fps[cut:]
-            if cut and (found := settle_groups(keys[:cut], fps[:cut])):
-                yield emit(found)
-        if len(held_k) and (found := settle_groups(held_k, held_f)):
-            yield emit(found)
-
-    keyed = classes.select("fp").mapInArrow(make, "key long, fp long")
-    return (keyed.repartition(table_partitions(classes), "key").sortWithinPartitions("key", "fp")
-            .mapInArrow(compare, "u long, v long"))
+    found = settle(_compare(classes.select("fp").mapInArrow(make, "key long, fp long"), max_bits, limit), "simhash-compared")
+    edges = found.where("u is not null").select("u", "v")
+    large = found.where("key is not null").select("key", "fp")
+    if large.limit(1).count():
+        fine = settle(_compare(_finer(large), max_bits, limit), "simhash-finer")
+        edges = edges.unionByName(fine.where("u is not null").select("u", "v"))
+        rest = fine.where("key is not null").select("key", "fp")
+        if rest.limit(1).count():
+            # blocks are dealt by hash: a pair of them may exceed its size a little, and is compared all the same
+            edges = edges.unionByName(_compare(_dealt(rest, limit), max_bits, 1 << 62).where("u is not null").select("u", "v"))
+    return edges
 
 
 def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
