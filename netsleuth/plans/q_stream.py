@@ -53,7 +53,7 @@ def stream_conn_window(spark, sf_dir):
 def _whole_stream(spark, sf_dir, name, start):
     """Run a stream over the flow records and then over the closing marker."""
     src, out, ckpt = scratch_path(spark, "flow-files"), scratch_path(spark, name), scratch_path(spark, f"{name}-ckpt")
-    flows(spark, sf_dir).repartition(4).write.parquet(src)
+    flows(spark, sf_dir).repartition(max(4, spark.sparkContext.defaultParallelism)).write.parquet(src)
     stored = spark.read.parquet(src)
     schema = stored.schema
     start(spark.readStream.schema(schema).parquet(src), out, ckpt).awaitTermination()
