@@ -27,11 +27,11 @@ from netsleuth.llm.util import settle, worker_cache
 
 CAPACITY = 1024
 END_ID = 2
-#: Best fillings that a dive chooses from; dives behind the first; pieces up to
-#: which all completions are searched, and the steps of that search.
+#: Best fillings that a dive chooses from; dives behind the first; steps of the
+#: search over all completions, and pieces tried for each step.
 FILLINGS = 4
 DIVES = 24
-SMALL, NODES = 400, 20_000
+NODES, TRIED = 20_000, 20
 #: Runs in the newer half of a cache; when it is full it becomes the older half.
 CACHE_RUNS = 150_000
 #: ASCII and the letters of Latin-1 and Latin Extended-A, on which all Unicode tables agree.
@@ -313,53 +313,77 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def completions(lengths: list[int], counts: dict[int, int], room: int, most: int | None = None):
+def completions(lengths: list[int], counts: dict[int, int], room: int, most: int | None = None, steps: list[int] | None = None):
     """Every way to fill ``room`` to which no piece left over could be added,
-    larger pieces first; pieces are at most ``most`` long."""
+    larger pieces first; pieces are at most ``most`` long.  While it waits, the
+    pieces of the filling are taken out of ``counts``.  Each piece tried takes
+    one of ``steps[0]``; it ends when none is left."""
     i = bisect.bisect_right(lengths, room if most is None else min(room, most)) - 1
-    while i >= 0 and not counts[lengths[i]]:
+    path, fresh = [], True
+    while steps is None or steps[0] > 0:
+        while i >= 0 and not counts[lengths[i]]:
+            i -= 1
+        if i >= 0:
+            counts[lengths[i]] -= 1
+            room -= lengths[i]
+            path.append(i)
+            i, fresh = min(i, bisect.bisect_right(lengths, room) - 1), True
+            if steps is not None:
+                steps[0] -= 1
+            continue
+        if fresh and not any(counts[x] for x in lengths[:bisect.bisect_right(lengths, room)]):
+            yield tuple(lengths[k] for k in path)
+        if not path:
+            return
+        i, fresh = path.pop(), False
+        counts[lengths[i]] += 1
+        room += lengths[i]
         i -= 1
-    if i < 0:
-        if not any(counts[x] for x in lengths[:bisect.bisect_right(lengths, room)]):
-            yield ()
-        return
-    for j in range(i, -1, -1):
-        x = lengths[j]
-        if counts[x]:
-            counts[x] -= 1
-            for rest in completions(lengths, counts, room - x, x):
-                yield (x, *rest)
-            counts[x] += 1
 
 
 def _exact(counts: dict[int, int], capacity: int, best: list, bound: int, nodes: int) -> list:
-    """Bin completion, one bin at a time, over all completions of the largest
-    piece left; a branch ends when it wastes more than one bin less allows."""
-    total, spent = sum(x * n for x, n in counts.items()), 0
-    counts, lengths, path = dict(counts), sorted(counts), []
-
-    def search(lost):
-        nonlocal best, spent
+    """Bin completion over all completions of the largest piece left, each used
+    as often as the counts allow, then less often; a branch ends when it wastes
+    more than one bin less allows.  Ends after ``nodes`` bins or ``TRIED`` pieces
+    for each."""
+    total, fewest = sum(x * n for x, n in counts.items()), sum(t for _, t in best)
+    counts, lengths, steps = dict(counts), sorted(counts), [nodes * TRIED]
+    path, used, lost = [], 0, 0
+
+    def choices():
         left = [x for x in lengths if counts[x]]
-        if not left:
-            if len(path) < sum(t for _, t in best):
-                best = [(p, 1) for p in path]
-            return
         big = left[-1]
         counts[big] -= 1
-        for rest in completions(left, counts, capacity - big):
-            spent += 1
-            n = sum(t for _, t in best)
-            if n <= bound or spent > nodes:
-                break
-            waste = lost + capacity - big - sum(rest)
-            if waste > (n - 1) * capacity - total or len(path) + 1 >= n:
-                continue
-            path.append((big, *rest))                     # while the generator waits, its pieces are taken out of counts
-            search(waste)
-            path.pop()
+        for rest in completions(left, counts, capacity - big, steps=steps):
+            parts = (big, *rest)
+            need = {p: parts.count(p) for p in parts}
+            for times in range(1 + min(counts[p] // n for p, n in need.items()), 0, -1):
+                for p, n in need.items():
+                    counts[p] -= n * (times - 1)
+                yield parts, times                        # while it waits, the pieces are taken out of counts
+                for p, n in need.items():
+                    counts[p] += n * (times - 1)
         counts[big] += 1
-    search(0)
+    stack = [choices()]
+    while stack and fewest > bound and nodes > 0 and steps[0] > 0:
+        step = next(stack[-1], None)
+        nodes -= 1
+        if step is None:
+            stack.pop()
+            if path:
+                parts, times = path.pop()
+                used, lost = used - times, lost - times * (capacity - sum(parts))
+            continue
+        parts, times = step
+        waste = times * (capacity - sum(parts))
+        if lost + waste > (fewest - 1) * capacity - total or used + times >= fewest:
+            continue
+        if not any(counts.values()):
+            best, fewest = [*path, step], used + times
+            continue
+        path.append(step)
+        used, lost = used + times, lost + waste
+        stack.append(choices())
     return best
 
 
@@ -387,17 +411,17 @@ def _groups(counts: dict[int, int], capacity: int, k: int):
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, dives: int = DIVES):
     """``[(lengths, times)]``: as few bins as the search finds.
 
-    Incumbents are best-fit decreasing, the first completion dive, and dives
-    behind groups of small pieces (k of at most 1/k of a bin).  Up to
-    ``SMALL`` pieces, branch and bound then runs over all completions for
-    ``nodes`` steps.  Larger ones are searched in order of discrepancy: ``dives``
-    dives that take another than the first completion at one place, evenly
-    spread over the path, then at two.  A dive or branch ends once its waste
+    The steps are the same at every size.  Incumbents are best-fit decreasing,
+    the first completion dive, and dives behind groups of small pieces (k of at
+    most 1/k of a bin).  Then completions are searched in order of discrepancy:
+    ``dives`` dives that take another than the first completion at one place,
+    evenly spread over the path, then at two.  Last, branch and bound runs over
+    all completions for ``nodes`` steps.  A dive or branch ends once its waste
     exceeds what one bin less would allow, all of it at the lower bound."""
     counts = {int(k): int(v) for k, v in counts.items() if v and k > 0}
     if not counts:
         return []
-    total, pieces = sum(k * v for k, v in counts.items()), sum(counts.values())
+    total = sum(k * v for k, v in counts.items())
     bound = lower_bound(counts, capacity)
     bins = lambda plan: sum(t for _, t in plan)
     first = lambda le, c, room, step: fillings(le, c, room)[0]
@@ -406,9 +430,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     for k in range(2, min(9, capacity // min(counts) + 1)):
         if bins(best) > bound:
             best = min(best, _groups(counts, capacity, k), key=bins)
-    if bins(best) > bound and pieces <= SMALL:
-        best = _exact(counts, capacity, best, bound, nodes)
-    elif bins(best) > bound:
+    if bins(best) > bound:
         places = sorted({int(path * (2 * i + 1) / (2 * max(1, dives // 3))) for i in range(max(1, dives // 3))})
         tries = [{p: i} for i in (1, 2) for p in places] + [{p: 1, q: 1} for p, q in zip(places, places[1:])]
         for other in tries[:dives]:
@@ -420,7 +442,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
                 return some[min(other.get(step, 0), len(some) - 1)]
             found = dive(counts, capacity, choose, (bins(best) - 1) * capacity - total)
             best = min(best, found, key=bins) if found else best
-    return best
+    return _exact(counts, capacity, best, bound, nodes)
 
 
 def slots(plan) -> dict[int, list[tuple[int, int, int, int]]]:
