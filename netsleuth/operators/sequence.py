@@ -23,6 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from netsleuth.functions.clock import micros
 
@@ -48,27 +49,31 @@ def positions(df: DataFrame, key: str, ts_col: str, tie_col: str,
     ``method="range"`` (default): chunks are the partitions of
     ``repartitionByRange(key, time, tie)``, whose sampled boundaries split a
     hot key over many partitions, so no chunk exceeds one partition whatever
-    the key's rate.  The partition ids are frozen by a reliable checkpoint, so
-    both consumers see identical chunks even after a retry.
+    the key's rate.  Each partition is sorted where it lies and ranked in one
+    pass, and written with its number, so all consumers see identical chunks even
+    after a retry and the rows are not shuffled again for a window.
     ``method="time"``: chunks are fixed time slices (``chunk_micros``), one
     shuffle cheaper, bounded by one key's rows per slice.
     """
     if method == "range":
-        from netsleuth.session import materialize
+        from netsleuth.session import written
         spark = df.sparkSession
         n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                          spark.sparkContext.defaultParallelism)
         ranged = df.repartitionByRange(n, F.col(key).asc_nulls_first(), F.col(ts_col).asc_nulls_first(),
                                        F.col(tie_col).asc_nulls_first())
-        d = materialize(ranged.withColumn("_chunk", F.spark_partition_id().cast("bigint")))
+        ranged = (ranged.sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(ts_col).asc_nulls_first(), F.col(tie_col).asc_nulls_first())
+                  .withColumns({"_chunk": F.spark_partition_id().cast("bigint"), **{f"_lcum_{c}": F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in sums}}))
+        schema = StructType([*ranged.schema.fields, StructField("_local", LongType())])
+        d = written(ranged.mapInArrow(_ranks(key, [f"_lcum_{c}" for c in sums]), schema), "positions")
     else:
         d = df.withColumn("_chunk", _chunk(ts_col, chunk_micros))
-    order = [F.col(ts_col).asc_nulls_first(), F.col(tie_col).asc_nulls_first()]
-    w_local = Window.partitionBy(key, "_chunk").orderBy(*order)
-    w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_local", F.row_number().over(w_local) - 1)
-    for c in sums:
-        d = d.withColumn(f"_lcum_{c}", F.sum(F.col(c)).over(w_run))
+        order = [F.col(ts_col).asc_nulls_first(), F.col(tie_col).asc_nulls_first()]
+        w_local = Window.partitionBy(key, "_chunk").orderBy(*order)
+        w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        d = d.withColumn("_local", F.row_number().over(w_local) - 1)
+        for c in sums:
+            d = d.withColumn(f"_lcum_{c}", F.sum(F.col(c)).over(w_run))
 
     per_chunk = d.groupBy(key, "_chunk").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(c)).alias(f"_tot_{c}") for c in sums])
@@ -86,6 +91,34 @@ def positions(df: DataFrame, key: str, ts_col: str, tie_col: str,
     return out.drop(*drop)
 
 
+def _ranks(key: str, sums: Sequence[str]):
+    """Batches of a sorted partition -> with ``_local``, the rank of each row
+    among the partition's rows of its key, and running sums in place of ``sums``."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        last, carry = None, [0] * (1 + len(sums))
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            code = b.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new = np.concatenate([[last != (b.column(key)[0].as_py(),)], code[1:] != code[:-1]])
+            begin = np.maximum.accumulate(np.where(new, np.arange(n), -1))          # -1: goes on from the batch before
+            out = []
+            for i, v in enumerate([np.ones(n, np.int64), *(b.column(c).to_numpy(zero_copy_only=False) for c in sums)]):
+                upto = np.cumsum(v)
+                upto = upto - np.where(begin >= 0, (upto - v)[begin], -carry[i])
+                carry[i] = int(upto[-1])
+                out.append(upto)
+            last = (b.column(key)[n - 1].as_py(),)
+            names = b.schema.names
+            cols = [pa.array(out[1 + list(sums).index(c)]) if c in sums else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out[0] - 1)], [*names, "_local"])
+    return run
+
+
 def lookback(df: DataFrame, key: str, target, values: Sequence[str], pos_col: str = "_pos",
              prefix: str = "_lag_") -> DataFrame:
     """Attach ``values`` of the row of the same key whose position equals the

@@ -25,9 +25,12 @@ def table_or_empty(spark: SparkSession, path: str, schema, fmt: str = "parquet")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", csv: bool = False) -> None:
-    """K2-K4: Parquet (optionally also CSV with a header)."""
+    """K2-K4: Parquet (optionally also CSV with a header).  The CSV of a whole
+    table is made from the Parquet files, so the table is computed once."""
     df.write.mode(mode).parquet(path)
     if csv:
+        if mode == "overwrite":
+            df = df.sparkSession.read.schema(df.schema).parquet(path)
         df.write.mode(mode).option("header", True).csv(path + "_csv")
 
 
