@@ -13,6 +13,7 @@ from netsleuth import constants as K
 from netsleuth.functions.clock import parse_ts, utc_offset
 from netsleuth.functions.hashing import event_hash, fallback_event_id
 from netsleuth.schemas import RAW_EVENT
+from netsleuth.session import written
 
 # Fields hashed for de-duplication, by their flattened names (Q13 fixed);
 # the timestamp is hashed as written.
@@ -33,10 +34,12 @@ def parse_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     error or a second element.
     """
     v = F.col(value_col)
-    parsed = F.from_json(v, RAW_EVENT, {"mode": "PERMISSIVE"})
+    # one parse for the check and one for the fields: what stands in a filter is not shared with
+    # the columns below it, so the check names neither the fields nor the parsed text twice
     listed = F.try_parse_json(F.concat(F.lit("["), v, F.lit("]")))
-    whole = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "string").isNull() & F.json_object_keys(v).isNotNull()
-    return lines.select(parsed.alias("e"), v.alias("value"), (parsed.isNull() | ~F.coalesce(whole, F.lit(False))).alias("_corrupt"))
+    alone = F.transform(F.array(listed), lambda x: x.isNotNull() & F.try_variant_get(x, "$[1]", "string").isNull())[0]
+    whole = v.rlike(r"^[ \t\r\n]*\{") & alone
+    return lines.select(F.from_json(v, RAW_EVENT, {"mode": "PERMISSIVE"}).alias("e"), v.alias("value"), (~F.coalesce(whole, F.lit(False))).alias("_corrupt"))
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
@@ -153,9 +156,14 @@ def ingest(lines: DataFrame, modes: DataFrame | None = None, stored_keys: DataFr
            compat_hash: bool = False, training: bool | None = None) -> DataFrame:
     """Lines -> new stored events: parse, flatten, mode lookup, admit, label,
     hash, de-duplicate (the whole live-ingest path as one plan)."""
+    return ingest_flat(flatten(parse_lines(lines)), modes, stored_keys, compat_hash, training)
+
+
+def ingest_flat(flat: DataFrame, modes: DataFrame | None = None, stored_keys: DataFrame | None = None,
+                compat_hash: bool = False, training: bool | None = None) -> DataFrame:
+    """``ingest`` from rows that ``flatten`` has made already."""
     from netsleuth.operators.modes import attach_mode  # local import: avoid cycle
 
-    flat = flatten(parse_lines(lines))
     if modes is not None:
         flat = attach_mode(flat, modes)
     else:
@@ -164,4 +172,6 @@ def ingest(lines: DataFrame, modes: DataFrame | None = None, stored_keys: DataFr
     labelled = label(flat)
     admitted = admit(labelled)
     hashed = with_event_id(with_event_hash(admitted, compat=compat_hash))
+    if stored_keys is not None:
+        hashed = written(hashed, "ingest-batch")      # counted, grouped and looked up, parsed once
     return dedup_new(hashed, stored_keys)

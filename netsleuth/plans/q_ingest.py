@@ -13,6 +13,7 @@ from netsleuth.operators import ingest as IG
 from netsleuth.operators.modes import attach_mode
 from netsleuth.plans.oracle_sql import with_flow
 from netsleuth.plans.registry import register
+from netsleuth.session import written
 from netsleuth.sources.flowview import lines_table, load_table, mode_log
 
 LINES_CTE = """
@@ -141,9 +142,9 @@ def event_hash_dedup(spark, sf_dir):
     lines, modes = lines_table(spark, sf_dir), mode_log(ev)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     mid = ev.select(F.timestamp_micros(F.floor((F.min(us) + F.max(us)) / 2).cast("long"))).scalar()
-    earlier = IG.flatten(IG.parse_lines(lines)).where(F.col("timestamp") < mid)
-    stored = _ingest_flat(earlier, modes)
-    new = IG.ingest(lines, modes, stored_keys=stored.select("event_date", "event_hash"))
+    flat = written(IG.flatten(IG.parse_lines(lines)), "flat-lines")       # the store's rows and the batch come from one parse
+    stored = _ingest_flat(flat.where(F.col("timestamp") < mid), modes)
+    new = IG.ingest_flat(flat, modes, stored_keys=stored.select("event_date", "event_hash"))
     return new.select("event_hash", "event_type", "timestamp_raw", "flow_id", "src_ip", "dest_ip", "proto",
                       "src_port", "dest_port", "training_label", "anomaly")
 
