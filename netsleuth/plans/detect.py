@@ -17,7 +17,7 @@ from netsleuth.operators import scaling as SC
 from netsleuth.operators import thresholds as TH
 from netsleuth.operators.modes import current_mode
 from netsleuth.schemas import MODEL_FEATURES
-from netsleuth.session import materialize
+from netsleuth.session import materialize, written
 
 
 @dataclass
@@ -57,7 +57,7 @@ def train(stored: DataFrame, **forest_args) -> tuple[Detector, DataFrame]:
     rows (as the reference), the forest on the rows labelled normal (P9)."""
     names = stored.select("proto").where("proto is not null").distinct().orderBy("proto").collect()   # protocol names
     codes = {r[0]: i for i, r in enumerate(names)}
-    ft = materialize(FT.features(stored, codes=codes))      # read by the scaler, the forest, the offset and scoring
+    ft = written(FT.features(stored, codes=codes), "features")      # read by the scaler, the forest, the offset and scoring
     scaler = SC.params_dict(SC.robust_fit(ft, MODEL_FEATURES))
     scaled = SC.robust_transform(ft, scaler)
     model = IF.fit(EX.training_rows(scaled), MODEL_FEATURES, **forest_args)
