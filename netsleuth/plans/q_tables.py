@@ -12,7 +12,7 @@ from netsleuth.plans.oracle_sql import with_flow
 from netsleuth.plans.q_ingest import _HASH_SQL, LINES_CTE, MODES_CTE
 from netsleuth.plans.registry import register
 from netsleuth.schemas import FEATURE_TABLE_COLUMNS, MODEL_FEATURES
-from netsleuth.session import materialize
+from netsleuth.session import written
 from netsleuth.sources.flowview import flows, lines_table, load_table, mode_log, with_model_prediction
 
 _IP = ("CAST(split_part({c}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({c}, '.', 2) AS BIGINT) * 65536 "
@@ -90,7 +90,7 @@ def ingested_features(spark, sf_dir):
     """Raw lines (mixed offsets, malformed ones among them) -> ingest with the
     mode log -> feature table."""
     stored = IG.ingest(lines_table(spark, sf_dir), mode_log(load_table(spark, sf_dir, "events")))
-    return FT.features(materialize(stored)).select(*FEATURE_COLS)
+    return FT.features(written(stored, "ingested")).select(*FEATURE_COLS)
 
 
 @register("train_selection", "P8,P9", with_flow(
