@@ -22,7 +22,7 @@ from netsleuth.operators.modes import current_mode
 from netsleuth.operators.state import FeatureState, history_stats, serving_features
 from netsleuth.plans.detect import Detector
 from netsleuth.schemas import MODE_LOG
-from netsleuth.session import exists, materialize
+from netsleuth.session import exists, materialize, written
 from netsleuth.sources import artifacts as A
 from netsleuth.sources import versions
 
@@ -77,7 +77,8 @@ def run_batch(spark: SparkSession, paths: JobPaths, detector: Detector, batch: i
     ids, training = _claim(spark, paths, ledger, batch, size, fresh)
     days = [str(r["event_date"]) if r["event_date"] is not None else "__HIVE_DEFAULT_PARTITION__"
             for r in ids.select("event_date").distinct().collect()]                       # days of one batch
-    events = ledger.stored(days).join(ids.select("event_id"), "event_id", "left_semi")
+    # read by each share of the state, the look-backs, the scores and the features
+    events = written(ledger.stored(days).join(ids.select("event_id"), "event_id", "left_semi"), "job-events")
     state = FeatureState(spark, paths.state)
     state.add(events, batch)
     step("state")
