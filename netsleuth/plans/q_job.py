@@ -16,7 +16,7 @@ from netsleuth.plans.q_detect import _WALK, fixed_forest
 from netsleuth.plans.q_rules import rules_sql
 from netsleuth.plans.q_tables import _CUT, _mid, FEATURE_COLS, FEATURES_CTE
 from netsleuth.plans.registry import register
-from netsleuth.session import materialize, scratch_path
+from netsleuth.session import materialize, scratch_path, spread, written
 from netsleuth.sources import artifacts as A
 from netsleuth.sources.flowview import flows
 
@@ -43,7 +43,7 @@ def served_features(spark, sf_dir):
     """Feature rows of two batches as they are served: each batch against the
     state of all events so far.  The second batch's rows are those of one batch
     over the whole store."""
-    d = materialize(_stored(spark, sf_dir))
+    d = written(spread(_stored(spark, sf_dir)), "stored-events")
     state = ST.FeatureState(spark, scratch_path(spark, "state"))
     out = []
     for batch in (0, 1):
