@@ -9,7 +9,7 @@ from netsleuth.plans.oracle_sql import with_flow
 from netsleuth.plans.q_ingest import LINES_CTE, MODES_CTE, _HASH_SQL
 from netsleuth.plans.registry import register
 from netsleuth.session import scratch_path
-from netsleuth.sources.flowview import flows, load_table, mode_log, raw_line_files
+from netsleuth.sources.flowview import flows, mode_log_table, raw_line_files
 from netsleuth.streaming import ingest as SI
 from netsleuth.streaming import windows as SW
 
@@ -27,8 +27,7 @@ def stream_ingest(spark, sf_dir):
     stored table then holds every admitted event exactly once."""
     src = raw_line_files(spark, sf_dir)
     stored, ckpt = scratch_path(spark, "stored-events"), scratch_path(spark, "ingest-ckpt")
-    modes = mode_log(load_table(spark, sf_dir, "events"))
-    q = SI.start_ingest(spark, src, stored, ckpt, modes=modes, trigger={"availableNow": True},
+    q = SI.start_ingest(spark, src, stored, ckpt, modes=mode_log_table(spark, sf_dir), trigger={"availableNow": True},
                         max_files_per_trigger=2)
     q.awaitTermination()
     return spark.read.parquet(stored).select(*_COLS)

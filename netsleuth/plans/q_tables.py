@@ -13,7 +13,7 @@ from netsleuth.plans.q_ingest import _HASH_SQL, LINES_CTE, MODES_CTE
 from netsleuth.plans.registry import register
 from netsleuth.schemas import FEATURE_TABLE_COLUMNS, MODEL_FEATURES
 from netsleuth.session import written
-from netsleuth.sources.flowview import flows, lines_table, load_table, mode_log, with_model_prediction
+from netsleuth.sources.flowview import flows, lines_table, load_table, mode_log_table, with_model_prediction
 
 _IP = ("CAST(split_part({c}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({c}, '.', 2) AS BIGINT) * 65536 "
        "+ CAST(split_part({c}, '.', 3) AS BIGINT) * 256 + CAST(split_part({c}, '.', 4) AS BIGINT)")
@@ -89,7 +89,7 @@ fh AS (SELECT * FROM ing),
 def ingested_features(spark, sf_dir):
     """Raw lines (mixed offsets, malformed ones among them) -> ingest with the
     mode log -> feature table."""
-    stored = IG.ingest(lines_table(spark, sf_dir), mode_log(load_table(spark, sf_dir, "events")))
+    stored = IG.ingest(lines_table(spark, sf_dir), mode_log_table(spark, sf_dir))
     return FT.features(written(stored, "ingested")).select(*FEATURE_COLS)
 
 

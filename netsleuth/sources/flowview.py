@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsleuth.session import prepare
+from netsleuth.session import prepare, scratch_path, spread, written
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,17 +152,25 @@ _LINE_FILES: dict[tuple, str] = {}
 
 def raw_line_files(spark: SparkSession, sf_dir: str, parts: int = 8) -> str:
     """Write the stand-in sensor lines of ``sf_dir`` once per session as text
-    files below the shared checkpoint folder; return the folder."""
-    from netsleuth.session import scratch_path
+    files below the shared checkpoint folder; return the folder.
+
+    The events are spread first: a small file of many rows is read by few tasks,
+    and making a line costs far more than moving its event."""
     key = (id(spark), sf_dir)
     path = _LINE_FILES.get(key)
     if path is None:
         path = scratch_path(spark, "sensor-lines")
-        raw_lines(load_table(spark, sf_dir, "events")).repartition(parts).write.text(path)
+        raw_lines(spread(load_table(spark, sf_dir, "events"))).repartition(parts).write.text(path)
         _LINE_FILES[key] = path
     return path
 
 
+def mode_log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in mode log of ``sf_dir``, stored: a look-up reads the log
+    several times, a stream does so in each of its micro-batches."""
+    return written(mode_log(load_table(spark, sf_dir, "events")), "mode-log")
+
+
 def lines_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stand-in sensor log, read back as a text source (S1/S2 path)."""
     from netsleuth.sources.events import read_lines

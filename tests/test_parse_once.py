@@ -63,3 +63,47 @@ def test_ranges_are_ranked_without_another_shuffle_of_the_rows(spark):
     with redirect_stdout(text):
         sequence.positions(spark.range(9).selectExpr("'a' as k", "id as t", "id"), "k", "t", "id").explain()
     assert "row_number" not in text.getvalue()
+
+
+def _events_file(spark, folder, n=40):
+    """One small file of own events; every second one is a mode switch."""
+    d = spark.range(n).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id * 7 as int)) as ts",
+                                  "id % 5 as user_id", "case when id % 3 = 0 then 'error' else 'click' end as event_type",
+                                  "cast(id as double) as value", "concat('{\"k\": ', id % 4, '}') as props")
+    d.coalesce(1).write.parquet(os.path.join(folder, "events.parquet"))
+    return folder
+
+
+def test_stream_reads_a_stored_mode_log_and_not_the_events_in_every_batch(spark, tmp, monkeypatch):
+    from netsleuth.plans import q_stream
+    from netsleuth.sources.flowview import load_table, mode_log
+    seen, start = [], q_stream.SI.start_ingest
+
+    def watched(*args, **kw):
+        seen.append(kw["modes"])
+        return start(*args, **kw)
+    monkeypatch.setattr(q_stream.SI, "start_ingest", watched)
+    sf = _events_file(spark, tmp)
+    assert q_stream.stream_ingest(spark, sf).count() > 0
+    text = io.StringIO()
+    with redirect_stdout(text):
+        seen[0].explain()
+    assert "events.parquet" not in text.getvalue() and "get_json_object" not in text.getvalue()
+    want = mode_log(load_table(spark, sf, "events"))
+    assert seen[0].count() == 20 and sorted(map(str, seen[0].collect())) == sorted(map(str, want.collect()))
+
+
+def test_lines_are_made_by_all_cores_from_one_file(spark, tmp, monkeypatch):
+    from netsleuth.sources import flowview
+    seen, make = [], flowview.raw_lines
+
+    def watched(events):
+        seen.append(events)
+        return make(events)
+    monkeypatch.setattr(flowview, "raw_lines", watched)
+    sf = _events_file(spark, tmp)
+    path = flowview.raw_line_files(spark, sf)
+    assert seen[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    want = make(flowview.load_table(spark, sf, "events"))
+    assert sorted(r.value for r in spark.read.text(path).collect()) == sorted(r.value for r in want.collect())
+    assert len([f for f in os.listdir(path) if f.startswith("part-")]) == 8
